@@ -1,0 +1,457 @@
+"""Scans, filters, projections, joins, set operations and sorts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F, types as T
+
+from nightframe import proxies as P
+from nightframe.operators import cleaning, engineering, snapshots
+from nightframe.plans.oracle import CLASSES, EP, FT, REL, with_views
+from nightframe.plans.registry import query
+from nightframe.schemas import STAGE_CODES
+from nightframe.session import scratch_path
+from nightframe.sources import files, tables
+
+FEATS = P.FT_FEATURES
+_SUMS = ", ".join(f"round(sum({c}),3) AS sum_{c}" for c in FEATS)
+
+
+def sums(df):
+    return df.groupBy("sleep_stage").agg(
+        F.count(F.lit(1)).alias("rows"), *[F.round(F.sum(c), 3).alias(f"sum_{c}") for c in FEATS]
+    )
+
+
+# --- sources and sinks -------------------------------------------------------------
+
+
+@query("src01_snk01_csv_round_trip", with_views(FT, select=f"SELECT sleep_stage, count(*) AS rows, {_SUMS} FROM ft GROUP BY 1"))
+def _(spark, sf):
+    df = P.four_powers(spark, sf)
+    path = scratch_path(spark, "csv")
+    tables.write_csv(df, path)
+    return sums(tables.read_csv(spark, path, df.schema, FEATS))
+
+
+@query("src02_full_table_scan", with_views(FT, select="""SELECT subject_id, recording_id, sleep_stage, sleep_stage_encoded, delta_power,
+  theta_power, round(alpha_power,6) AS alpha_power, round(beta_power,6) AS beta_power, signal_energy FROM ft"""))
+def _(spark, sf):
+    return P.four_powers(spark, sf).withColumns({c: F.round(c, 6) for c in ("alpha_power", "beta_power")})
+
+
+@query("src04_manifest_keeps_leading_zeros", """SELECT lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0') AS subject_code, count(*) AS files,
+  CAST(sum(n_chars) AS BIGINT) AS total_chars FROM documents GROUP BY 1""")
+def _(spark, sf):
+    docs = P.table(spark, sf, "documents").select(
+        F.lpad(F.pmod("doc_id", F.lit(100)).cast("string"), 2, "0").alias("subject_code"), "n_chars"
+    )
+    path = scratch_path(spark, "manifest")
+    tables.write_csv(docs, path)
+    schema = T.StructType([T.StructField("subject_code", T.StringType()), T.StructField("n_chars", T.LongType())])
+    back = tables.read_csv(spark, path, schema)
+    return back.groupBy("subject_code").agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("total_chars"))
+
+
+@query("src05_checksum_listing", """SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, sha256(text) AS sha256 FROM documents""")
+def _(spark, sf):
+    docs = P.table(spark, sf, "documents")
+    good = docs.select(
+        F.concat(F.upper(F.sha2("text", 256)), F.lit("  *"), "source", F.lit("\\"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("value")
+    )
+    junk = P.table(spark, sf, "pages").select(F.concat(F.lit("# "), "url").alias("value"))
+    return files.checksum_lines(good.union(junk))
+
+
+@query("src06_linked_file_names", r"""SELECT DISTINCT f AS filename FROM (SELECT list_extract(string_split(url_decode(regexp_replace(regexp_replace(regexp_replace(href, '[?#].*$', ''),
+  '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', ''), '\+', '%2B', 'g')), '/'), -1) AS f
+  FROM (SELECT unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM pages)) WHERE f <> ''""")
+def _(spark, sf):
+    return files.linked_names(P.table(spark, sf, "pages"))
+
+
+@query("src07_content_digest_check", """SELECT doc_id AS name, sha256(text) = sha256(trim(text)) AS is_valid, sha256(text) AS actual_sha256, sha256(trim(text)) AS sha256 FROM documents""")
+def _(spark, sf):
+    docs = P.table(spark, sf, "documents")
+    found = docs.select(F.col("doc_id").alias("name"), F.sha2("text", 256).alias("sha256"))
+    expected = docs.select(F.col("doc_id").alias("name"), F.sha2(F.trim("text"), 256).alias("sha256"))
+    return files.validate_digests(found, expected)
+
+
+@query("src08_single_channel_microvolts", """SELECT vec_id AS epoch_id, round(CAST(embedding[1] AS DOUBLE) * 1e6::DOUBLE, 3) AS first_uv, len(embedding) AS samples
+  FROM embeddings WHERE 'EEG ' || CAST(label AS VARCHAR) = 'EEG 1'""")
+def _(spark, sf):
+    em = P.table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("epoch_id"), F.concat(F.lit("EEG "), F.col("label").cast("string")).alias("channel"),
+        F.col("embedding").cast("array<double>").alias("volts"),
+    )
+    one = em.filter(F.col("channel") == "EEG 1").withColumn("uv", F.transform("volts", lambda v: v * 1e6))
+    return one.select("epoch_id", F.round(F.col("uv")[0], 3).alias("first_uv"), F.size("uv").cast("bigint").alias("samples"))
+
+
+@query("src09_resumable_parts", "SELECT count(DISTINCT user_id) AS first_written, CAST(0 AS BIGINT) AS second_written, count(*) AS rows FROM events")
+def _(spark, sf):
+    df = P.epochs(spark, sf).drop("ts")
+    path = scratch_path(spark, "parts")
+    first = tables.write_parts(df, path)
+    second = tables.write_parts(df, path)
+    return spark.read.parquet(path).agg(
+        F.lit(first).cast("bigint").alias("first_written"), F.lit(second).cast("bigint").alias("second_written"),
+        F.count(F.lit(1)).alias("rows"),
+    )
+
+
+@query("snk04_replace_load", with_views(FT, select="""SELECT subject_id, 'subject_' || CAST(subject_id AS VARCHAR) AS subject_code,
+  'four-power table' AS source, count(*) AS fact_rows FROM ft GROUP BY 1"""))
+def _(spark, sf):
+    root = scratch_path(spark, "load")
+    tables.replace_load(P.four_powers(spark, sf), f"{root}/facts", f"{root}/subjects", "four-power table")
+    counts = spark.read.parquet(f"{root}/facts").groupBy("subject_id").agg(F.count(F.lit(1)).alias("fact_rows"))
+    return spark.read.parquet(f"{root}/subjects").join(counts, "subject_id")
+
+
+@query("snk07_query_to_file", with_views(EP, select="SELECT sleep_stage, count(*) AS epoch_count FROM ep GROUP BY 1"))
+def _(spark, sf):
+    path = scratch_path(spark, "report")
+    P.epochs(spark, sf).createOrReplaceTempView("nightframe_epochs")
+    spark.sql("SELECT sleep_stage, count(*) AS epoch_count FROM nightframe_epochs GROUP BY sleep_stage").write.mode(
+        "overwrite"
+    ).parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("snk08_total_line", "SELECT 'total_rows ' || CAST(count(*) AS VARCHAR) AS value FROM events")
+def _(spark, sf):
+    path = scratch_path(spark, "total")
+    tables.total_line(P.epochs(spark, sf)).write.mode("overwrite").text(path)
+    return spark.read.text(path)
+
+
+# --- filters -----------------------------------------------------------------------
+
+
+@query("flt01_supported_labels", """SELECT event_type, count(*) AS kept, (SELECT count(*) FROM events WHERE event_type NOT IN ('error','view','click','purchase')) AS dropped
+  FROM events WHERE event_type IN ('error','view','click','purchase') GROUP BY 1""")
+def _(spark, sf):
+    ev = P.table(spark, sf, "events")
+    labels = ("error", "view", "click", "purchase")
+    kept = cleaning.supported_labels(ev, "event_type", labels).groupBy("event_type").agg(F.count(F.lit(1)).alias("kept"))
+    dropped = ev.agg(F.count_if(~F.coalesce(F.col("event_type").isin(*labels), F.lit(False))).alias("dropped"))
+    return kept.join(F.broadcast(dropped), F.lit(True))
+
+
+@query("flt02_non_negative_columns", "SELECT c_mktsegment, count(*) AS kept, round(min(c_acctbal), 2) AS lowest FROM customer WHERE c_acctbal >= 0 GROUP BY 1")
+def _(spark, sf):
+    df = cleaning.non_negative(P.table(spark, sf, "customer"), ["c_acctbal", "absent_column"])
+    return df.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("kept"), F.round(F.min("c_acctbal"), 2).alias("lowest"))
+
+
+@query("flt03_complete_rows", "SELECT lang, count(*) AS kept FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL GROUP BY 1")
+def _(spark, sf):
+    both = P.table(spark, sf, "documents").join(P.table(spark, sf, "labels"), "doc_id", "left")
+    return both.dropna("any").groupBy("lang").agg(F.count(F.lit(1)).alias("kept"))
+
+
+@query("flt04_clean_table", with_views(FT, select="SELECT sleep_stage, count(*) AS rows, " + _SUMS + " FROM (SELECT DISTINCT * FROM ft) GROUP BY 1"))
+def _(spark, sf):
+    df = P.four_powers(spark, sf)
+    return sums(cleaning.clean(df.unionByName(df)))
+
+
+@query("flt05_verified_statuses", "SELECT o_orderstatus AS status, count(*) AS files FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1")
+def _(spark, sf):
+    orders = P.table(spark, sf, "orders").select(F.col("o_orderstatus").alias("status"))
+    return cleaning.keep_statuses(orders, ["F", "O"]).groupBy("status").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("flt06_jn06_requested_recordings", with_views(EP, select="""SELECT recording_id, CASE recording_id WHEN 'R17' THEN 0 WHEN 'R5' THEN 1 ELSE 2 END AS position, count(*) AS rows
+  FROM ep WHERE recording_id IN ('R17','R5','R1') GROUP BY 1"""))
+def _(spark, sf):
+    chosen = cleaning.select_recordings(P.epochs(spark, sf), [" r17 ", "R5", "r1", "R17"])
+    return chosen.groupBy("recording_id", "position").agg(F.count(F.lit(1)).alias("rows")).orderBy("position")
+
+
+@query("flt13_non_finite_counts", with_views(FT, select=" UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) FILTER (WHERE {c} IS NULL OR isnan({c}) OR isinf({c})) AS bad_count FROM d" for c in (*FEATS, "log_alpha_power")).replace("FROM d", "FROM (SELECT *, CASE WHEN alpha_power > 0 THEN ln(alpha_power) END AS log_alpha_power FROM ft)")))
+def _(spark, sf):
+    df = P.four_powers(spark, sf).withColumn("log_alpha_power", F.ln("alpha_power"))
+    return cleaning.non_finite_counts(df, [*FEATS, "log_alpha_power"])
+
+
+@query("flt14_quality_gate", with_views(EP, select="SELECT recording_id, count(*) FILTER (WHERE quality_issue_flag) AS flagged, count(*) FILTER (WHERE quality_issue_flag) > 0 AS rejected FROM ep GROUP BY 1"))
+def _(spark, sf):
+    flagged = F.count_if("quality_issue_flag")
+    return P.epochs(spark, sf).groupBy("recording_id").agg(flagged.alias("flagged"), (flagged > 0).alias("rejected"))
+
+
+@query("flt15_subject_partition", with_views(EP, select="SELECT subject_id, sleep_stage_encoded, count(*) AS rows FROM ep WHERE subject_id IN (3, 7, 11) GROUP BY 1, 2"))
+def _(spark, sf):
+    part = cleaning.subject_partition(P.epochs(spark, sf), [3, 7, 11], list(range(5)))
+    return part.groupBy("subject_id", "sleep_stage_encoded").agg(F.count(F.lit(1)).alias("rows"))
+
+
+# --- projections -------------------------------------------------------------------
+
+
+@query("prj01_prj05_contract_projection", with_views(FT, select="""SELECT subject_id, sleep_stage, sleep_stage_encoded, CAST(round(sum(delta_power),3) AS DOUBLE) AS delta_power,
+  round(sum(theta_power),3) AS theta_power FROM ft GROUP BY ALL"""))
+def _(spark, sf):
+    wanted = ["subject_id", "sleep_stage", "sleep_stage_encoded", "delta_power", "theta_power"]
+    df = engineering.require_exact_columns(P.four_powers(spark, sf).select(*wanted), wanted)
+    return df.groupBy(*wanted[:3]).agg(*[F.round(F.sum(F.col(c).cast("double")), 3).alias(c) for c in wanted[3:]])
+
+
+@query("prj02_feature_roles", with_views(FT, select="SELECT 'delta_power' AS feature, 'selected' AS role, count(DISTINCT delta_power) AS distinct_values FROM ft UNION ALL SELECT 'theta_power','selected',count(DISTINCT theta_power) FROM ft UNION ALL SELECT 'alpha_power','selected',count(DISTINCT alpha_power) FROM ft UNION ALL SELECT 'beta_power','selected',count(DISTINCT beta_power) FROM ft UNION ALL SELECT 'signal_energy','dropped',count(DISTINCT signal_energy) FROM ft"))
+def _(spark, sf):
+    from nightframe.operators.quantiles import long_form
+
+    roles = engineering.classify_roles(FEATS, FEATS[:4], {"signal_energy": "thousandfold theta"})
+    counts = long_form(P.four_powers(spark, sf), [], FEATS).distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("distinct_values"))
+    role = P.literal_map(dict(roles), F.col("feature"))
+    return counts.withColumn("role", role)
+
+
+@query("prj06_numeric_columns", """SELECT 'l_quantity' AS feature, round(avg(l_quantity),6) AS mean FROM lineitem UNION ALL SELECT 'l_extendedprice', round(avg(l_extendedprice),6) FROM lineitem
+  UNION ALL SELECT 'l_discount', round(avg(l_discount),6) FROM lineitem UNION ALL SELECT 'l_tax', round(avg(l_tax),6) FROM lineitem""")
+def _(spark, sf):
+    li = P.table(spark, sf, "lineitem")
+    cols = engineering.numeric_columns(li, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"])
+    one = li.agg(*[F.round(F.avg(c), 6).alias(c) for c in cols])
+    return one.unpivot([], cols, "feature", "mean")
+
+
+@query("prj07_melt_band_columns", with_views(FT, select=" UNION ALL ".join(f"SELECT sleep_stage, '{c}' AS band, count(*) AS n, round(sum({c}),3) AS total FROM ft GROUP BY 1" for c in FEATS[:4])))
+def _(spark, sf):
+    long = P.four_powers(spark, sf).unpivot(["sleep_stage"], list(FEATS[:4]), "band", "power")
+    return long.groupBy("sleep_stage", "band").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("power"), 3).alias("total"))
+
+
+@query("prj08_derived_complement", with_views(FT, REL, select="""SELECT sleep_stage, round(avg(least(1.0, greatest(0.0, 1.0 - (relative_delta_power + relative_theta_power + relative_alpha_power)))),9) AS mean_rest,
+  round(max(abs(1.0 - (relative_delta_power + relative_theta_power + relative_alpha_power) - relative_beta_power)),9) AS worst_gap FROM rel GROUP BY 1"""))
+def _(spark, sf):
+    df = P.relative_powers(P.four_powers(spark, sf))
+    out = engineering.derived_share(df, [f"relative_{b}_power" for b in ("delta", "theta", "alpha")], "rest")
+    return out.groupBy("sleep_stage").agg(
+        F.round(F.avg("rest"), 9).alias("mean_rest"),
+        F.round(F.max(F.abs(F.col("rest") - F.col("relative_beta_power"))), 9).alias("worst_gap"),
+    )
+
+
+def doc_manifest(spark, sf):
+    docs = P.table(spark, sf, "documents")
+    return docs.select(
+        F.col("doc_id").alias("recording_id"), F.concat(F.col("doc_id").cast("string"), F.lit("-PSG.edf")).alias("psg_filename"),
+        F.concat(F.col("doc_id").cast("string"), F.lit("-Hypnogram.edf")).alias("hypnogram_filename"),
+        F.sha2("text", 256).alias("psg_sha256"), F.sha2("lang", 256).alias("hypnogram_sha256"),
+    )
+
+
+@query("prj09_file_tasks", """SELECT doc_id AS recording_id, 'psg' AS file_type, CAST(doc_id AS VARCHAR) || '-PSG.edf' AS filename, sha256(text) AS sha256 FROM documents
+  UNION ALL SELECT doc_id, 'hypnogram', CAST(doc_id AS VARCHAR) || '-Hypnogram.edf', sha256(lang) FROM documents""")
+def _(spark, sf):
+    return files.file_tasks(doc_manifest(spark, sf))
+
+
+# --- joins -------------------------------------------------------------------------
+
+
+def doc_files(spark, sf):
+    """Documents are one file type of a recording, their quality labels the other."""
+    psg = P.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("recording_id"), F.lit("psg").alias("file_type"), F.concat(F.lit("p/"), F.col("doc_id").cast("string")).alias("path")
+    )
+    hyp = P.table(spark, sf, "labels").select(
+        F.col("doc_id").alias("recording_id"), F.lit("hypnogram").alias("file_type"), F.concat(F.lit("h/"), F.col("doc_id").cast("string")).alias("path")
+    )
+    return psg.unionByName(hyp)
+
+
+@query("jn01_file_pairs", """SELECT doc_id AS recording_id, 'p/' || CAST(doc_id AS VARCHAR) AS psg_path, 'h/' || CAST(doc_id AS VARCHAR) AS hypnogram_path FROM documents JOIN (SELECT DISTINCT doc_id FROM labels) USING (doc_id)""")
+def _(spark, sf):
+    inventory = doc_files(spark, sf).distinct()
+    complete = files.pair_counts(inventory).filter("psg = 1 and hypnogram = 1").select("recording_id")
+    return files.paired(inventory.join(complete, "recording_id", "left_semi"))
+
+
+@query("jn02_pair_count_matrix", """SELECT recording_id, count(*) FILTER (WHERE t = 'p') AS psg, count(*) FILTER (WHERE t = 'h') AS hypnogram FROM
+  (SELECT doc_id AS recording_id, 'p' AS t FROM documents UNION ALL SELECT doc_id, 'h' FROM labels) GROUP BY 1""")
+def _(spark, sf):
+    return files.pair_counts(doc_files(spark, sf))
+
+
+@query("jn03_key_mismatch", """SELECT count(*) FILTER (WHERE d.doc_id IS NULL) AS missing_left, count(*) FILTER (WHERE l.doc_id IS NULL) AS missing_right
+  FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id""")
+def _(spark, sf):
+    return files.key_mismatch(P.table(spark, sf, "documents"), P.table(spark, sf, "labels"), "doc_id")
+
+
+@query("jn04_checksum_lookup", """SELECT l.doc_id, sha256(d.text) AS sha256, d.text IS NULL AS is_missing FROM labels l LEFT JOIN documents d USING (doc_id)""")
+def _(spark, sf):
+    sums_ = P.table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    return P.table(spark, sf, "labels").select("doc_id").join(sums_, "doc_id", "left").withColumn("is_missing", F.col("sha256").isNull())
+
+
+@query("jn05_label_codes", with_views(EP, CLASSES, select="""SELECT sleep_stage, code AS sleep_stage_code, count(*) AS rows FROM ep JOIN cls USING (sleep_stage) GROUP BY 1, 2"""))
+def _(spark, sf):
+    return (
+        P.epochs(spark, sf).withColumn("sleep_stage_code", engineering.encode_or_fail("sleep_stage"))
+        .groupBy("sleep_stage", "sleep_stage_code").agg(F.count(F.lit(1)).alias("rows"))
+    )
+
+
+def inventory(spark, sf, year):
+    """One file-like entry per customer: how many orders in a year, and a digest of their latest state."""
+    o = P.table(spark, sf, "orders").filter(F.year("o_orderdate") == year)
+    return o.groupBy(F.col("o_custkey").alias("path")).agg(
+        F.count(F.lit(1)).alias("size"), F.sha2(F.max("o_orderstatus"), 256).alias("digest")
+    )
+
+
+_INV = """b AS (SELECT o_custkey AS path, count(*) AS size, sha256(max(o_orderstatus)) AS digest FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1),
+a AS (SELECT o_custkey AS path, count(*) AS size, sha256(max(o_orderstatus)) AS digest FROM orders WHERE year(o_orderdate) = 1997 GROUP BY 1),
+d AS (SELECT coalesce(a.path, b.path) AS path, b.size AS before_size, b.digest AS before_digest, a.size AS after_size, a.digest AS after_digest,
+ CASE WHEN b.path IS NULL THEN 'created' WHEN a.path IS NULL THEN 'removed' WHEN a.size = b.size AND a.digest = b.digest THEN 'reused' ELSE 'modified' END AS change_type
+ FROM b FULL JOIN a ON a.path = b.path)"""
+
+
+@query("jn11_cn01_snapshot_diff", with_views(_INV, select="SELECT path, before_digest, after_digest, coalesce(before_size, 0) AS before_size, coalesce(after_size, 0) AS after_size, change_type FROM d"))
+def _(spark, sf):
+    d = snapshots.diff(inventory(spark, sf, 1996), inventory(spark, sf, 1997))
+    return d.fillna(0, ["before_size", "after_size"])
+
+
+@query("ag24_au16_change_counts", with_views(_INV, select="""SELECT count(*) FILTER (WHERE change_type='created') AS created_count, count(*) FILTER (WHERE change_type='modified') AS modified_count,
+  count(*) FILTER (WHERE change_type='removed') AS removed_count, count(*) FILTER (WHERE change_type='reused') AS reused_count,
+  (SELECT count(*) FROM customer c WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.path = c.c_custkey AND change_type <> 'removed')) AS missing_required,
+  CASE WHEN (SELECT count(*) FROM customer c WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.path = c.c_custkey AND change_type <> 'removed')) > 0 THEN 'invalid' ELSE 'valid' END AS status FROM d"""))
+def _(spark, sf):
+    d = snapshots.diff(inventory(spark, sf, 1996), inventory(spark, sf, 1997))
+    required = P.table(spark, sf, "customer").select(F.col("c_custkey").alias("path"))
+    return snapshots.change_counts(d, required)
+
+
+@query("jn12_children_without_parent", "SELECT count(*) AS orphan_count FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
+def _(spark, sf):
+    orders = P.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    return P.table(spark, sf, "lineitem").join(orders, "l_orderkey", "left_anti").agg(F.count(F.lit(1)).alias("orphan_count"))
+
+
+@query("jn13_reconcile_tables", with_views(EP, select="SELECT 0::BIGINT AS only_left, (SELECT count(*) FROM ep WHERE v > 200) AS only_right"))
+def _(spark, sf):
+    cols = ["subject_id", "recording_id", "night", "event_id", "sleep_stage", "sleep_stage_encoded"]
+    ep = P.epochs(spark, sf)
+    left = ep.filter(~F.col("quality_issue_flag")).select(*cols)
+    right = ep.select(*cols)
+    a = left.exceptAll(right).agg(F.count(F.lit(1)).alias("only_left"))
+    b = right.exceptAll(left).agg(F.count(F.lit(1)).alias("only_right"))
+    return a.join(F.broadcast(b), F.lit(True))
+
+
+@query("jn16_se03_mapping_agreement", with_views(EP, CLASSES, select="""SELECT coalesce(cls.sleep_stage, o.sleep_stage) AS sleep_stage, cls.code AS expected_code, o.sleep_stage_encoded AS observed_code,
+  cls.code IS NOT DISTINCT FROM o.sleep_stage_encoded AS agrees FROM cls FULL JOIN (SELECT DISTINCT sleep_stage, sleep_stage_encoded FROM ep) o ON o.sleep_stage = cls.sleep_stage"""))
+def _(spark, sf):
+    seen = P.epochs(spark, sf).select("sleep_stage", F.col("sleep_stage_encoded").alias("observed_code")).distinct()
+    rows = ", ".join(f"('{k}', {v})" for k, v in STAGE_CODES.items())
+    expected = spark.sql(f"SELECT * FROM VALUES {rows} AS t(sleep_stage, expected_code)")
+    return expected.join(seen, "sleep_stage", "full_outer").withColumn("agrees", F.col("expected_code").eqNullSafe(F.col("observed_code")))
+
+
+@query("jn14_cascade_delete", "SELECT o_orderpriority AS run_id, count(*) AS rows FROM orders WHERE o_orderpriority NOT IN (SELECT min(o_orderpriority) FROM orders) GROUP BY 1")
+def _(spark, sf):
+    from nightframe.sources.runs import without_run
+
+    orders = P.table(spark, sf, "orders").withColumnRenamed("o_orderpriority", "run_id")
+    gone = orders.agg(F.min("run_id").alias("run_id"))
+    return without_run(orders, gone).groupBy("run_id").agg(F.count(F.lit(1)).alias("rows"))
+
+
+# --- set operations and sorts -------------------------------------------------------
+
+
+@query("se01_concat_inventories", "SELECT kind, count(*) AS rows, CAST(sum(k) AS BIGINT) AS keys FROM (SELECT 'order' AS kind, o_orderkey AS k FROM orders UNION ALL SELECT 'line', l_orderkey FROM lineitem) GROUP BY 1")
+def _(spark, sf):
+    a = P.table(spark, sf, "orders").select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("k"))
+    b = P.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.lit("line").alias("kind"))
+    return a.unionByName(b).groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.sum("k").alias("keys"))
+
+
+@query("se02_full_row_dedupe", "SELECT count(*) AS rows FROM (SELECT DISTINCT text, lang, source FROM documents)")
+def _(spark, sf):
+    return P.table(spark, sf, "documents").select("text", "lang", "source").dropDuplicates().agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("se05_sorted_unique_subjects", "SELECT DISTINCT user_id AS subject_id FROM events ORDER BY 1")
+def _(spark, sf):
+    return P.epochs(spark, sf).select("subject_id").distinct().orderBy("subject_id")
+
+
+@query("se06_partition_overlap", "SELECT count(*) AS shared_subjects FROM (SELECT user_id FROM events WHERE event_type = 'error' INTERSECT SELECT user_id FROM events WHERE event_type = 'signup')")
+def _(spark, sf):
+    ep = P.epochs(spark, sf)
+    a = ep.filter("sleep_stage = 'Wake'").select("subject_id")
+    b = ep.filter("sleep_stage = 'REM'").select("subject_id")
+    return a.intersect(b).agg(F.count(F.lit(1)).alias("shared_subjects"))
+
+
+@query("so01_so02_identifier_order", with_views(EP, select="SELECT subject_id, recording_id, night, epoch_id, sleep_stage FROM ep"))
+def _(spark, sf):
+    df = P.epochs(spark, sf, positions=True).select("subject_id", "recording_id", "night", "epoch_id", "sleep_stage")
+    return df.orderBy("subject_id", "night", "recording_id", "epoch_id")
+
+
+@query("so06_custom_label_order", with_views(EP, select="SELECT sleep_stage, sleep_stage_encoded, round(avg(v),6) AS mean_v FROM ep GROUP BY 1, 2"))
+def _(spark, sf):
+    return P.epochs(spark, sf).groupBy("sleep_stage", "sleep_stage_encoded").agg(F.round(F.avg("v"), 6).alias("mean_v")).orderBy("sleep_stage_encoded")
+
+
+@query("so07_first_ten_rows", with_views(EP, select="SELECT event_id, recording_id, sleep_stage, v FROM ep ORDER BY event_id LIMIT 10"))
+def _(spark, sf):
+    return P.epochs(spark, sf).select("event_id", "recording_id", "sleep_stage", "v").orderBy("event_id").limit(10)
+
+
+# --- manifests ----------------------------------------------------------------------
+
+
+@query("ag17_au13_manifest_summary", """SELECT count(*) AS recordings, count(DISTINCT o_custkey) AS subjects, count(DISTINCT o_orderkey) = count(*) AS unique_ids, count(*) = 153 AS expected_count,
+  '{' || string_agg('"' || s || '":' || CAST(n AS VARCHAR), ',' ORDER BY s) FILTER (WHERE rn = 1) || '}' AS per_night_json
+  FROM (SELECT *, o_orderstatus AS s, count(*) OVER (PARTITION BY o_orderstatus) AS n, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS rn FROM orders)""")
+def _(spark, sf):
+    o = P.table(spark, sf, "orders")
+    head = o.agg(
+        F.count(F.lit(1)).alias("recordings"), F.count_distinct("o_custkey").alias("subjects"),
+        (F.count_distinct("o_orderkey") == F.count(F.lit(1))).alias("unique_ids"),
+        (F.count(F.lit(1)) == 153).alias("expected_count"),
+    )
+    nights = o.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("o_orderstatus", "n"))))).alias("per_night_json")
+    )
+    return head.join(F.broadcast(nights), F.lit(True))
+
+
+@query("ag28_table_shape", "SELECT count(*) AS row_count, 11 AS column_count FROM lineitem")
+def _(spark, sf):
+    return tables.table_shape(P.table(spark, sf, "lineitem"))
+
+
+@query("wn02_first_rows_per_subject", "SELECT user_id AS subject_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) WHERE rn <= 2")
+def _(spark, sf):
+    return files.first_rows(P.epochs(spark, sf), "subject_id", ["ts", "event_id"], 2).select("subject_id", "event_id")
+
+
+@query("wn03_first_subjects", "SELECT user_id AS subject_id, count(*) AS rows FROM events WHERE user_id IN (SELECT DISTINCT user_id FROM events ORDER BY 1 LIMIT 5) GROUP BY 1")
+def _(spark, sf):
+    ep = P.epochs(spark, sf)
+    wanted = ep.select("subject_id").distinct().orderBy("subject_id").limit(5)
+    return ep.join(F.broadcast(wanted), "subject_id", "left_semi").groupBy("subject_id").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("wn04_latest_row_per_key", """SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1""")
+def _(spark, sf):
+    o = P.table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus")
+    old, new = o.filter("o_orderstatus = 'F'"), o.filter("o_orderstatus <> 'F'")
+    return files.upsert(old, new, ["o_custkey"], "o_orderdate").select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+@query("wn12_duplicate_keys", "SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def _(spark, sf):
+    return P.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+
+
