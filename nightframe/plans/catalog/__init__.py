@@ -1,4 +1,4 @@
 """All named queries.  Importing this package fills the registry."""
 
-from nightframe.plans.catalog import aggregates, rows  # noqa: F401
+from nightframe.plans.catalog import aggregates, order, rows  # noqa: F401
 from nightframe.plans.catalog.aggregates import flagship  # noqa: F401
