@@ -61,7 +61,7 @@ def canonical_zero(c: Column | str) -> Column:
 
 def is_integer_valued(c: Column | str, minimum: int | None = None) -> Column:
     x = as_col(c).cast("double")
-    ok = is_finite(x) & (x == F.bround(x))
+    ok = is_finite(x) & (x == F.rint(x))
     return ok if minimum is None else ok & (x >= minimum)
 
 
@@ -76,11 +76,11 @@ def round_significant(c: Column | str, digits: int) -> Column:
     shift = F.lit(digits - 1) - exponent
     up = F.pow(F.lit(10.0), F.abs(shift).cast("double"))
     scaled = F.when(shift >= 0, x * up).otherwise(x / up)
-    back = F.when(shift >= 0, F.bround(scaled) / up).otherwise(F.bround(scaled) * up)
+    back = F.when(shift >= 0, F.rint(scaled) / up).otherwise(F.rint(scaled) * up)
     return F.when(x == 0, F.lit(0.0)).otherwise(back)
 
 
 def grid_distance(c: Column | str, step: float) -> Column:
     """Distance to the nearest multiple of ``step``."""
     x = as_col(c)
-    return F.abs(x - F.bround(x / F.lit(step)) * F.lit(step))
+    return F.abs(x - F.rint(x / F.lit(step)) * F.lit(step))

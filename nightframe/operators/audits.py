@@ -123,7 +123,7 @@ def prediction_audit(df: DataFrame, tol: float = PROBABILITY_TOLERANCE) -> DataF
         != (F.col("predicted_label_encoded") == F.col("probability_argmax_label_encoded")),
         "confidence": ~is_close("prediction_confidence", PR.confidence(p), tol),
         "margin": ~is_close("prediction_margin", PR.margin(p), tol),
-        "entropy": ~is_close("prediction_entropy", PR.entropy(p), tol),
+        "entropy": ~is_close("prediction_entropy", PR.entropy(p, k), tol),
         "normalized_entropy": ~is_close("prediction_normalized_entropy", PR.normalized_entropy(p, k), tol),
     }
     if "is_correct" in df.columns:

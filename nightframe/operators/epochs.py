@@ -73,8 +73,8 @@ def expand(segments: DataFrame, epoch_seconds: float = EPOCH_SECONDS, rate: floa
         {
             "start_time_sec": start,
             "end_time_sec": start + F.lit(float(epoch_seconds)),
-            "start_sample": F.bround(start * F.lit(rate)).cast("bigint"),
-            "stop_sample": F.bround((start + F.lit(float(epoch_seconds))) * F.lit(rate)).cast("bigint"),
+            "start_sample": F.rint(start * F.lit(rate)).cast("bigint"),
+            "stop_sample": F.rint((start + F.lit(float(epoch_seconds))) * F.lit(rate)).cast("bigint"),
             "sleep_stage_encoded": encode_stage("sleep_stage"),
         }
     ).drop("_k")
@@ -126,7 +126,7 @@ def build_epochs(annotations: DataFrame, recording_seconds: Column, epoch_second
     """Segments to numbered, trimmed epochs."""
     segments = clamp_segments(map_labels(annotations), recording_seconds, epoch_seconds)
     expanded = expand(segments, epoch_seconds, rate)
-    inside = inside_recording(expanded, recording_seconds, F.bround(recording_seconds * rate).cast("bigint"))
+    inside = inside_recording(expanded, recording_seconds, F.rint(recording_seconds * rate).cast("bigint"))
     return number_epochs(trim_wake(inside, padding_minutes), 24.0 * epoch_seconds / EPOCH_SECONDS / 24.0)
 
 

@@ -7,6 +7,7 @@ per group.  Groups can be folds, subjects, recordings, candidates, or nothing.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -161,9 +162,11 @@ def prediction_frame(df: DataFrame, identifiers: Sequence[str], truth: bool = Tr
     """
     k = len(names)
     bad = F.raise_error(F.lit("invalid probability row")).cast("array<double>")
-    clean = df.withColumn("_p", F.when(PR.is_valid(p, k), PR.normalize(p)).otherwise(bad))
+    checked = df.withColumn("_given", F.when(PR.is_valid(p, k), F.col(p)).otherwise(bad))
+    clean = PR.with_normalized(checked, "_given", "_p", k)
     q = F.col("_p")
-    top = PR.argmax(q)
+    clean = clean.withColumns({"_top": PR.argmax(q), "_entropy": PR.entropy(q, k)})
+    top = F.col("_top")
     cols = {}
     if truth:
         cols["true_label_encoded"] = F.col("y_true")
@@ -177,8 +180,8 @@ def prediction_frame(df: DataFrame, identifiers: Sequence[str], truth: bool = Tr
         cols["is_correct"] = F.col("y_true") == F.col("y_pred")
     cols["prediction_confidence"] = PR.confidence(q)
     cols["prediction_margin"] = PR.margin(q)
-    cols["prediction_entropy"] = PR.entropy(q)
-    cols["prediction_normalized_entropy"] = PR.normalized_entropy(q, k)
+    cols["prediction_entropy"] = F.col("_entropy")
+    cols["prediction_normalized_entropy"] = F.col("_entropy") / F.lit(math.log(k))
     clash = sorted(set(identifiers) & set(cols))
     if clash:
         raise ValueError(f"identifier columns clash with derived ones: {clash}")

@@ -11,14 +11,13 @@ bracket stops the job instead of giving a wrong value.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from nightframe.operators.skew import lookup_join
 
 ACCURACY = 10_000
-MARGIN = 4.0 / ACCURACY
 
 
 def long_form(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -28,15 +27,19 @@ def long_form(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> Dat
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Sequence[float],
-                    bounded_keys: bool = False, accuracy: int = ACCURACY) -> DataFrame:
+                    bounded_keys: bool = False, accuracy: int = ACCURACY,
+                    extra: Mapping[str, Column] | None = None) -> DataFrame:
     """One row per (keys, feature) with columns q0, q1, ... for ``probs``.
 
     ``bounded_keys`` says that the keys take a small fixed set of values (stages), so the
-    bracket table is at most classes x features x probs rows and may be broadcast.
+    bracket table is at most classes x features rows and may be broadcast.  ``extra`` adds
+    numeric aggregates of ``value`` to the first pass, so a summary needs no third one.
     """
     margin = 4.0 / accuracy
+    extra = dict(extra or {})
     data = long_form(df, keys, columns)
     group = [*keys, "feature"]
+    k = len(probs)
     lows = [max(0.0, p - margin) for p in probs]
     highs = [min(1.0, p + margin) for p in probs]
     sketch = data.groupBy(*group).agg(
@@ -44,45 +47,42 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
         F.min("value").alias("_min"),
         F.max("value").alias("_max"),
         F.percentile_approx("value", [*lows, *highs], accuracy).alias("_q"),
+        *[c.alias(n) for n, c in extra.items()],
     )
+    # A sketch of few rows is no better than their range; beyond that its rank error is
+    # below a quarter of the margin.
     small = F.col("_n") <= accuracy
-    k = len(probs)
     brackets = sketch.select(
-        *group, "_n",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("_i"),
-                        ((F.col("_n") - 1) * F.lit(float(p))).alias("_h"),
-                        F.when(small, F.col("_min")).otherwise(F.col("_q")[i]).alias("_lo"),
-                        F.when(small, F.col("_max")).otherwise(F.col("_q")[k + i]).alias("_hi"),
-                    )
-                    for i, p in enumerate(probs)
-                ]
-            )
-        ),
+        *group, "_n", *extra,
+        *[F.when(small, F.col("_min")).otherwise(F.col("_q")[i]).alias(f"_lo{i}") for i in range(k)],
+        *[F.when(small, F.col("_max")).otherwise(F.col("_q")[k + i]).alias(f"_hi{i}") for i in range(k)],
     )
     joined = data.join(F.broadcast(brackets), group) if bounded_keys else lookup_join(data, brackets, group)
-    cells = (
-        joined.filter(F.col("value") <= F.col("_hi"))
-        .groupBy(*group, "_n", "_i", "_h", F.when(F.col("value") >= F.col("_lo"), F.col("value")).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_m"))
+    # The bracket ends cut the number line into regions.  Values in a bracket stay apart,
+    # the others are only counted per region; ordering by (region, value) orders by value.
+    v = F.col("value")
+    region, kept = F.lit(0), F.lit(False)
+    for i in range(k):
+        region = region + (v >= F.col(f"_lo{i}")).cast("int") + (v > F.col(f"_hi{i}")).cast("int")
+        kept = kept | v.between(F.col(f"_lo{i}"), F.col(f"_hi{i}"))
+    cells = joined.groupBy(*group, region.alias("_region"), F.when(kept, v).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_m"), F.first("_n").alias("_n"), *[F.first(n).alias(n) for n in extra]
     )
-    target = [*group, "_i"]
-    running = W.partitionBy(*target).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    running = W.partitionBy(*group).orderBy("_region", F.col("_v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
     ranked = cells.withColumn("_upto", F.sum("_m").over(running))
-    picked = ranked.groupBy(*target, "_h").agg(
-        F.min(F.when(F.col("_upto") > F.floor("_h"), F.struct(F.col("_upto"), F.col("_v")))).alias("_a"),
-        F.min(F.when(F.col("_upto") > F.ceil("_h"), F.struct(F.col("_upto"), F.col("_v")))).alias("_b"),
-    )
-    missed = F.raise_error(F.lit("quantile rank outside its bracket"))
-    low = F.when(F.col("_a._v").isNull(), missed.cast("double")).otherwise(F.col("_a._v"))
-    high = F.when(F.col("_b._v").isNull(), missed.cast("double")).otherwise(F.col("_b._v"))
-    values = picked.select(*target, (low + (high - low) * (F.col("_h") - F.floor("_h"))).alias("_value"))
-    return values.groupBy(*group).agg(
-        *[F.max(F.when(F.col("_i") == i, F.col("_value"))).alias(f"q{i}") for i in range(k)]
-    )
+    picks = []
+    for i, p in enumerate(probs):
+        rank = (F.col("_n") - 1) * F.lit(float(p))
+        for side, at in (("a", F.floor(rank)), ("b", F.ceil(rank))):
+            picks.append(F.min(F.when(F.col("_upto") > at, F.struct("_upto", "_v"))).alias(f"_{side}{i}"))
+    picked = ranked.groupBy(*group).agg(F.first("_n").alias("_n"), *picks, *[F.first(n).alias(n) for n in extra])
+    missed = F.raise_error(F.lit("quantile rank outside its bracket")).cast("double")
+    out = []
+    for i, p in enumerate(probs):
+        rank = (F.col("_n") - 1) * F.lit(float(p))
+        low, high = F.coalesce(F.col(f"_a{i}._v"), missed), F.coalesce(F.col(f"_b{i}._v"), missed)
+        out.append((low + (high - low) * (rank - F.floor(rank))).alias(f"q{i}"))
+    return picked.select(*group, *extra, *out)
 
 
 def wide_quantile(quantiles: DataFrame, keys: Sequence[str], columns: Sequence[str], source: str = "q0",

@@ -7,19 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from nightframe.functions.numeric import as_col
+from nightframe.session import ensure_checkpoint_dir
 
 SALTS = 16
+BROADCAST_ROWS = 100_000
 
 
 def lookup_join(large: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner",
-                salts: int = SALTS) -> DataFrame:
+                salts: int = SALTS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join data with skewed keys to a table of one row per key.
 
-    The lookup side is copied ``salts`` times and each data row goes to one copy, chosen
-    by a hash of its content and its input partition (both stable under task retries), so
-    a hot key is spread.  When the lookup side turns out small at run time, adaptive
-    execution turns this into a broadcast join and the salt costs nothing.
+    The lookup table is computed once, into a checkpoint, and counted.  Up to
+    ``broadcast_rows`` rows it is broadcast, and the data is not shuffled at all.  Beyond
+    that it is copied ``salts`` times and each data row goes to one copy, chosen by a hash
+    of its content and its input partition (both stable under task retries), so a hot key
+    is spread over that many tasks.
     """
+    ensure_checkpoint_dir(small.sparkSession)
+    small = small.checkpoint()
+    if small.count() <= broadcast_rows:
+        return large.join(F.broadcast(small), list(keys), how)
     salt = F.pmod(F.xxhash64(*large.columns, F.spark_partition_id()), F.lit(salts)).cast("int")
     left = large.withColumn("_salt", salt)
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

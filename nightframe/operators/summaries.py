@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from nightframe.operators.quantiles import exact_quantiles, long_form, wide_quantile
-from nightframe.operators.skew import lookup_join, zero_filled_counts
+from nightframe.operators.skew import zero_filled_counts
 from nightframe.schemas import STAGES
 
 
@@ -20,13 +20,12 @@ def class_distribution(df: DataFrame, label: str = "sleep_stage", classes: Seque
 
 def grouped_summary(df: DataFrame, key: str, columns: Sequence[str], bounded: bool = True) -> DataFrame:
     """count, mean, population std, quartiles, IQR, min and max per (key, feature)."""
-    data = long_form(df, [key], columns)
-    moments = data.groupBy(key, "feature").agg(
-        F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
-        F.min("value").alias("minimum"), F.max("value").alias("maximum"),
-    )
-    q = exact_quantiles(df, [key], columns, (0.25, 0.5, 0.75), bounded_keys=bounded)
-    return moments.join(q, [key, "feature"]).select(
+    moments = {
+        "count": F.count(F.lit(1)), "mean": F.avg("value"), "std": F.stddev_pop("value"),
+        "minimum": F.min("value"), "maximum": F.max("value"),
+    }
+    q = exact_quantiles(df, [key], columns, (0.25, 0.5, 0.75), bounded_keys=bounded, extra=moments)
+    return q.select(
         key, "feature", "count", "mean", "std", F.col("q1").alias("median"), F.col("q0").alias("q1"),
         F.col("q2").alias("q3"), (F.col("q2") - F.col("q0")).alias("iqr"), "minimum", "maximum",
     )
@@ -101,8 +100,3 @@ def missing_cells(df: DataFrame) -> DataFrame:
     per_row = sum((F.col(c).isNull().cast("bigint") for c in df.columns), F.lit(0).cast("bigint"))
     return df.agg(F.sum(per_row).alias("missing_cells"))
 
-
-__all__ = [
-    "class_distribution", "grouped_summary", "grouped_medians", "outlier_summary", "box_statistics",
-    "constant_features", "missing_cells", "lookup_join",
-]

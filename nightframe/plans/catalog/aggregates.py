@@ -71,7 +71,7 @@ _Q = "quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS b, quantile_
 @query("ag08_stage_quartiles", with_views(FT, FT_LONG, select=f"""SELECT sleep_stage, feature, n AS "count", round(b,6) AS median,
   round(a,6) AS q1, round(c,6) AS q3, round(c-a,6) AS iqr FROM (SELECT sleep_stage, feature, count(*) AS n, {_Q} FROM fl GROUP BY 1,2)"""))
 def _(spark, sf):
-    s = summaries.grouped_summary(P.four_powers(spark, sf), "sleep_stage", FEATS)
+    s = summaries.grouped_summary(P.four_powers(spark, sf, dealt=True), "sleep_stage", FEATS)
     return rounded(s.select("sleep_stage", "feature", "count", "median", "q1", "q3", "iqr"), ["median", "q1", "q3", "iqr"])
 
 
@@ -79,14 +79,14 @@ def _(spark, sf):
   round(b,6) AS median, round(a,6) AS q1, round(c,6) AS q3, round(c-a,6) AS iqr, round(lo,6) AS minimum, round(hi,6) AS maximum
   FROM (SELECT sleep_stage, feature, count(*) AS n, avg(value) AS m, stddev_pop(value) AS s, min(value) AS lo, max(value) AS hi, {_Q} FROM fl GROUP BY 1,2)"""))
 def _(spark, sf):
-    s = summaries.grouped_summary(P.four_powers(spark, sf), "sleep_stage", FEATS)
+    s = summaries.grouped_summary(P.four_powers(spark, sf, dealt=True), "sleep_stage", FEATS)
     return rounded(s, ["mean", "std", "median", "q1", "q3", "iqr", "minimum", "maximum"])
 
 
 @query("ag10_recording_medians", with_views(FT, select="SELECT subject_id, recording_id, count(*) AS epoch_count, " + ", ".join(
     f"round(quantile_cont({c}, 0.5),6) AS median_{c}" for c in FEATS) + " FROM ft GROUP BY 1, 2"))
 def _(spark, sf):
-    s = summaries.grouped_medians(P.four_powers(spark, sf), ["subject_id", "recording_id"], FEATS)
+    s = summaries.grouped_medians(P.four_powers(spark, sf, dealt=True), ["subject_id", "recording_id"], FEATS)
     return rounded(s, [f"median_{c}" for c in FEATS])
 
 
@@ -101,12 +101,12 @@ _OUT_COLS = ["q1", "q3", "iqr", "lower_bound", "upper_bound", "outlier_percentag
 
 @query("ag11_outlier_summary", with_views(FT, FT_LONG, _OUT, select="SELECT * FROM os"))
 def _(spark, sf):
-    return rounded(summaries.outlier_summary(P.four_powers(spark, sf), FEATS), _OUT_COLS)
+    return rounded(summaries.outlier_summary(P.four_powers(spark, sf, dealt=True), FEATS), _OUT_COLS)
 
 
 @query("so08_top_outlier_features", with_views(FT, FT_LONG, _OUT, select="SELECT * FROM os ORDER BY outlier_percentage DESC, feature LIMIT 3"))
 def _(spark, sf):
-    return rounded(summaries.outlier_summary(P.four_powers(spark, sf), FEATS).limit(3), _OUT_COLS)
+    return rounded(summaries.outlier_summary(P.four_powers(spark, sf, dealt=True), FEATS).limit(3), _OUT_COLS)
 
 
 @query("ag12_constant_features", with_views(FT, select=" UNION ALL ".join(
@@ -202,7 +202,7 @@ def _(spark, sf):
     f"round(quantile_cont(relative_{b}_power,0.5),9) AS median_relative_{b}_power" for b in ("delta", "theta", "alpha", "beta")) + " FROM rel GROUP BY 1"))
 def _(spark, sf):
     cols = [f"relative_{b}_power" for b in ("delta", "theta", "alpha", "beta")]
-    df = P.relative_powers(P.four_powers(spark, sf))
+    df = P.relative_powers(P.four_powers(spark, sf, dealt=True))
     wide = wide_quantile(exact_quantiles(df, ["sleep_stage"], cols, (0.5,), bounded_keys=True), ["sleep_stage"], cols)
     return rounded(wide, [f"median_{c}" for c in cols], 9)
 
@@ -213,13 +213,13 @@ def _(spark, sf):
   round(greatest(c, max(CASE WHEN value >= a-1.5*(c-a) AND value <= c+1.5*(c-a) THEN value END)),6) AS whisker_high
   FROM fl JOIN q USING (sleep_stage, feature) GROUP BY sleep_stage, feature, a, b, c"""))
 def _(spark, sf):
-    b = summaries.box_statistics(P.four_powers(spark, sf), "sleep_stage", FEATS)
+    b = summaries.box_statistics(P.four_powers(spark, sf, dealt=True), "sleep_stage", FEATS)
     return rounded(b, ["q1", "median", "q3", "whisker_low", "whisker_high"])
 
 
 def flagship(spark, sf):
     """Clean, engineer, then summarise every engineered feature by stage."""
-    df = engineering.power_features(cleaning.clean(cleaning.supported_labels(P.four_powers(spark, sf))))
+    df = engineering.power_features(cleaning.clean(cleaning.supported_labels(P.four_powers(spark, sf, dealt=True))))
     cols = ["log_signal_energy", "relative_delta_power", "relative_theta_power", "relative_alpha_power", "relative_beta_power"]
     s = summaries.grouped_summary(df, "sleep_stage", cols)
     return rounded(s, ["mean", "std", "median", "q1", "q3", "iqr", "minimum", "maximum"])

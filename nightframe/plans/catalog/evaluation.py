@@ -214,16 +214,16 @@ def _(spark, sf):
 def _(spark, sf):
     return P.scored(spark, sf).select(
         "event_id", PR.argmax("p").alias("argmax"), F.round(PR.confidence("p"), 9).alias("top"), F.round(PR.margin("p"), 9).alias("margin"),
-        F.round(PR.entropy("p"), 9).alias("entropy"), F.round(PR.normalized_entropy("p", 5), 9).alias("normalized"),
+        F.round(PR.entropy("p", 5), 9).alias("entropy"), F.round(PR.normalized_entropy("p", 5), 9).alias("normalized"),
     )
 
 
 @query("ar04_ar05_valid_and_reordered", with_views(PRV, select="""SELECT event_id, abs(list_sum(p) - 1) <= 1e-8 AS is_valid, round(p[5], 9) AS first, round(p[1], 9) AS last, round(list_sum(p), 9) AS total FROM pr"""))
 def _(spark, sf):
-    s = P.scored(spark, sf).withColumn("q", PR.reorder(PR.normalize("p"), [4, 3, 2, 1, 0]))
+    s = PR.with_normalized(P.scored(spark, sf), "p", "n", 5).withColumn("q", PR.reorder("n", [4, 3, 2, 1, 0]))
     return s.select(
         "event_id", PR.is_valid("p", 5).alias("is_valid"), F.round(F.col("q")[0], 9).alias("first"), F.round(F.col("q")[4], 9).alias("last"),
-        F.round(PR.total("q"), 9).alias("total"),
+        F.round(PR.total("q", 5), 9).alias("total"),
     )
 
 

@@ -98,7 +98,7 @@ def _(spark, sf):
 def _(spark, sf):
     from nightframe.operators.quantiles import long_form
 
-    return ranks.value_ranks(long_form(P.four_powers(spark, sf), [], P.FT_FEATURES), ["feature"]).withColumn(
+    return ranks.value_ranks(long_form(P.four_powers(spark, sf, dealt=True), [], P.FT_FEATURES), ["feature"]).withColumn(
         "value", F.round("value", 6)
     )
 

@@ -27,6 +27,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a scan with fewer splits than cores out to all cores, before heavy per-row work.
+
+    A table of many files has more splits than cores and is left as it is.  Only for scans:
+    asking a plan with shuffles for its partitions would run it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def literal_map(mapping: dict, key: Column) -> Column:
     out = None
     for k, v in mapping.items():
@@ -38,9 +48,11 @@ def stage_name(code: Column) -> Column:
     return literal_map(dict(enumerate(STAGES)), code)
 
 
-def epochs(spark: SparkSession, sf: str, positions: bool = False) -> DataFrame:
+def epochs(spark: SparkSession, sf: str, positions: bool = False, dealt: bool = False) -> DataFrame:
     """Epoch rows.  ``positions`` adds epoch_id and start_time_sec, which need an order per recording."""
     ev = table(spark, sf, "events")
+    if dealt:
+        ev = spread(ev.select("user_id", "event_type", "value", "event_id", "ts"))
     code = literal_map(EVENT_CODES, F.col("event_type"))
     df = ev.select(
         F.col("user_id").alias("subject_id"),
@@ -61,8 +73,10 @@ def epochs(spark: SparkSession, sf: str, positions: bool = False) -> DataFrame:
     )
 
 
-def four_powers(spark: SparkSession, sf: str) -> DataFrame:
+def four_powers(spark: SparkSession, sf: str, dealt: bool = False) -> DataFrame:
     li = table(spark, sf, "lineitem")
+    if dealt:
+        li = spread(li.select("l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"))
     code = F.pmod(F.col("l_linenumber") - 1, F.lit(5)).cast("int")
     return li.select(
         F.pmod(F.col("l_suppkey"), F.lit(20)).alias("subject_id"),
@@ -86,7 +100,7 @@ def relative_powers(df: DataFrame) -> DataFrame:
 
 
 def signals(spark: SparkSession, sf: str) -> DataFrame:
-    em = table(spark, sf, "embeddings")
+    em = spread(table(spark, sf, "embeddings").select("vec_id", "embedding"))
     gain = (100.0 * (1 + F.pmod(F.col("vec_id"), F.lit(7)))).cast("double")
     return em.select(
         F.col("vec_id").alias("epoch_id"),
@@ -112,13 +126,11 @@ def annotations(spark: SparkSession, sf: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf: str, positions: bool = False) -> DataFrame:
     """Rows with truth, five probabilities (array ``p``) and a prediction that mostly is the argmax."""
-    base = epochs(spark, sf, positions)
-    raw = F.array(
-        *[(1 + F.pmod(F.col("event_id") * (7 + 2 * i) + 13 * i * i, F.lit(97))).cast("double") for i in range(5)]
-    )
-    with_raw = base.withColumn("_raw", raw)
-    total = F.aggregate("_raw", F.lit(0.0), lambda a, v: a + v)
-    probs = with_raw.withColumn("p", F.transform("_raw", lambda v: v / total)).drop("_raw")
+    base = epochs(spark, sf, positions, dealt=not positions)
+    raw = {f"_r{i}": (1 + F.pmod(F.col("event_id") * (7 + 2 * i) + 13 * i * i, F.lit(97))).cast("double") for i in range(5)}
+    with_raw = base.withColumns(raw)
+    total = F.col("_r0") + F.col("_r1") + F.col("_r2") + F.col("_r3") + F.col("_r4")
+    probs = with_raw.withColumn("p", F.array(*[F.col(f"_r{i}") / total for i in range(5)]))
     top = (F.array_position("p", F.array_max("p")) - 1).cast("int")
     return probs.select(
         "subject_id", "recording_id", "night", *(["epoch_id"] if positions else []), "event_id",

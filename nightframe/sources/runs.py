@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from nightframe.functions.digest import canonical_number, row_sha256, set_sha256
 from nightframe.operators.skew import globally_numbered
 from nightframe.schemas import IDENTIFIERS
+from nightframe.session import ensure_checkpoint_dir
 
 FINGERPRINT_FIELDS = (
     "artifact_type", "model_file_path", "model_file_sha256", "model_name", "candidate_id", "outer_fold",
@@ -72,6 +73,8 @@ def positioned(predictions: DataFrame) -> DataFrame:
 def persist_run(predictions: DataFrame, root: str, metadata: Mapping[str, Any], created_at: str) -> RunResult:
     """Store a run once.  A second call with the same content verifies what is stored and inserts nothing."""
     spark = predictions.sparkSession
+    ensure_checkpoint_dir(spark)
+    predictions = predictions.checkpoint()  # scored once; the digest and the stored rows see the same values
     facts = prediction_digest(predictions).first()
     rows, digest = int(facts["row_count"]), facts["prediction_sha256"]
     if rows == 0:
