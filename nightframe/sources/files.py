@@ -41,7 +41,10 @@ def linked_names(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def digest_files(spark: SparkSession, path: str) -> DataFrame:
-    """(name, size, sha256) of the files below ``path``; a file must fit in one row."""
+    """(name, size, sha256) of the files below ``path``.
+
+    A file must fit in one row, and Spark's file scan passes over empty files.
+    """
     files = spark.read.format("binaryFile").load(path)
     return files.select(
         F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("size"),
