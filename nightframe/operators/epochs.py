@@ -15,7 +15,7 @@ from nightframe.schemas import (
 from nightframe.operators.engineering import encode_stage
 
 
-def inspect_recordings(annotations: DataFrame, duration: Column) -> DataFrame:
+def inspect_recordings(annotations: DataFrame, duration: Column, rate: float = 100.0) -> DataFrame:
     """Roll-up of the annotation segments of each recording against its signal duration.
 
     The label set of a recording is drawn from a short vocabulary; it is made distinct
@@ -27,14 +27,16 @@ def inspect_recordings(annotations: DataFrame, duration: Column) -> DataFrame:
         F.min("onset").alias("annotation_start_seconds"),
         F.max(end).alias("annotation_end_seconds"),
         F.sum("duration").alias("annotation_duration_sum_seconds"),
-        F.round(F.max(end) / 3600.0, 6).alias("annotation_end_hours"),
-        (F.max(end) - duration).alias("alignment_difference_seconds"),
     )
     labels = annotations.select("recording_id", "label").distinct().groupBy("recording_id").agg(
         F.array_sort(F.collect_list("label")).alias("_labels")
     )
     return sums.join(labels, "recording_id").select(
         *sums.columns,
+        F.rint(duration * F.lit(rate)).cast("bigint").alias("n_samples"),
+        duration.alias("signal_duration_seconds"),
+        (duration / 3600.0).alias("signal_duration_hours"),
+        (F.col("annotation_end_seconds") - duration).alias("alignment_difference_seconds"),
         F.to_json("_labels").alias("unique_annotation_labels_json"),
         F.to_json(F.filter("_labels", lambda x: F.startswith(x, F.lit(SLEEP_LABEL_PREFIX)))).alias("sleep_labels_json"),
     )

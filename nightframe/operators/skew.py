@@ -26,11 +26,18 @@ def lookup_join(large: DataFrame, small: DataFrame, keys: Sequence[str], how: st
     ensure_checkpoint_dir(small.sparkSession)
     small = small.checkpoint()
     if small.count() <= broadcast_rows:
-        return large.join(F.broadcast(small), list(keys), how)
+        return same_group(large, F.broadcast(small), keys, how)
     salt = F.pmod(F.xxhash64(*large.columns, F.spark_partition_id()), F.lit(salts)).cast("int")
     left = large.withColumn("_salt", salt)
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return same_group(left, right, [*keys, "_salt"], how).drop("_salt")
+
+
+def same_group(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equality join in which null matches null, so that no row of ``left`` is lost to a null key."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(named, on, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, out: str) -> DataFrame:
@@ -46,7 +53,7 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: C
     counts = tagged.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
     ahead = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select(*group, F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_start"))
-    joined = local.join(starts, group)
+    joined = same_group(local, starts, group)
     return joined.withColumn(out, (F.col("_start") + F.col("_local") - 1).cast("bigint")).drop(
         "_bucket", "_local", "_start"
     )
@@ -82,7 +89,7 @@ def following_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], bu
     firsts = tagged.groupBy(*group).agg(F.min(value).alias("_first"))
     nexts = firsts.select(*group, F.lead("_first").over(W.partitionBy(*keys).orderBy("_bucket")).alias("_after"))
     return (
-        local.join(nexts, group)
+        same_group(local, nexts, group)
         .withColumn(out, F.coalesce("_next", "_after"))
         .drop("_bucket", "_next", "_after")
     )

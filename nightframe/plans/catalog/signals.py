@@ -120,6 +120,13 @@ def _(spark, sf):
     return audits.feature_audit(features(spark, sf), [*TIME_FEATURES, *SPECTRAL_FEATURES], ["recording_id", "chunk"])
 
 
-@query("sg27_recording_features", None)
+# the filtered samples, renamed to the names the feature SQL reads, at 100 Hz and 3.125 Hz bins
+AGAIN = "sl AS (SELECT sg.epoch_id, yy.recording_id, yy.chunk, yy.y AS v, yy.i FROM yy JOIN sg ON sg.recording_id = yy.recording_id AND sg.chunk = yy.chunk)"
+CHAIN = SG_LONG.replace("sl AS", "raw AS"), FILTERED.replace("JOIN sl s", "JOIN raw s"), AGAIN, TF, PSD.replace("k*2.0::DOUBLE", "k*3.125::DOUBLE").replace(
+    "64.0 *", "100.0 *").replace(")*2 AS", ")*3.125 AS")
+
+
+@query("sg27_recording_features", with_views(SG, *CHAIN, select="SELECT yk.recording_id, yk.chunk, tf.sample_count, true AS is_finite_signal, std_uv < 0.1 AS flatline_flag, rawmax > 500 AS amplitude_artifact_flag, (std_uv < 0.1 OR rawmax > 500) AS quality_issue_flag, "
+  + rounded_list([*TIME_FEATURES, *SPECTRAL_FEATURES]) + " FROM tf JOIN sp USING (epoch_id) JOIN (SELECT epoch_id, recording_id, chunk, max(abs(v)) AS rawmax FROM raw GROUP BY 1, 2, 3) yk USING (epoch_id)"))
 def _(spark, sf):
-    return epoch_features(P.signals(spark, sf), ["recording_id"], 100.0, 0.32)
+    return r6(epoch_features(P.signals(spark, sf), ["recording_id"], 100.0, 0.32), [*TIME_FEATURES, *SPECTRAL_FEATURES])

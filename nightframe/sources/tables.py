@@ -47,9 +47,13 @@ def replace_load(facts: DataFrame, fact_path: str, subject_path: str, source: st
     subjects.write.mode("overwrite").parquet(subject_path)
 
 
-def write_parts(df: DataFrame, path: str, key: str = "recording_id", overwrite: bool = False) -> int:
+def write_parts(df: DataFrame, path: str, key: str = "recording_id", overwrite: bool = False,
+                files_per_part: int = 4) -> int:
     """Write per-recording parts; parts that exist are kept unless told otherwise.
 
+    Rows are dealt out by (recording, slice of the row hash): a recording gets a few files
+    instead of one per task, and a large one is not written by a single task.
+
     Returns how many recordings were written.  The finished keys are the partition
     folders, so finding them reads no data file.
     """
@@ -64,8 +68,9 @@ def write_parts(df: DataFrame, path: str, key: str = "recording_id", overwrite:
                 raise
     count = todo.select(key).distinct().count()
     if count:
+        dealt = todo.repartition(F.col(key), F.pmod(F.xxhash64(*todo.columns), F.lit(files_per_part)))
         (
-            todo.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+            dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
         )
     return count
 
