@@ -43,6 +43,22 @@ def epoch_audit(df: DataFrame, epoch_seconds: float) -> DataFrame:
     return violations(df, tests).unionByName(duplicate_keys(df, ["recording_id", "epoch_id"]))
 
 
+def inspection_audit(report: DataFrame) -> DataFrame:
+    """Seven checks of the recording inspection: there are rows, ids are unique, and each recording
+    has the default channel, a positive rate and duration, annotations, and sleep labels among them."""
+    tests = {
+        "default_channel": ~F.col("default_channel_present"),
+        "sampling_rate": F.col("sampling_frequency_hz") <= 0,
+        "signal_duration": F.col("signal_duration_seconds") <= 0,
+        "annotations": F.col("annotation_count") <= 0,
+        "sleep_labels": ~F.contains("sleep_labels_json", F.lit("Sleep stage")),
+    }
+    empty = report.agg(
+        F.lit("non_empty").alias("check_name"), F.when(F.count(F.lit(1)) == 0, 1).otherwise(0).cast("bigint").alias("violations")
+    )
+    return violations(report, tests).unionByName(empty).unionByName(duplicate_keys(report, ["recording_id"]))
+
+
 def feature_audit(df: DataFrame, features: Sequence[str], keys: Sequence[str], bands: Sequence[str] = tuple(BANDS)) -> DataFrame:
     finite = F.lit(False)
     for c in features:

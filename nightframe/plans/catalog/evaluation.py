@@ -125,6 +125,25 @@ def _(spark, sf):
     return r9(M.classification_metrics(P.scored(spark, sf), ["outer_fold"]))
 
 
+@query("me14_outer_summary_frame", with_views(PRV, metric_sql("outer_fold"), select="""SELECT outer_fold, CAST(outer_fold - 1 AS VARCHAR) AS test_subjects,
+  (SELECT string_agg(CAST(s AS VARCHAR), ',' ORDER BY s) FROM (SELECT DISTINCT cohort AS s FROM pr) WHERE s <> outer_fold - 1) AS outer_development_subjects, 'logistic_regression' AS model_name,
+  'logistic_regression__candidate_002' AS candidate_id, '{"C":1.0}' AS candidate_parameters_json, (SELECT count(*) FROM pr) - row_count AS development_row_count, row_count AS test_row_count,
+  predict_probability_argmax_mismatch_count, """ + ", ".join(f"round({c}, 9) AS {c}" for c in (
+    "accuracy", "balanced_accuracy", "macro_f1", "weighted_f1", "cohen_kappa", "multiclass_log_loss", "predict_probability_argmax_agreement",
+    "mean_prediction_confidence", "mean_prediction_margin", "mean_normalized_entropy")) + " FROM mt"))
+def _(spark, sf):
+    from nightframe.plans.evaluation import outer_summary
+
+    scored = P.scored(spark, sf)
+    heads = SP.nested_splits(SP.subject_list(scored, "cohort", expected=4)).filter("inner_fold = 1").select(
+        "outer_fold", F.col("test_subject").cast("string").alias("test_subjects"),
+        F.array_join(F.col("outer_development_subjects").cast("array<string>"), ",").alias("outer_development_subjects"),
+        F.lit("logistic_regression").alias("model_name"), F.lit("logistic_regression__candidate_002").alias("candidate_id"),
+        F.lit('{"C":1.0}').alias("candidate_parameters_json"),
+    )
+    return r9(outer_summary(scored, heads), [c for c in METRIC_COLUMNS if not c.startswith("mean_confidence")])
+
+
 @query("me_subject_level_metrics", with_views(PRV, metric_sql("subject_id"), select=f"SELECT subject_id, row_count, predict_probability_argmax_mismatch_count, {ROUNDED} FROM mt"))
 def _(spark, sf):
     return r9(M.classification_metrics(P.scored(spark, sf), ["subject_id"]))

@@ -7,8 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from nightframe.functions.signal import quality_flags, with_time_features
+from nightframe.operators import audits
 from nightframe.operators.spectral import bandpass, with_psd, with_spectral_features
-from nightframe.schemas import SPECTRAL_FEATURES, TIME_FEATURES, WELCH_SECONDS
+from nightframe.schemas import (
+    EPOCH_COLUMNS, IDENTIFIERS, MODEL_INPUT_COLUMNS, SELECTED_FEATURES, SIGNAL_QUALITY_COLUMNS, SPECTRAL_FEATURES, TIME_FEATURES,
+    WELCH_SECONDS,
+)
 
 
 def chunk_samples(samples: DataFrame, keys: Sequence[str], per_chunk: int, index: str = "sample_index",
@@ -43,3 +47,30 @@ def epoch_features(chunks: DataFrame, keys: Sequence[str], fs: float, window_sec
         with_psd(timed, fs, "filtered", window_seconds, keep=[*ids, *flags, *TIME_FEATURES])
     )
     return spectral.select(*ids, *flags, *TIME_FEATURES, *SPECTRAL_FEATURES)
+
+
+def feature_table(epochs: DataFrame, features: DataFrame, epoch_seconds: float) -> DataFrame:
+    """Epoch metadata with the features of the chunk each epoch covers: 54 columns.
+
+    Epochs start on the chunk grid, so the join is an equality on (recording, chunk) and
+    no recording gathers in one task.
+    """
+    placed = epochs.withColumn("chunk", F.rint(F.col("start_time_sec") / F.lit(float(epoch_seconds))).cast("bigint"))
+    joined = placed.join(features, ["recording_id", "chunk"])
+    return joined.select(*EPOCH_COLUMNS, *SIGNAL_QUALITY_COLUMNS, *TIME_FEATURES, *SPECTRAL_FEATURES)
+
+
+def model_input(table: DataFrame) -> DataFrame:
+    """The 35 columns a model sees, in contract order, after all checks have passed."""
+    audits.require_clean(audits.dataset_audit(table.select(*MODEL_INPUT_COLUMNS), SELECTED_FEATURES, IDENTIFIERS))
+    return table.select(*MODEL_INPUT_COLUMNS).orderBy("subject_id", "recording_id", "night", "epoch_id")
+
+
+def load_model_input(df: DataFrame, scaled: bool = False) -> DataFrame:
+    """Strict load: the exact columns in the exact order, not scaled, and clean."""
+    if scaled:
+        raise ValueError("features were scaled before any split")
+    if tuple(df.columns) != MODEL_INPUT_COLUMNS:
+        raise ValueError("columns or their order differ from the contract")
+    audits.require_clean(audits.dataset_audit(df, SELECTED_FEATURES, IDENTIFIERS))
+    return df
