@@ -1,7 +1,9 @@
-"""Time-domain features of one epoch held as ``array<double>``, all as built-in expressions.
+"""Single quantities of one epoch held as ``array<double>``, as built-in expressions.
 
 An epoch has a fixed length (3000 samples in the field, 64 in the test tables), so an
 array is a bounded value and no shuffle is needed: each row is handled where it lies.
+The full feature set walks the samples many times and is an Arrow batch stage instead
+(``operators.spectral``).
 """
 
 from __future__ import annotations
@@ -16,6 +18,15 @@ def fold(x: Column, step) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda acc, v: acc + step(v))
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row.
+
+    An expression written inside a lambda is evaluated for every element; bound to a
+    one-element array first, it is a plain variable there.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def mean(x: Column | str) -> Column:
     x = as_col(x)
     return fold(x, lambda v: v) / F.size(x)
@@ -23,22 +34,26 @@ def mean(x: Column | str) -> Column:
 
 def central_moment(x: Column | str, order: int, mu: Column | None = None) -> Column:
     x = as_col(x)
-    m = mean(x) if mu is None else mu
-    def step(v):
-        d = v - m
-        out = d
-        for _ in range(order - 1):
-            out = out * d
-        return out
-    return fold(x, step) / F.size(x)
+
+    def moment(m):
+        def step(v):
+            d = v - m
+            out = d
+            for _ in range(order - 1):
+                out = out * d
+            return out
+
+        return fold(x, step) / F.size(x)
+
+    return bind(mean(x), moment) if mu is None else moment(mu)
 
 
 def median(x: Column | str) -> Column:
-    s = F.array_sort(as_col(x))
-    n = F.size(s)
-    lower = F.get(s, F.floor((n - 1) / 2).cast("int"))
-    upper = F.get(s, F.floor(n / 2).cast("int"))
-    return (lower + upper) / 2.0
+    def middle(s):
+        n = F.size(s)
+        return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2.0
+
+    return bind(F.array_sort(as_col(x)), middle)
 
 
 def differences(x: Column | str) -> Column:
@@ -66,71 +81,6 @@ def zero_crossing_rate(x: Column | str) -> Column:
     return fold(changes, lambda v: v) / (n - 1)
 
 
-def with_time_features(df, signal: str = "x", prefix_columns: list[str] | None = None):
-    """Add the 16 time-domain features of column ``signal``.
-
-    Moments are computed once in a first projection and reused by the second, so the
-    array is walked a fixed number of times.
-    """
-    x = F.col(signal)
-    keep = prefix_columns if prefix_columns is not None else df.columns
-    step1 = df.select(
-        *keep, *([signal] if signal not in keep else []),
-        F.size(x).cast("double").alias("_n"),
-        mean(x).alias("_mu"),
-        fold(x, lambda v: v * v).alias("_energy"),
-        F.array_min(x).alias("_lo"),
-        F.array_max(x).alias("_hi"),
-        median(x).alias("_med"),
-        zero_crossing_rate(x).alias("_zcr"),
-        differences(x).alias("_d1"),
-    )
-    step2 = step1.withColumns(
-        {
-            "_m2": central_moment(x, 2, F.col("_mu")),
-            "_m3": central_moment(x, 3, F.col("_mu")),
-            "_m4": central_moment(x, 4, F.col("_mu")),
-            "_mu1": mean(F.col("_d1")),
-            "_line": fold(F.col("_d1"), lambda d: F.abs(d)),
-            "_d2": differences(F.col("_d1")),
-        }
-    ).withColumns(
-        {
-            "_v1": central_moment(F.col("_d1"), 2, F.col("_mu1")),
-            "_v2": central_moment(F.col("_d2"), 2, mean(F.col("_d2"))),
-        }
-    )
-    n, m2, m3, m4 = F.col("_n"), F.col("_m2"), F.col("_m3"), F.col("_m4")
-    v1, v2 = F.col("_v1"), F.col("_v2")
-    mobility = F.when(m2 <= 0, F.lit(0.0)).otherwise(F.sqrt(v1 / m2))
-    skew = F.when((n > 2) & (m2 > 0), F.sqrt(n * (n - 1)) / (n - 2) * m3 / F.pow(m2, F.lit(1.5)))
-    kurt = F.when(
-        (n > 3) & (m2 > 0),
-        (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / (m2 * m2) - 3.0) + 6.0),
-    )
-    out = {
-        "mean_uv": F.col("_mu"),
-        "std_uv": F.sqrt(m2),
-        "median_uv": F.col("_med"),
-        "min_uv": F.col("_lo"),
-        "max_uv": F.col("_hi"),
-        "rms_uv": F.sqrt(F.col("_energy") / n),
-        "peak_to_peak_uv": F.col("_hi") - F.col("_lo"),
-        "mean_square_uv2": F.col("_energy") / n,
-        "signal_energy_uv2": F.col("_energy"),
-        "zero_crossing_rate": F.col("_zcr"),
-        "line_length_uv": F.col("_line"),
-        "skewness": skew,
-        "kurtosis_excess": kurt,
-        "hjorth_activity": m2,
-        "hjorth_mobility": mobility,
-        "hjorth_complexity": F.when(
-            (m2 <= 0) | (v1 <= 0), F.lit(0.0)
-        ).otherwise(F.sqrt(v2 / v1) / F.sqrt(v1 / m2)),
-    }
-    return step2.select(*keep, *[v.alias(k) for k, v in out.items()])
-
-
 def quality_flags(raw: Column | str, filtered: Column | str) -> dict[str, Column]:
     """Flatline is judged on the filtered signal, amplitude on the raw one; rows are only flagged."""
     raw, filtered = as_col(raw), as_col(filtered)

@@ -1,9 +1,11 @@
-"""Frequency-domain stages.
-
-Two Arrow stages hold what built-in expressions cannot say: the Welch estimate of one
-epoch and the zero-phase band-pass of one epoch with its neighbours.  Each works on the
-rows of its own batch; Spark partitions and, for the filter, shuffles by
-(recording, chunk).  Everything that follows from the spectrum is column expressions.
+"""Signal stages.
+
+Two Arrow stages do the work on samples: the zero-phase band-pass of one epoch with its
+neighbours, and the time-domain features with the Welch estimate of one epoch.  Each
+works on the rows of its own batch; Spark partitions and, for the filter, shuffles by
+(recording, chunk).  Higher-order functions could say most of the time features too, but
+they interpret every sample of every pass, which costs some hundred times more per epoch.
+Everything that follows from the spectrum is column expressions.
 """
 
 from __future__ import annotations
@@ -16,18 +18,119 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from nightframe.functions.numeric import safe_ratio
 from nightframe.schemas import (
-    BANDS, EDGE_FRACTION, FILTER_HIGH_HZ, FILTER_LOW_HZ, FILTER_ORDER, FLOAT_TOLERANCE, WELCH_OVERLAP, WELCH_SECONDS,
+    ARTIFACT_ABS_UV, BANDS, EDGE_FRACTION, FILTER_HIGH_HZ, FILTER_LOW_HZ, FILTER_ORDER, FLATLINE_STD_UV, FLOAT_TOLERANCE,
+    SIGNAL_QUALITY_COLUMNS, TIME_FEATURES, WELCH_OVERLAP, WELCH_SECONDS,
 )
 
 
-def _stacks(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of equal length as one matrix each: (row positions, matrix)."""
-    lengths = np.diff(column.offsets.to_numpy())
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+def _stacks(*columns: pa.ListArray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Rows of equal length as matrices: (row positions, one matrix per column)."""
+    lengths = np.diff(columns[0].offsets.to_numpy())
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else lengths
+    flats = [c.flatten().to_numpy(zero_copy_only=False) for c in columns]
     for size in np.unique(lengths):
         rows = np.flatnonzero(lengths == size)
-        yield rows, flat[starts[rows][:, None] + np.arange(size)]
+        at = starts[rows][:, None] + np.arange(size)
+        yield (rows, *[f[at] for f in flats])
+
+
+def _listed(rows: Sequence[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows)))
+
+
+def map_signals(df: DataFrame, keep: Sequence[str], signals: Sequence[str], fields: Sequence[T.StructField], measure) -> DataFrame:
+    """Keep some columns and add what ``measure`` says about the signals of each row.
+
+    ``measure`` takes one matrix per signal (rows of equal length) and returns, per field,
+    a vector or a matrix with one row per input row.  NaN in a vector becomes null.
+    """
+    source = df.select(*keep, *signals)
+    schema = T.StructType([source.schema[c] for c in keep] + list(fields))
+    names = [f.name for f in fields]
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            out = {n: [None] * batch.num_rows for n in names}
+            for rows, *matrices in _stacks(*[batch.column(len(keep) + i) for i in range(len(signals))]):
+                found = measure(*matrices)
+                for n in names:
+                    for at, value in zip(rows, found[n]):
+                        out[n][at] = value
+            made = []
+            for f in fields:
+                if isinstance(f.dataType, T.ArrayType):
+                    made.append(_listed(out[f.name]))
+                else:
+                    made.append(pa.array(np.asarray(out[f.name]), from_pandas=True))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], *made], names=[*keep, *names])
+
+    return source.mapInArrow(stage, schema)
+
+
+def time_domain(x: np.ndarray) -> dict[str, np.ndarray]:
+    """The 16 time-domain features of each row; skewness and kurtosis of a constant are undefined."""
+    n = x.shape[1]
+    mu = x.mean(axis=1)
+    d = x - mu[:, None]
+    m2, m3, m4 = ((d**k).mean(axis=1) for k in (2, 3, 4))
+    d1 = np.diff(x, axis=1)
+    v1, v2 = d1.var(axis=1), np.diff(d1, axis=1).var(axis=1)
+    energy = np.cumsum(x**2, axis=1)[:, -1]  # in sample order, like a plain running sum
+    with np.errstate(divide="ignore", invalid="ignore"):
+        moves = m2 > 0
+        mobility = np.where(moves, np.sqrt(v1 / m2), 0.0)
+        complexity = np.where(moves & (v1 > 0), np.sqrt(v2 / v1) / np.sqrt(v1 / m2), 0.0)
+        skew = np.where(moves & (n > 2), np.sqrt(n * (n - 1.0)) / max(n - 2, 1) * m3 / m2**1.5, np.nan)
+        kurt = np.where(moves & (n > 3), (n - 1) / max((n - 2) * (n - 3), 1) * ((n + 1) * (m4 / m2**2 - 3) + 6), np.nan)
+    low, high = x.min(axis=1), x.max(axis=1)
+    return {
+        "mean_uv": mu, "std_uv": np.sqrt(m2), "median_uv": np.median(x, axis=1), "min_uv": low, "max_uv": high,
+        "rms_uv": np.sqrt(energy / n), "peak_to_peak_uv": high - low, "mean_square_uv2": energy / n,
+        "signal_energy_uv2": energy, "zero_crossing_rate": (np.diff(np.signbit(x), axis=1) != 0).mean(axis=1),
+        "line_length_uv": np.abs(d1).sum(axis=1), "skewness": skew, "kurtosis_excess": kurt, "hjorth_activity": m2,
+        "hjorth_mobility": mobility, "hjorth_complexity": complexity,
+    }
+
+
+def quality(raw: np.ndarray, filtered: np.ndarray) -> dict[str, np.ndarray]:
+    """Flatline is judged on the filtered signal, amplitude on the raw one; rows are only flagged."""
+    flat = filtered.std(axis=1) < FLATLINE_STD_UV
+    loud = np.abs(raw).max(axis=1) > ARTIFACT_ABS_UV
+    return {
+        "sample_count": np.full(len(raw), filtered.shape[1], dtype=np.int64),
+        "is_finite_signal": np.isfinite(raw).all(axis=1) & np.isfinite(filtered).all(axis=1),
+        "flatline_flag": flat, "amplitude_artifact_flag": loud, "quality_issue_flag": flat | loud,
+    }
+
+
+def spectrum(x: np.ndarray, fs: float, window_seconds: float, overlap: float) -> dict[str, np.ndarray]:
+    values, width = welch(x, fs, window_seconds, overlap)
+    if values.shape[1] < 2 or not np.isfinite(values).all():
+        raise ValueError("spectral density is empty or not finite")
+    return {"psd": values, "hz": np.full(len(x), width)}
+
+
+TIME_FIELDS = tuple(T.StructField(c, T.DoubleType()) for c in TIME_FEATURES)
+QUALITY_FIELDS = (T.StructField("sample_count", T.LongType()),) + tuple(
+    T.StructField(c, T.BooleanType()) for c in SIGNAL_QUALITY_COLUMNS[1:]
+)
+SPECTRUM_FIELDS = (T.StructField("psd", T.ArrayType(T.DoubleType())), T.StructField("hz", T.DoubleType()))
+
+
+def with_time_features(df: DataFrame, signal: str, keep: Sequence[str]) -> DataFrame:
+    return map_signals(df, keep, [signal], TIME_FIELDS, time_domain)
+
+
+def with_all_measures(df: DataFrame, keep: Sequence[str], raw: str, filtered: str, fs: float, window_seconds: float,
+                      overlap: float = WELCH_OVERLAP) -> DataFrame:
+    """Quality flags, time features and spectrum in one pass over the samples."""
+    def measure(r, f):
+        return {**quality(r, f), **time_domain(f), **spectrum(f, fs, window_seconds, overlap)}
+
+    return map_signals(df, keep, [raw, filtered], [*QUALITY_FIELDS, *TIME_FIELDS, *SPECTRUM_FIELDS], measure)
 
 
 def welch(x: np.ndarray, fs: float, window_seconds: float, overlap: float) -> tuple[np.ndarray, float]:
@@ -47,32 +150,7 @@ def with_psd(df: DataFrame, fs: float, signal: str = "x", window_seconds: float
              overlap: float = WELCH_OVERLAP, keep: Sequence[str] | None = None) -> DataFrame:
     """Replace the signal by ``psd`` (array) and ``hz`` (bin width); a non-finite density is an error."""
     keep = [c for c in (keep if keep is not None else df.columns) if c != signal]
-    source = df.select(*keep, signal)
-    schema = T.StructType(
-        [source.schema[c] for c in keep]
-        + [T.StructField("psd", T.ArrayType(T.DoubleType())), T.StructField("hz", T.DoubleType())]
-    )
-
-    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            psd: list = [None] * batch.num_rows
-            hz = np.zeros(batch.num_rows)
-            for rows, matrix in _stacks(batch.column(len(keep))):
-                values, width = welch(matrix, fs, window_seconds, overlap)
-                if values.shape[1] < 2 or not np.isfinite(values).all():
-                    raise ValueError("spectral density is empty or not finite")
-                for at, row in zip(rows, values):
-                    psd[at] = row
-                hz[rows] = width
-            sizes = np.concatenate(([0], np.cumsum([len(p) for p in psd]))).astype(np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(psd)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in range(len(keep))] + [listed, pa.array(hz)], names=[*keep, "psd", "hz"]
-            )
-
-    return source.mapInArrow(stage, schema)
+    return map_signals(df, keep, [signal], SPECTRUM_FIELDS, lambda x: spectrum(x, fs, window_seconds, overlap))
 
 
 def _sum(a: Column) -> Column:
@@ -204,10 +282,9 @@ def bandpass(chunks: DataFrame, keys: Sequence[str], chunk: str, fs: float, sign
     """Zero-phase band-pass of a chunked signal, parallel over chunks."""
     band_gain(2, fs)  # validates the cutoff before any job starts
     context = with_neighbours(chunks, keys, chunk, signal, reach)
-    fields = [context.schema[c] for c in (*keys, chunk, signal)]
-    schema = T.StructType([*fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
     names = [*keys, chunk, signal]
     source = context.select(*names, "context", "context_start")
+    schema = T.StructType([*[source.schema[c] for c in names], T.StructField(out, T.ArrayType(T.DoubleType()))])
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,8 +298,6 @@ def bandpass(chunks: DataFrame, keys: Sequence[str], chunk: str, fs: float, sign
                 whole = np.fft.irfft(np.fft.rfft(matrix, axis=1) * band_gain(n, fs), n=n, axis=1)
                 for at, row in zip(rows, whole):
                     made[at] = row[starts[at] : starts[at] + sizes[at]]
-            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(made)))
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + [listed], names=[*names, out])
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + [_listed(made)], names=[*names, out])
 
     return source.mapInArrow(stage, schema)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nightframe import proxies as P
-from nightframe.functions.signal import quality_flags, with_time_features
+from nightframe.functions.signal import quality_flags
 from nightframe.operators import audits
-from nightframe.operators.spectral import bandpass, with_psd, with_spectral_features
+from nightframe.operators.spectral import bandpass, with_psd, with_spectral_features, with_time_features
 from nightframe.plans.oracle import SG, SG_LONG, with_views
 from nightframe.plans.recordings import chunk_samples, epoch_features
 from nightframe.plans.registry import query

@@ -6,9 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from nightframe.functions.signal import quality_flags, with_time_features
 from nightframe.operators import audits
-from nightframe.operators.spectral import bandpass, with_psd, with_spectral_features
+from nightframe.operators.spectral import bandpass, with_all_measures, with_spectral_features
 from nightframe.schemas import (
     EPOCH_COLUMNS, IDENTIFIERS, MODEL_INPUT_COLUMNS, SELECTED_FEATURES, SIGNAL_QUALITY_COLUMNS, SPECTRAL_FEATURES, TIME_FEATURES,
     WELCH_SECONDS,
@@ -36,17 +35,12 @@ def epoch_features(chunks: DataFrame, keys: Sequence[str], fs: float, window_sec
                    reach: int = 2, filtered: bool = True) -> DataFrame:
     """Filter, flag, and compute all time and spectral features of each chunk.
 
-    One shuffle in all, to bring each chunk its neighbours; the features are narrow.
+    One shuffle in all, to bring each chunk its neighbours; the measures are narrow.
     """
     source = bandpass(chunks, keys, "chunk", fs, reach=reach) if filtered else chunks.withColumn("filtered", F.col("x"))
     ids = [*keys, "chunk"]
-    flagged = source.withColumns(quality_flags("x", "filtered"))
-    flags = list(quality_flags("x", "filtered"))
-    timed = with_time_features(flagged.drop("x"), "filtered", [*ids, *flags, "filtered"])
-    spectral = with_spectral_features(
-        with_psd(timed, fs, "filtered", window_seconds, keep=[*ids, *flags, *TIME_FEATURES])
-    )
-    return spectral.select(*ids, *flags, *TIME_FEATURES, *SPECTRAL_FEATURES)
+    measured = with_spectral_features(with_all_measures(source, ids, "x", "filtered", fs, window_seconds))
+    return measured.select(*ids, *SIGNAL_QUALITY_COLUMNS, *TIME_FEATURES, *SPECTRAL_FEATURES)
 
 
 def feature_table(epochs: DataFrame, features: DataFrame, epoch_seconds: float) -> DataFrame:

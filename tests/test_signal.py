@@ -3,8 +3,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from nightframe.functions.signal import quality_flags, with_time_features, zero_crossing_rate
-from nightframe.operators.spectral import band_gain, bandpass, welch, with_psd, with_spectral_features
+from nightframe.functions.signal import central_moment, median, quality_flags, zero_crossing_rate
+from nightframe.operators.spectral import band_gain, bandpass, quality, welch, with_psd, with_spectral_features, with_time_features
 from nightframe.plans.recordings import chunk_samples, epoch_features, require_samples
 from nightframe.schemas import SPECTRAL_FEATURES, TIME_FEATURES
 
@@ -38,6 +38,17 @@ def test_constant_signal_is_degenerate_but_defined(spark):
     assert got.zero_crossing_rate == 0.0 and got.line_length_uv == 0.0 and got.skewness is None
 
 
+def test_expressions_agree_with_the_batch_stage(spark):
+    x = np.random.default_rng(3).normal(1, 5, 501)
+    df = frame(spark, x)
+    e = df.select(central_moment("x", 2).alias("m2"), central_moment("x", 4).alias("m4"), median("x").alias("med"), zero_crossing_rate("x").alias("z")).first()
+    d = x - x.mean()
+    assert e.m2 == pytest.approx((d**2).mean()) and e.m4 == pytest.approx((d**4).mean()) and e.med == pytest.approx(np.median(x))
+    assert e.z == pytest.approx(with_time_features(df, "x", ["epoch_id"]).first().zero_crossing_rate)
+    q = quality(np.array([x * 200, x]), np.array([x, x * 0]))
+    assert q["amplitude_artifact_flag"].tolist() == [True, False] and q["flatline_flag"].tolist() == [False, True]
+
+
 def test_minus_zero_counts_as_negative(spark):
     got = frame(spark, [1.0, -0.0, 0.0, 1.0]).select(zero_crossing_rate("x").alias("z")).first().z
     assert got == pytest.approx(2 / 3)
