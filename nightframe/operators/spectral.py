@@ -254,50 +254,56 @@ def band_gain(n: int, fs: float, low: float = FILTER_LOW_HZ, high: float = FILTE
     return gain
 
 
-def with_neighbours(chunks: DataFrame, keys: Sequence[str], chunk: str, signal: str, reach: int = 2) -> DataFrame:
-    """Each chunk with the samples of up to ``reach`` chunks on both sides.
+def with_neighbours(chunks: DataFrame, keys: Sequence[str], chunk: str, signal: str, reach: int = 2,
+                    block: int = 1) -> DataFrame:
+    """Blocks of ``block`` consecutive chunks with the samples of ``reach`` chunks on both sides.
 
-    Every chunk is sent to at most 2*reach+1 targets and a target gathers at most that
-    many chunks, whatever the length of the recording.
+    A chunk is sent to its own block and to those whose border is within reach, which is
+    1 + 2*reach/block copies on average.  A block gathers at most block + 2*reach chunks,
+    whatever the length of the recording.
     """
+    first, last = F.floor((F.col(chunk) - reach) / block), F.floor((F.col(chunk) + reach) / block)
     sent = chunks.select(
-        *keys, F.col(chunk).alias("_from"), F.col(signal).alias("_x"),
-        F.explode(F.sequence(F.col(chunk) - reach, F.col(chunk) + reach)).alias(chunk),
+        *keys, F.col(chunk).alias("_from"), F.col(signal).alias("_x"), F.explode(F.sequence(first, last)).alias("_block")
     )
     ordered = F.array_sort(F.collect_list(F.struct("_from", "_x")))
-    gathered = sent.groupBy(*keys, chunk).agg(ordered.alias("_parts"))
-    present = gathered.filter(F.exists("_parts", lambda p: p["_from"] == F.col(chunk)))
-    before = F.aggregate(
-        F.filter("_parts", lambda p: p["_from"] < F.col(chunk)), F.lit(0), lambda acc, p: acc + F.size(p["_x"])
-    )
-    own = F.filter("_parts", lambda p: p["_from"] == F.col(chunk))[0]["_x"]
-    return present.select(
-        *keys, chunk, own.alias(signal), F.flatten(F.transform("_parts", lambda p: p["_x"])).alias("context"),
-        before.alias("context_start"),
-    )
+    gathered = sent.groupBy(*keys, "_block").agg(ordered.alias("_parts"))
+    start = F.col("_block") * block
+    count = lambda parts: F.aggregate(parts, F.lit(0), lambda acc, p: acc + F.size(p["_x"]))
+    own = F.filter("_parts", lambda p: (p["_from"] >= start) & (p["_from"] < start + block))
+    return gathered.select(
+        *keys, own.alias("_own"), F.flatten(F.transform("_parts", lambda p: p["_x"])).alias("_context"),
+        count(F.filter("_parts", lambda p: p["_from"] < start)).alias("_start"),
+    ).filter(F.size("_own") > 0).withColumn("_length", count(F.col("_own")))
 
 
 def bandpass(chunks: DataFrame, keys: Sequence[str], chunk: str, fs: float, signal: str = "x", reach: int = 2,
-             out: str = "filtered") -> DataFrame:
-    """Zero-phase band-pass of a chunked signal, parallel over chunks."""
+             block: int = 1, out: str = "filtered") -> DataFrame:
+    """Zero-phase band-pass of a chunked signal, parallel over blocks of chunks."""
     band_gain(2, fs)  # validates the cutoff before any job starts
-    context = with_neighbours(chunks, keys, chunk, signal, reach)
-    names = [*keys, chunk, signal]
-    source = context.select(*names, "context", "context_start")
-    schema = T.StructType([*[source.schema[c] for c in names], T.StructField(out, T.ArrayType(T.DoubleType()))])
+    names = [*keys, "_own"]
+    source = with_neighbours(chunks, keys, chunk, signal, reach, block).select(*names, "_context", "_start", "_length")
+    schema = T.StructType([*[source.schema[c] for c in names], T.StructField("_filtered", T.ArrayType(T.DoubleType()))])
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            starts = batch.column(len(names) + 1).to_numpy()
-            sizes = np.diff(batch.column(len(names) - 1).offsets.to_numpy())
+            starts, sizes = (batch.column(len(names) + i).to_numpy() for i in (1, 2))
             made: list = [None] * batch.num_rows
             for rows, matrix in _stacks(batch.column(len(names))):
                 n = matrix.shape[1]
                 whole = np.fft.irfft(np.fft.rfft(matrix, axis=1) * band_gain(n, fs), n=n, axis=1)
                 for at, row in zip(rows, whole):
                     made[at] = row[starts[at] : starts[at] + sizes[at]]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + [_listed(made)], names=[*names, out])
-
-    return source.mapInArrow(stage, schema)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(i) for i in range(len(names))] + [_listed(made)], names=[*names, "_filtered"]
+            )
+
+    blocks = source.mapInArrow(stage, schema)
+    rows = blocks.select(*keys, "_filtered", "_own", F.posexplode("_own").alias("_at", "_chunk"))
+    offset = F.aggregate(F.slice("_own", F.lit(1), F.col("_at")), F.lit(0), lambda acc, p: acc + F.size(p["_x"]))
+    return rows.select(
+        *keys, F.col("_chunk._from").alias(chunk), F.col("_chunk._x").alias(signal),
+        F.slice("_filtered", offset + 1, F.size("_chunk._x")).alias(out),
+    )

@@ -129,4 +129,4 @@ CHAIN = SG_LONG.replace("sl AS", "raw AS"), FILTERED.replace("JOIN sl s", "JOIN
 @query("sg27_recording_features", with_views(SG, *CHAIN, select="SELECT yk.recording_id, yk.chunk, tf.sample_count, true AS is_finite_signal, std_uv < 0.1 AS flatline_flag, rawmax > 500 AS amplitude_artifact_flag, (std_uv < 0.1 OR rawmax > 500) AS quality_issue_flag, "
   + rounded_list([*TIME_FEATURES, *SPECTRAL_FEATURES]) + " FROM tf JOIN sp USING (epoch_id) JOIN (SELECT epoch_id, recording_id, chunk, max(abs(v)) AS rawmax FROM raw GROUP BY 1, 2, 3) yk USING (epoch_id)"))
 def _(spark, sf):
-    return r6(epoch_features(P.signals(spark, sf), ["recording_id"], 100.0, 0.32), [*TIME_FEATURES, *SPECTRAL_FEATURES])
+    return r6(epoch_features(P.signals(spark, sf), ["recording_id"], 100.0, 0.32, block=1), [*TIME_FEATURES, *SPECTRAL_FEATURES])

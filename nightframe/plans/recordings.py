@@ -32,12 +32,12 @@ def require_samples(df: DataFrame, signal: str, expected: int) -> DataFrame:
 
 
 def epoch_features(chunks: DataFrame, keys: Sequence[str], fs: float, window_seconds: float = WELCH_SECONDS,
-                   reach: int = 2, filtered: bool = True) -> DataFrame:
+                   reach: int = 2, block: int = 16, filtered: bool = True) -> DataFrame:
     """Filter, flag, and compute all time and spectral features of each chunk.
 
-    One shuffle in all, to bring each chunk its neighbours; the measures are narrow.
+    One shuffle in all, to bring each block of chunks its neighbours; the measures are narrow.
     """
-    source = bandpass(chunks, keys, "chunk", fs, reach=reach) if filtered else chunks.withColumn("filtered", F.col("x"))
+    source = bandpass(chunks, keys, "chunk", fs, reach=reach, block=block) if filtered else chunks.withColumn("filtered", F.col("x"))
     ids = [*keys, "chunk"]
     measured = with_spectral_features(with_all_measures(source, ids, "x", "filtered", fs, window_seconds))
     return measured.select(*ids, *SIGNAL_QUALITY_COLUMNS, *TIME_FEATURES, *SPECTRAL_FEATURES)

@@ -108,14 +108,15 @@ def test_mixed_lengths_share_a_batch(spark):
     assert {r.epoch_id: len(r.psd) for r in df.collect()} == {0: 201, 1: 201}
 
 
-def test_chunked_filter_equals_the_whole_signal(spark):
+@pytest.mark.parametrize("block", [1, 4, 16])
+def test_chunked_filter_equals_the_whole_signal(spark, block):
     rng = np.random.default_rng(7)
     size, chunks = 3000, 12
     x = np.cumsum(rng.normal(0, 1, size * chunks)) + rng.normal(0, 3, size * chunks)
     x = x - np.linspace(x[0], x[-1], len(x))
     rows = [("A", c, [float(v) for v in x[c * size:(c + 1) * size]]) for c in range(chunks)]
     df = spark.createDataFrame(rows, "recording_id string, chunk bigint, x array<double>").repartition(5)
-    got = {r.chunk: np.array(r.filtered) for r in bandpass(df, ["recording_id"], "chunk", FS).collect()}
+    got = {r.chunk: np.array(r.filtered) for r in bandpass(df, ["recording_id"], "chunk", FS, block=block).collect()}
     whole = np.fft.irfft(np.fft.rfft(x) * band_gain(len(x), FS), n=len(x))
     assert sorted(got) == list(range(chunks))
     for c in range(2, chunks - 2):
