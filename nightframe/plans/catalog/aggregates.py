@@ -15,8 +15,12 @@ from nightframe.schemas import STAGES
 FEATS = P.FT_FEATURES
 
 
+# Quantiles interpolate between values of few decimals, so at six digits they often sit on a tie.
+FINE = {"median", "q1", "q3", "iqr", "lower_bound", "upper_bound", *(f"median_{c}" for c in FEATS)}
+
+
 def rounded(df, columns, digits=6):
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    return df.withColumns({c: F.round(c, 9 if c in FINE else digits) for c in columns})
 
 
 @query("ag01_epochs_per_stage", with_views(EP, select="SELECT sleep_stage, count(*) AS epoch_count FROM ep GROUP BY 1"))
@@ -68,15 +72,15 @@ def _(spark, sf):
 _Q = "quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS b, quantile_cont(value, 0.75) AS c"
 
 
-@query("ag08_stage_quartiles", with_views(FT, FT_LONG, select=f"""SELECT sleep_stage, feature, n AS "count", round(b,6) AS median,
-  round(a,6) AS q1, round(c,6) AS q3, round(c-a,6) AS iqr FROM (SELECT sleep_stage, feature, count(*) AS n, {_Q} FROM fl GROUP BY 1,2)"""))
+@query("ag08_stage_quartiles", with_views(FT, FT_LONG, select=f"""SELECT sleep_stage, feature, n AS "count", round(b,9) AS median,
+  round(a,9) AS q1, round(c,9) AS q3, round(c-a,9) AS iqr FROM (SELECT sleep_stage, feature, count(*) AS n, {_Q} FROM fl GROUP BY 1,2)"""))
 def _(spark, sf):
     s = summaries.grouped_summary(P.four_powers(spark, sf, dealt=True), "sleep_stage", FEATS)
     return rounded(s.select("sleep_stage", "feature", "count", "median", "q1", "q3", "iqr"), ["median", "q1", "q3", "iqr"])
 
 
 @query("ag09_stage_summary", with_views(FT, FT_LONG, select=f"""SELECT sleep_stage, feature, n AS "count", round(m,6) AS mean, round(s,6) AS std,
-  round(b,6) AS median, round(a,6) AS q1, round(c,6) AS q3, round(c-a,6) AS iqr, round(lo,6) AS minimum, round(hi,6) AS maximum
+  round(b,9) AS median, round(a,9) AS q1, round(c,9) AS q3, round(c-a,9) AS iqr, round(lo,6) AS minimum, round(hi,6) AS maximum
   FROM (SELECT sleep_stage, feature, count(*) AS n, avg(value) AS m, stddev_pop(value) AS s, min(value) AS lo, max(value) AS hi, {_Q} FROM fl GROUP BY 1,2)"""))
 def _(spark, sf):
     s = summaries.grouped_summary(P.four_powers(spark, sf, dealt=True), "sleep_stage", FEATS)
@@ -84,7 +88,7 @@ def _(spark, sf):
 
 
 @query("ag10_recording_medians", with_views(FT, select="SELECT subject_id, recording_id, count(*) AS epoch_count, " + ", ".join(
-    f"round(quantile_cont({c}, 0.5),6) AS median_{c}" for c in FEATS) + " FROM ft GROUP BY 1, 2"))
+    f"round(quantile_cont({c}, 0.5),9) AS median_{c}" for c in FEATS) + " FROM ft GROUP BY 1, 2"))
 def _(spark, sf):
     s = summaries.grouped_medians(P.four_powers(spark, sf, dealt=True), ["subject_id", "recording_id"], FEATS)
     return rounded(s, [f"median_{c}" for c in FEATS])
@@ -92,7 +96,7 @@ def _(spark, sf):
 
 _OUT = """o AS (SELECT feature, quantile_cont(value,0.25) AS q1, quantile_cont(value,0.75) AS q3 FROM fl GROUP BY 1),
 ob AS (SELECT *, q3-q1 AS iqr, q1-1.5*(q3-q1) AS lb, q3+1.5*(q3-q1) AS ub FROM o),
-os AS (SELECT feature, round(q1,6) AS q1, round(q3,6) AS q3, round(iqr,6) AS iqr, round(lb,6) AS lower_bound, round(ub,6) AS upper_bound,
+os AS (SELECT feature, round(q1,9) AS q1, round(q3,9) AS q3, round(iqr,9) AS iqr, round(lb,9) AS lower_bound, round(ub,9) AS upper_bound,
   count(*) FILTER (WHERE value < lb OR value > ub) AS outlier_count,
   round(100.0 * count(*) FILTER (WHERE value < lb OR value > ub) / count(*), 6) AS outlier_percentage,
   round(min(value),6) AS minimum, round(max(value),6) AS maximum FROM fl JOIN ob USING (feature) GROUP BY feature, ob.q1, ob.q3, ob.iqr, lb, ub)"""
@@ -218,7 +222,7 @@ def _(spark, sf):
 
 
 @query("ag27_box_statistics", with_views(FT, FT_LONG, f"q AS (SELECT sleep_stage, feature, {_Q} FROM fl GROUP BY 1,2)", select="""
-  SELECT sleep_stage, feature, round(a,6) AS q1, round(b,6) AS median, round(c,6) AS q3,
+  SELECT sleep_stage, feature, round(a,9) AS q1, round(b,9) AS median, round(c,9) AS q3,
   round(least(a, min(CASE WHEN value >= a-1.5*(c-a) AND value <= c+1.5*(c-a) THEN value END)),6) AS whisker_low,
   round(greatest(c, max(CASE WHEN value >= a-1.5*(c-a) AND value <= c+1.5*(c-a) THEN value END)),6) AS whisker_high
   FROM fl JOIN q USING (sleep_stage, feature) GROUP BY sleep_stage, feature, a, b, c"""))
@@ -241,7 +245,7 @@ def flagship(spark, sf):
   UNION ALL SELECT sleep_stage, 'relative_delta_power', delta_power/tot FROM e UNION ALL SELECT sleep_stage, 'relative_theta_power', theta_power/tot FROM e
   UNION ALL SELECT sleep_stage, 'relative_alpha_power', alpha_power/tot FROM e UNION ALL SELECT sleep_stage, 'relative_beta_power', beta_power/tot FROM e)""",
   select=f"""SELECT sleep_stage, feature, n AS "count", round(m,6) AS mean, round(s,6) AS std,
-  round(b,6) AS median, round(a,6) AS q1, round(c,6) AS q3, round(c-a,6) AS iqr, round(lo,6) AS minimum, round(hi,6) AS maximum
+  round(b,9) AS median, round(a,9) AS q1, round(c,9) AS q3, round(c-a,9) AS iqr, round(lo,6) AS minimum, round(hi,6) AS maximum
   FROM (SELECT sleep_stage, feature, count(*) AS n, avg(value) AS m, stddev_pop(value) AS s, min(value) AS lo, max(value) AS hi, {_Q} FROM g GROUP BY 1,2)"""))
 def _(spark, sf):
     return flagship(spark, sf)
