@@ -87,7 +87,8 @@ def from_cells(table: DataFrame, by: Sequence[str] = (), classes: int = len(STAG
         _div(_total([_recall(c) for c in ks]), present).alias("balanced_accuracy"),
         (_total([_f1(c) for c in ks]) / classes).alias("macro_f1"),
         (_total([_f1(c) * F.col(f"_sup{c}") for c in ks]) / n).alias("weighted_f1"),
-        F.when(chance < 1, (accuracy - chance) / (1 - chance)).alias("cohen_kappa"),
+        # undefined for a single class; NaN, so that an average over folds shows it instead of skipping it
+        F.when(chance < 1, (accuracy - chance) / (1 - chance)).otherwise(F.lit(float("nan"))).alias("cohen_kappa"),
         (F.col("_nll") / n).alias("multiclass_log_loss"),
         (F.col("_agree") / n).alias("predict_probability_argmax_agreement"),
         (n - F.col("_agree")).alias("predict_probability_argmax_mismatch_count"),

@@ -163,10 +163,10 @@ def _(spark, sf):
     return cleaning.keep_statuses(orders, ["F", "O"]).groupBy("status").agg(F.count(F.lit(1)).alias("files"))
 
 
-@query("flt06_jn06_requested_recordings", with_views(EP, select="""SELECT recording_id, CASE recording_id WHEN 'R17' THEN 0 WHEN 'R5' THEN 1 ELSE 2 END AS position, count(*) AS rows
-  FROM ep WHERE recording_id IN ('R17','R5','R1') GROUP BY 1"""))
+@query("flt06_jn06_requested_recordings", with_views(EP, select="""SELECT recording_id, CASE recording_id WHEN 'R7' THEN 0 WHEN 'R5' THEN 1 ELSE 2 END AS position, count(*) AS rows
+  FROM ep WHERE recording_id IN ('R7','R5','R1') GROUP BY 1"""))
 def _(spark, sf):
-    chosen = cleaning.select_recordings(P.epochs(spark, sf), [" r17 ", "R5", "r1", "R17"])
+    chosen = cleaning.select_recordings(P.epochs(spark, sf), [" r7 ", "R5", "r1", "R7"])
     return chosen.groupBy("recording_id", "position").agg(F.count(F.lit(1)).alias("rows")).orderBy("position")
 
 

@@ -17,8 +17,12 @@ FS = 64.0
 WINDOW = 0.5  # 32 samples, hop 16
 
 
+# A sum of squares runs to six digits before the point, so it gets fewer after it.
+DIGITS = {"signal_energy_uv2": 3}
+
+
 def r6(df, columns):
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+    return df.withColumns({c: F.round(c, DIGITS.get(c, 6)) for c in columns})
 
 
 TF = """d AS (SELECT *, v - lag(v) OVER w AS d1, lag(v) OVER w AS before FROM sl WINDOW w AS (PARTITION BY epoch_id ORDER BY i)),
@@ -45,7 +49,7 @@ sp AS (SELECT *, delta_power_uv2/total_band_power_uv2 AS relative_delta_power, t
 
 
 def rounded_list(columns):
-    return ", ".join(f"round({c}, 6) AS {c}" for c in columns)
+    return ", ".join(f"round({c}, {DIGITS.get(c, 6)}) AS {c}" for c in columns)
 
 
 @query("sg02_to_sg16_time_features", with_views(SG, SG_LONG, TF, select=f"SELECT epoch_id, {rounded_list(TIME_FEATURES)} FROM tf"))
