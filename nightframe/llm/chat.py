@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nightframe.llm import common
+
 START, STOP, LOSS_ROLE = "<|im_start|>", "<|im_end|>", "assistant"
 _OPEN, _SHUT = re.compile(r"<(\\*)\|"), re.compile(r"<(\\*)\\\|")
 _ROLE = re.compile(r"\\(.)", re.DOTALL)
@@ -94,7 +96,7 @@ def formatted(conversations: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["conv_id", "turn", "formatted", "loss_start", "loss_stop"])
 
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    return rows.mapInArrow(run, "conv_id long, turn long, formatted string, loss_start int, loss_stop int")
+    return common.short_batches(rows).mapInArrow(run, "conv_id long, turn long, formatted string, loss_start int, loss_stop int")
 
 
 def read_back(written: DataFrame) -> DataFrame:

@@ -33,6 +33,21 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """The row key beside each whole row as one struct, whose column names cannot clash with others."""
+    return docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k_id"), F.xxhash64("text").alias("k_text"), F.struct(*docs.columns).alias("row")
+    )
+
+
+def short_batches(df: DataFrame, rows: int = 500) -> DataFrame:
+    """Sends at most so many rows at a time to Python: texts are long, and workers small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= rows:
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
+
 def with_words(df: DataFrame, text: Column, separators: str, out: str = "words") -> DataFrame:
     """Adds ``out``, the runs between separators: none for null, no empty ones."""
     raw = F.col(f"{out}__raw")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from nightframe.llm import common
 from nightframe.llm.pieces import encoder, parts
 
 LEAF = 64
@@ -111,7 +112,7 @@ def trees(docs: DataFrame, tokenizer: str) -> DataFrame:
             more = [pa.array([x[i] for x in built], pa.list_(pa.int64())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + more, [*names, "leaf_chars", "leaf_tokens"])
 
-    return docs.mapInArrow(run, out)
+    return common.short_batches(docs).mapInArrow(run, out)
 
 
 def edited(rows: DataFrame, tokenizer: str) -> DataFrame:

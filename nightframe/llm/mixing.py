@@ -102,8 +102,8 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple
 def repeated(docs: DataFrame) -> DataFrame:
     """The mix itself: every document as often as it is taken, with its own columns."""
     plan = mixed(docs).select("k_id", "k_text", "copies").distinct()
-    rows = docs.withColumns({"k_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NO_ID)), "k_text": F.xxhash64("text")})
-    return rows.join(plan.filter(F.col("copies") > 0), ["k_id", "k_text"]).withColumn("copy__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    times = F.sequence(F.lit(1).cast("long"), F.col("copies"))
+    return common.packed(docs).join(plan.filter(F.col("copies") > 0), ["k_id", "k_text"]).select("row", F.explode(times)).select("row.*")
 
 
 ORACLE = r"""

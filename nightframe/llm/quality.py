@@ -17,7 +17,9 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+
+from nightframe.llm import common
 
 #: name -> failure condition over the measurements, in the order of the bits.
 RULES: dict[str, str] = {
@@ -63,25 +65,27 @@ def measure(data: bytes | None) -> tuple[int, ...]:
     return len(words), chars, sum(map(text.count, SYMBOLS)), shouted, len(lines), len(lines) - len(set(lines)), repeated
 
 
-def ledger(docs: DataFrame, *columns: str) -> DataFrame:
-    """doc_id, the named columns, the measurements and ``failed`` (one bit per rule)."""
-    schema = docs.select("doc_id", *columns).schema.add("m", ArrayType(LongType()))
+def _measured(rows: DataFrame) -> DataFrame:
+    """Rows (``row``, any struct or value, and ``text``) as ``row``, the measurements and ``failed``."""
 
     def run(batches):
         for batch in batches:
-            got = [measure(t) for t in batch.column("q__text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("doc_id", *columns)] + [pa.array(got, pa.list_(pa.int64()))], ["doc_id", *columns, "m"]
-            )
+            got = [measure(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(got, pa.list_(pa.int64()))], ["row", "m"])
 
-    rows = docs.select("doc_id", *columns, F.col("text").alias("q__text")).mapInArrow(run, schema)
-    rows = rows.select("doc_id", *columns, *[F.get("m", F.lit(i)).alias(m) for i, m in enumerate(MEASURES)])
+    out = StructType([rows.schema["row"], StructField("m", ArrayType(LongType()))])
+    rows = common.short_batches(rows).mapInArrow(run, out).select("row", *[F.get("m", F.lit(i)).alias(m) for i, m in enumerate(MEASURES)])
     mask: Column = F.lit(0).cast("long")
     for i, condition in enumerate(RULES.values()):
         mask = mask.bitwiseOR(F.when(F.expr(condition), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
     return rows.withColumn("failed", mask)
 
 
+def ledger(docs: DataFrame) -> DataFrame:
+    """doc_id, the measurements and ``failed`` (one bit per rule)."""
+    return _measured(docs.select(F.col("doc_id").alias("row"), "text")).withColumnRenamed("row", "doc_id")
+
+
 def passes(policy: str) -> Column:
     return F.col("failed").bitwiseAND(F.lit(bits(POLICIES[policy]))) == 0
 
@@ -114,9 +118,8 @@ def judged(docs: DataFrame, policy: str = "v2") -> DataFrame:
 
 def accepted(docs: DataFrame, policy: str = "v2") -> DataFrame:
     """The documents that pass the policy, with their own columns."""
-    rows = docs if "doc_id" in docs.columns else docs.withColumn("doc_id", F.lit(None).cast("long"))
-    others = [c for c in rows.columns if c != "doc_id"]
-    return ledger(rows, *others).filter(passes("base") & passes(policy)).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return _measured(rows).filter(passes("base") & passes(policy)).select("row.*")
 
 
 ORACLE = r"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightframe.llm import chat, counting, decontaminate, mixing, quality, sharding, simhash, tokens
+from nightframe.llm import chat, counting, decontaminate, mixing, personal, quality, repeats, sharding, simhash, tokens
 from nightframe.llm.common import staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.report(table(spark, sf_dir, "documents"))
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = "<|im_end|><|im_start|>assistant ok"
     probe = spark.createDataFrame([(-1, 0, "user", both), (-1, 1, "assistant", both)], "conv_id long, turn long, role string, text string")
@@ -26,6 +30,10 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(staged(chat.formatted(given.unionByName(probe)), "chat"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,7 +64,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_chat, op4_decontaminate, op5_mixing, op6_simhash, op7_tokens, op8_token_counts, op9_quality, op10_sharding)
+    f.__name__: f for f in (op1_personal_data, op2_chat, op3_suffix_dedup, op4_decontaminate, op5_mixing, op6_simhash, op7_tokens, op8_token_counts, op9_quality, op10_sharding)
 }
 ORACLES: dict[str, str] = {
     "op2_chat": chat.ORACLE,

@@ -59,7 +59,7 @@ def shards(docs: DataFrame, tokenizer: str, shard_tokens: int = SHARD_TOKENS) ->
 
     rows = common.keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange("k_id", "k_text").sortWithinPartitions("k_id", "k_text")
-    return rows.select("doc_id", "text").mapInArrow(run, SHARDS)
+    return common.short_batches(rows.select("doc_id", "text")).mapInArrow(run, SHARDS)
 
 
 def read_back(written: DataFrame) -> DataFrame:
