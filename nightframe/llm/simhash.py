@@ -56,8 +56,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = [fingerprint(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "k_id", "k_text")] + [pa.array(fps, pa.int64())], ["doc_id", "k_id", "k_text", "fp"])
 
-    rows = common.keyed(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id", "text")
-    return rows.mapInArrow(run, "doc_id long, k_id long, k_text long, fp long")
+    rows = common.keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return common.short_batches(rows).mapInArrow(run, "doc_id long, k_id long, k_text long, fp long")
 
 
 def _blocks(bits: list[int], count: int) -> list[int]:
@@ -129,5 +129,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), "k_id", "k_text")
     best = groups(docs).groupBy(F.coalesce("component_id", F.lit(common.NO_ID)).alias("c")).agg(F.min(order).alias("first"))
     best = best.select("first.k_id", "first.k_text")
-    rows = docs.withColumns({"k_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NO_ID)), "k_text": F.xxhash64("text")})
-    return rows.join(best, ["k_id", "k_text"], "left_semi").dropDuplicates(["k_id", "k_text"]).select(*docs.columns)
+    rows = common.packed(docs).join(best, ["k_id", "k_text"], "left_semi")
+    return rows.dropDuplicates(["k_id", "k_text"]).select("row.*")
