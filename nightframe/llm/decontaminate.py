@@ -3,7 +3,8 @@
 A benchmark text is cut into windows of ``window`` words (a shorter text is one window). A window
 occurs in a document only if all of its shingles occur there in order, so one of them, its prefix,
 is enough to find it: the one that is rarest in the documents. Documents are joined with these
-prefix shingles only; the offset of the shingle in its window gives the place where the window has
+prefix shingles only (rarity comes from one pass over the documents that finds the places of all
+benchmark shingles, with the words around them); the offset of the shingle in its window gives the place where the window has
 to start, places outside the document are left out, and the words there are compared with the
 window's.
 
@@ -21,10 +22,13 @@ from nightframe.llm import common
 
 #: ASCII other than letters and digits parts words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Distinct benchmark shingles up to this number (some 20 MB) are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def _shingle(words: str, at: Column, size: int) -> Column:
-    return F.xxhash64(F.lit(size), *[F.col(words)[at + k] for k in range(size)])
+    hashed = F.xxhash64(F.lit(size), *[F.get(words, at + k) for k in range(size)])
+    return F.when(at.isNotNull(), hashed)
 
 
 def _with_words(df: DataFrame) -> DataFrame:
@@ -33,9 +37,10 @@ def _with_words(df: DataFrame) -> DataFrame:
 
 def windows(benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
     """One row per distinct window and shingle: window_text, n (its words), offset, size, hash."""
-    items = _with_words(benchmark.select("item_id", "text")).filter(F.size("words") > 0)
+    items = _with_words(benchmark.select("item_id", "text"))
     n = F.least(F.lit(window), F.size("words"))
-    cut = items.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda s: F.slice("words", s, n))).alias("w"))
+    starts = F.when(n > 0, F.sequence(F.lit(1), F.size("words") - n + 1))
+    cut = items.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("words", s, n))).alias("w"))
     return cut.select("item_id", F.array_join("w", " ").alias("window_text"), F.size("w").alias("n"), "w").withColumn(
         "size", F.least(F.lit(shingle), F.col("n"))
     )
@@ -50,47 +55,59 @@ def _shingles_of(win: DataFrame, shingle: int) -> DataFrame:
 
 
 def _document_shingles(docs: DataFrame, size: int) -> DataFrame:
-    """Every position of every document with the hash of the shingle there."""
-    at = docs.filter(F.size("words") >= size).select("k_id", "k_text", "words", F.explode(F.sequence(F.lit(0), F.size("words") - size)).alias("at"))
-    return at.withColumn("hash", _shingle("words", F.col("at"), size))
-
-
-def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(keyed documents with word counts, places where windows occur: key, start, n, window_text)."""
+    """Every position of every document with the hash of the shingle there.
+
+    ``explode_outer`` keeps a row without position for shorter documents; its null hash matches nothing.
+    No filter on the words is put before it, as that would cut every text into words twice.
+    """
+    starts = F.when(F.size("words") >= size, F.sequence(F.lit(0), F.size("words") - size))
+    return docs.select("k_id", "k_text", "words", F.explode_outer(starts).alias("at")).withColumn("hash", _shingle("words", F.col("at"), size))
+
+
+def _hits(base: DataFrame, size: int, wanted: DataFrame, reach: int, small: bool) -> DataFrame:
+    """Positions of the wanted shingles, with the words around them: k_id, k_text, at, hash, n_words, lead, near."""
+    at = _document_shingles(base, size)
+    if small:
+        at = at.join(F.broadcast(wanted), "hash")
+    else:
+        lean = at.select("k_id", "k_text", "at", "hash").join(wanted, "hash")
+        at = lean.join(base, ["k_id", "k_text"])
+    lead = F.least(F.col("at"), F.lit(reach - size))
+    near = F.slice("words", F.col("at") - lead + 1, lead + reach)
+    return at.select("k_id", "k_text", "at", F.lit(size).alias("size"), "hash", F.size("words").alias("n_words"), lead.alias("lead"), near.alias("near"))
+
+
+def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5) -> DataFrame:
+    """Places where windows occur: k_id, k_text, start, n, window_text."""
     # one row per (window, item) stays for the ids; windows themselves are joined once each
     win = windows(benchmark, window, shingle)
     distinct = win.groupBy("window_text", "n", "size").agg(F.first("w").alias("w"))
     shingles = common.staged(_shingles_of(distinct, shingle).select("window_text", "n", "size", "offset", "hash"), "windows")
-    sizes = sorted(r["size"] for r in shingles.select("size").distinct().collect())  # at most `shingle` numbers
-
+    sizes = {r["size"]: r["n"] for r in shingles.groupBy("size").agg(F.countDistinct("hash").alias("n")).collect()}  # `shingle` rows at most
     base = _with_words(common.keyed(docs, "text"))
-    wanted = shingles.select("size", "hash").distinct()
-    counts = None
-    for size in sizes:
-        of_size = wanted.filter(F.col("size") == size).select("hash")
-        counted = _document_shingles(base, size).select("hash").join(of_size, "hash").groupBy("hash").agg(F.count(F.lit(1)).alias("n_docs")).withColumn("size", F.lit(size))
-        counts = counted if counts is None else counts.unionByName(counted)
-    empty = docs.sparkSession.createDataFrame([], "k_id long, k_text long, start int, n int, window_text string")
-    if counts is None:
-        return base, empty
+    hits = None
+    for size, n in sorted(sizes.items()):
+        wanted = shingles.filter(F.col("size") == size).select("hash").distinct()
+        more = _hits(base, size, wanted, window, n <= BROADCAST_ROWS)
+        hits = more if hits is None else hits.unionByName(more)
+    if hits is None:
+        return docs.sparkSession.createDataFrame([], "k_id long, k_text long, start int, n int, window_text string")
+    hits = common.staged(hits, "hits")
 
     # the prefix: a window with a shingle that no document has cannot occur at all
-    ranked = shingles.join(counts, ["size", "hash"], "left").withColumn("n_docs", F.coalesce("n_docs", F.lit(0)))
-    prefix = common.staged(
+    counts = hits.groupBy("size", "hash").agg(F.count(F.lit(1)).alias("seen"))
+    ranked = shingles.join(counts, ["size", "hash"], "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
+    prefix = (
         ranked.groupBy("window_text", "n", "size")
-        .agg(F.min(F.struct("n_docs", "hash", "offset")).alias("rare"))
-        .filter(F.col("rare.n_docs") > 0)
-        .select("window_text", "n", "size", F.col("rare.hash").alias("hash"), F.col("rare.offset").alias("offset")),
-        "prefix",
+        .agg(F.min(F.struct("seen", "hash", "offset")).alias("rare"))
+        .filter(F.col("rare.seen") > 0)
+        .select("window_text", "n", "size", F.col("rare.hash").alias("hash"), F.col("rare.offset").alias("offset"))
     )
     # length and position: the window has to lie inside the document
     start = F.col("at") - F.col("offset")
-    found = empty
-    for size in sizes:
-        hits = _document_shingles(base, size).join(prefix.filter(F.col("size") == size).drop("size"), "hash").filter((start >= 0) & (start + F.col("n") <= F.size("words")))
-        same = hits.filter(F.array_join(F.slice("words", start + 1, F.col("n")), " ") == F.col("window_text"))
-        found = found.unionByName(same.select("k_id", "k_text", start.cast("int").alias("start"), "n", "window_text"))
-    return base, found.distinct()
+    near = hits.join(prefix, ["size", "hash"]).filter((start >= 0) & (start + F.col("n") <= F.col("n_words")))
+    same = near.filter(F.array_join(F.slice("near", F.col("lead") - F.col("offset") + 1, F.col("n")), " ") == F.col("window_text"))
+    return same.select("k_id", "k_text", start.cast("int").alias("start"), "n", "window_text").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5) -> DataFrame:
@@ -102,8 +119,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
 
 def annotate(rows: DataFrame, docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5) -> DataFrame:
     """Adds the findings to ``rows``, which carry the row key and ``text``."""
-    base, found = occurrences(docs, benchmark, window, shingle)
-    found = common.staged(found, "found")
+    found = common.staged(occurrences(docs, benchmark, window, shingle), "found")
     before = Window.partitionBy("k_id", "k_text").orderBy("start", "n", "window_text").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("n")
     seen = F.coalesce(F.max(end).over(before), F.lit(0))
@@ -133,13 +149,8 @@ def annotate(rows: DataFrame, docs: DataFrame, benchmark: DataFrame, window: int
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no benchmark window occurs, with their own columns."""
-    _, found = occurrences(docs, benchmark)
-    bad = found.select("k_id", "k_text").distinct()
-    return (
-        docs.withColumns({"k_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NO_ID)), "k_text": F.xxhash64("text")})
-        .join(bad, ["k_id", "k_text"], "left_anti")
-        .select(*docs.columns)
-    )
+    bad = occurrences(docs, benchmark).select("k_id", "k_text").distinct()
+    return common.packed(docs).join(bad, ["k_id", "k_text"], "left_anti").select("row.*")
 
 
 ORACLE = r"""
