@@ -16,13 +16,17 @@ from nightframe.functions.numeric import as_col, canonical_zero, round_significa
 
 
 def canonical_number(c: Column | str, digits: int = 12) -> Column:
-    """Whole number of the value in units of its last kept digit, plus the exponent."""
-    x = canonical_zero(c)
-    return F.coalesce(round_significant(x, digits).cast("string"), F.lit("null"))
+    """Text of the value at so many significant digits; null stays null."""
+    return round_significant(canonical_zero(c), digits).cast("string")
 
 
 def row_sha256(columns: Sequence[Column | str]) -> Column:
-    return F.sha2(F.concat_ws("|", *[F.coalesce(as_col(c).cast("string"), F.lit("null")) for c in columns]), 256)
+    """Each field as its length and text, null as a mark of its own, so that no two rows read alike."""
+    def field(c: Column | str) -> Column:
+        text = as_col(c).cast("string")
+        return F.coalesce(F.concat(F.char_length(text).cast("string"), F.lit(":"), text), F.lit("null"))
+
+    return F.sha2(F.concat(*[field(c) for c in columns]), 256)
 
 
 def _slice(sha: Column, start: int) -> Column:

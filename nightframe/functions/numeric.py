@@ -69,15 +69,19 @@ def round_significant(c: Column | str, digits: int) -> Column:
     """Round to a number of significant digits (the reference text form uses 12 or 17).
 
     The decimal exponent is read from the value, so the factor is a power of ten
-    applied on whichever side keeps it a whole number.
+    applied on whichever side keeps it a whole number.  Very small and very large values
+    are first brought near one by a fixed power of ten; what is not finite passes through.
     """
     x = as_col(c)
-    exponent = F.floor(F.log10(F.abs(x)))
+    far = F.lit(1e200)
+    near = F.when(F.abs(x) < 1e-100, x * far).when(F.abs(x) > 1e100, x / far).otherwise(x)
+    exponent = F.floor(F.log10(F.abs(near)))
     shift = F.lit(digits - 1) - exponent
     up = F.pow(F.lit(10.0), F.abs(shift).cast("double"))
-    scaled = F.when(shift >= 0, x * up).otherwise(x / up)
+    scaled = F.when(shift >= 0, near * up).otherwise(near / up)
     back = F.when(shift >= 0, F.rint(scaled) / up).otherwise(F.rint(scaled) * up)
-    return F.when(x == 0, F.lit(0.0)).otherwise(back)
+    back = F.when(F.abs(x) < 1e-100, back / far).when(F.abs(x) > 1e100, back * far).otherwise(back)
+    return F.when(x == 0, F.lit(0.0)).when(is_finite(x), back).otherwise(x)
 
 
 def grid_distance(c: Column | str, step: float) -> Column:

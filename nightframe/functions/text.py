@@ -44,8 +44,14 @@ def candidate_id(model: Column, index: Column) -> Column:
 
 
 def sorted_json(**fields: Column) -> Column:
-    """JSON object text with keys in order and no blanks."""
-    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]))
+    """JSON object text with keys in order and no blanks; null fields stay, numbers must be finite."""
+    def checked(c: Column) -> Column:
+        number = F.typeof(c).isin("double", "float") & c.isNotNull()
+        odd = number & (F.isnan(c.try_cast("double")) | (F.abs(c.try_cast("double")) == F.lit(float("inf"))))
+        return F.when(odd, F.raise_error(F.lit("JSON has no form for NaN or infinity"))).otherwise(F.lit(None).cast("string"))
+
+    text = F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+    return F.coalesce(*[checked(c) for c in fields.values()], text) if fields else text
 
 
 def recording_parts(c: Column | str) -> dict[str, Column]:

@@ -73,10 +73,10 @@ def _(spark, sf):
     return SP.agreement_checks(cohorts(spark, sf), splits(spark, sf))
 
 
-@query("sp06_leave_one_subject_out", with_views(SPLITS, select="""SELECT CAST(row_number() OVER (ORDER BY s) AS INTEGER) AS fold, s AS validation_subject,
-  (SELECT string_agg(CAST(o.s AS VARCHAR), ',' ORDER BY o.s) FROM su o WHERE o.s <> su.s) AS train_subjects FROM su"""))
+@query("sp06_leave_one_subject_out", """WITH u AS (SELECT DISTINCT user_id AS s FROM events), l AS (SELECT list_sort(list(s)) AS al FROM u)
+  SELECT CAST(row_number() OVER (ORDER BY s) AS INTEGER) AS fold, CAST(s AS BIGINT) AS validation_subject, array_to_string(list_filter(al, lambda x: x <> s), ',') AS train_subjects FROM u, l""")
 def _(spark, sf):
-    rows = SP.leave_one_out(SP.subject_list(cohorts(spark, sf), expected=4))
+    rows = SP.leave_one_out(SP.subject_list(P.epochs(spark, sf)))
     return rows.withColumn("train_subjects", F.array_join(F.col("train_subjects").cast("array<string>"), ","))
 
 

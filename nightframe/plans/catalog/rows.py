@@ -66,7 +66,12 @@ def _(spark, sf):
   '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', ''), '\+', '%2B', 'g')), '/'), -1) AS f
   FROM (SELECT unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM pages)) WHERE f <> ''""")
 def _(spark, sf):
-    return files.linked_names(P.table(spark, sf, "pages"))
+    # the same links in other spellings: the SQL reads the pages as they are
+    html = F.col("html")
+    single = F.regexp_replace(html, r'<a ([^>]*)href="([^"\']*)"', "<A $1\nHREF='$2'")
+    bare = F.regexp_replace(html, r'<a ([^>]*)href="([^"\'\s>]+)"', "<a $1href=$2 ")
+    spelt = F.when(F.col("page_id") % 3 == 1, single).when(F.col("page_id") % 3 == 2, bare).otherwise(html)
+    return files.linked_names(P.table(spark, sf, "pages").select(spelt.alias("html")))
 
 
 @query("src07_content_digest_check", """SELECT doc_id AS name, sha256(text) = sha256(trim(text)) AS is_valid, sha256(text) AS actual_sha256, sha256(trim(text)) AS sha256 FROM documents""")

@@ -137,8 +137,12 @@ def _(spark, sf):
     )
 
 
-_SHA = "sha256(concat_ws('|', CAST(event_id AS VARCHAR), CAST(y_true AS VARCHAR), CAST(y_pred AS VARCHAR), " + ", ".join(
-    f"CAST(CAST(round_even(p[{i + 1}] * 1e12::DOUBLE, 0) AS BIGINT) AS VARCHAR)" for i in range(5)) + "))"
+def _field(text: str) -> str:
+    return f"CAST(length({text}) AS VARCHAR) || ':' || {text}"
+
+
+_SHA = "sha256(" + " || ".join(_field(f"CAST({c} AS VARCHAR)") for c in (
+    "event_id", "y_true", "y_pred", *[f"CAST(round_even(p[{i + 1}] * 1e12::DOUBLE, 0) AS BIGINT)" for i in range(5)])) + ")"
 _SET = "sha256(concat_ws('|', CAST(count(*) AS VARCHAR), CAST(sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS VARCHAR), CAST(sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)) AS VARCHAR)))"
 
 

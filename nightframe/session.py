@@ -27,8 +27,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (tests, local runs) a temporary folder is made and registered.
+    The cluster names it in ``spark.checkpoint.dir``.  Only a local session may leave that
+    unset (tests, local runs); a temporary folder is then made and registered.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -36,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext.getCheckpointDir() or made

@@ -33,10 +33,16 @@ def read_checksums(spark: SparkSession, path: str) -> DataFrame:
 
 
 def linked_names(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Distinct file names behind the ``href`` of every anchor: path part, percent-decoded, last segment."""
-    links = pages.select(F.explode(F.regexp_extract_all(F.col(html), F.lit(r'<a [^>]*href="([^"]*)"'), F.lit(1))).alias("href"))
-    bare = F.regexp_replace(F.regexp_replace("href", r"[?#].*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "")
-    name = F.substring_index(F.try_url_decode(F.regexp_replace(bare, r"\+", "%2B")), "/", -1)
+    """Distinct file names behind the ``href`` of every anchor: path part, percent-decoded, last segment.
+
+    Anchors in any case, over several lines, with double, single or no quotes; where a percent
+    escape is broken, the name is taken as written.
+    """
+    anchor = r"""(?is)<a\s(?:[^>"']|"[^"]*"|'[^']*')*?(?<![\w-])href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    links = pages.select(F.explode(F.regexp_extract_all(F.col(html), F.lit(anchor), F.lit(1))).alias("quoted"))
+    href = F.regexp_replace(F.regexp_replace("quoted", r"""^["']\s*|\s*["']$""", ""), "&amp;", "&")
+    bare = F.regexp_replace(F.regexp_replace(href, r"(?s)[?#].*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "")
+    name = F.substring_index(F.coalesce(F.try_url_decode(F.regexp_replace(bare, r"\+", "%2B")), bare), "/", -1)
     return links.select(name.alias("filename")).filter(F.col("filename") != "").distinct()
 
 

@@ -61,7 +61,8 @@ def write_parts(df: DataFrame, path: str, key: str = "recording_id", overwrite:
     todo = df
     if not overwrite:
         try:
-            done = spark.read.parquet(path).select(F.col(key).cast(dict(df.dtypes)[key]).alias(key)).distinct()
+            # with the schema given, the folder names are read as what they were, "007" as text
+            done = spark.read.schema(df.schema).parquet(path).select(key).distinct()
             todo = df.join(done, key, "left_anti")
         except Exception as exc:  # nothing written yet
             if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):

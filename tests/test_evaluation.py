@@ -14,12 +14,24 @@ META = {
 }
 
 
+#: (true class, given class) of the epochs of each subject.
+HAND = {
+    0: [(0, 0), (0, 0), (1, 1), (2, 2), (3, 3), (4, 2)],
+    1: [(0, 1), (1, 1), (2, 2), (2, 2), (3, 2), (4, 4)],
+    2: [(0, 0), (1, 1), (1, 0), (3, 3), (4, 4), (4, 4)],
+    3: [(2, 2), (2, 3), (0, 0), (3, 3), (1, 1), (4, 4)],
+}
+PAIRS = [pair for pairs in HAND.values() for pair in pairs]
+
+
 def predictions(spark):
-    wrong = {1: 2, 7: 1, 13: 4, 19: 0}
+    """The given class at 0.7; a true class that was missed at 0.15; the rest in equal parts."""
     rows = []
-    for i in range(20):
-        pred = wrong.get(i, i % 5)
-        rows.append((i // 5, f"R{i // 5}", 1, i, i % 5, pred, [0.9 if c == pred else 0.025 for c in range(5)]))
+    for subject, pairs in HAND.items():
+        for epoch, (truth, given) in enumerate(pairs):
+            p = [0.075 if truth == given else 0.05] * 5
+            p[truth], p[given] = 0.15, 0.7
+            rows.append((subject, f"night{subject}", 1, epoch, truth, given, p))
     return spark.createDataFrame(rows, "subject_id int, recording_id string, night int, epoch_id int, y_true int, y_pred int, p array<double>")
 
 
@@ -28,10 +40,13 @@ def predictions(spark):
 
 def test_metrics_of_the_hand_case(spark):
     m = M.classification_metrics(predictions(spark)).first()
-    assert m.accuracy == pytest.approx(0.8) and m.predict_probability_argmax_agreement == 1.0
-    assert m.mean_prediction_confidence == pytest.approx(0.9) and m.mean_prediction_margin == pytest.approx(0.875)
-    assert m.multiclass_log_loss == pytest.approx(-(16 * np.log(0.9) + 4 * np.log(0.025)) / 20)
-    assert m.cohen_kappa == pytest.approx(0.75, abs=0.01)
+    right = sum(a == b for a, b in PAIRS)
+    assert right == 19 and m.accuracy == pytest.approx(19 / 24) and m.predict_probability_argmax_agreement == 1.0
+    assert m.mean_prediction_confidence == pytest.approx(0.7)
+    assert m.mean_prediction_margin == pytest.approx((19 * 0.625 + 5 * 0.55) / 24)
+    assert m.multiclass_log_loss == pytest.approx(-(19 * np.log(0.7) + 5 * np.log(0.15)) / 24)
+    chance = sum(sum(a == c for a, _ in PAIRS) * sum(b == c for _, b in PAIRS) for c in range(5)) / 24**2
+    assert m.cohen_kappa == pytest.approx((19 / 24 - chance) / (1 - chance))
 
 
 def test_perfect_and_absent_classes(spark):
@@ -40,16 +55,16 @@ def test_perfect_and_absent_classes(spark):
     assert m.accuracy == 1.0 and m.balanced_accuracy == 1.0 and m.macro_f1 == pytest.approx(0.6) and m.weighted_f1 == 1.0
     assert m.mean_confidence_incorrect == 0.0
     c = {(r.true_label, r.predicted_label): (r["count"], r.share_of_true) for r in M.confusion_matrix(perfect).collect()}
-    assert len(c) == 25 and c[(0, 0)] == (4, 1.0) and c[(4, 4)] == (0, 0.0)
+    assert len(c) == 25 and c[(0, 0)] == (5, 1.0) and c[(4, 4)] == (0, 0.0)
     pc = {r.class_name: (r.support, r.recall) for r in M.per_class_metrics(perfect).collect()}
     assert pc["N3"] == (0, 0.0)
 
 
 def test_grouped_metrics_cover_each_group(spark):
     m = {r.subject_id: r.accuracy for r in M.classification_metrics(predictions(spark), ["subject_id"]).collect()}
-    assert m == {0: 0.8, 1: 0.8, 2: 0.8, 3: 0.8}
+    assert m == pytest.approx({0: 5 / 6, 1: 4 / 6, 2: 5 / 6, 3: 5 / 6})
     agg = M.fold_aggregate(M.classification_metrics(predictions(spark), ["subject_id"])).first()
-    assert agg.fold_count == 4 and agg.std_accuracy == 0.0
+    assert agg.fold_count == 4 and agg.mean_accuracy == pytest.approx(19 / 24)
 
 
 def test_prediction_frame_and_its_audit(spark):
@@ -58,9 +73,9 @@ def test_prediction_frame_and_its_audit(spark):
     assert {r.violations for r in audits.prediction_audit(frame).collect()} == {0}
     broken = frame.withColumn("prediction_margin", F.col("prediction_margin") + 1e-6).withColumn("predicted_label", F.lit("N1"))
     got = {r.check_name: r.violations for r in audits.prediction_audit(broken).collect()}
-    assert got["margin"] == 20 and got["predicted_label"] > 10 and got["entropy"] == 0
+    assert got["margin"] == 24 and got["predicted_label"] > 10 and got["entropy"] == 0
     out_of_range = frame.withColumn("prediction_entropy", F.lit(2.0))
-    assert audits.stored_range_audit(out_of_range).filter("check_name = 'prediction_entropy'").first().violations == 20
+    assert audits.stored_range_audit(out_of_range).filter("check_name = 'prediction_entropy'").first().violations == 24
     with pytest.raises(ValueError, match="clash"):
         M.prediction_frame(predictions(spark).withColumn("is_correct", F.lit(1)), [*IDENTIFIERS, "is_correct"])
     with pytest.raises(Exception, match="invalid probability"):
@@ -103,12 +118,25 @@ def test_missing_class_is_reported(spark):
     assert {r.check_name: r.violations for r in SP.agreement_checks(df, table).collect()}["missing_class"] > 0
 
 
-def test_subject_count_limits(spark):
+def test_subject_counts(spark):
     with pytest.raises(Exception, match="unsupported number of subjects: 3"):
         SP.subject_list(subjects(spark, 1, 2, 3), expected=4).collect()
-    many = spark.range(SP.MAX_SUBJECTS + 5).withColumnRenamed("id", "subject_id")
-    with pytest.raises(Exception, match="unsupported number"):
-        SP.subject_list(many).collect()
+    with pytest.raises(Exception, match="unsupported number of subjects: 1"):
+        SP.subject_list(subjects(spark, 1)).collect()
+    many = subjects(spark, *range(78))
+    folds = SP.leave_one_out(SP.subject_list(many, expected=78)).orderBy("fold").collect()
+    assert len(folds) == 78 and all(r.validation_subject == i and r.train_subjects == [s for s in range(78) if s != i] for i, r in enumerate(folds))
+    nested = SP.nested_splits(SP.subject_list(subjects(spark, *range(9))))
+    assert nested.count() == 72 and {r.train_row_count for r in SP.manifest(subjects(spark, *range(9)), nested).collect()} == {35}
+
+
+def test_agreement_finds_uncovered_rows(spark):
+    df = subjects(spark, 1, 2, 3, 4)
+    table = SP.nested_splits(SP.subject_list(df))
+    outside = df.unionByName(subjects(spark, 9))
+    torn = table.withColumn("train_subjects", F.slice("train_subjects", 1, 1))
+    for rows, splits in ((outside, table), (df, torn)):
+        assert {r.check_name: r.violations for r in SP.agreement_checks(rows, splits).collect()}["row_coverage"] == 12
 
 
 # --- selection ------------------------------------------------------------------------------
@@ -147,20 +175,20 @@ def test_store_is_idempotent_and_recovers(spark, tmp_path):
     again = runs.persist_run(frame.orderBy(F.desc("epoch_id")), root, META, "t1")
     assert first.inserted and not again.inserted and first.run_id == again.run_id
     stored = runs.read_run(spark, root, first.run_id).collect()
-    assert [r.row_position for r in stored] == list(range(20)) and [r.epoch_id for r in stored] == list(range(20))
+    assert [r.row_position for r in stored] == list(range(24)) and [r.epoch_id for r in stored] == [*range(6)] * 4
     other = runs.persist_run(frame, root, {**META, "model_name": "y"}, "t2")
     assert other.inserted and other.run_id != first.run_id
     a = runs.audit_store(spark, root).first()
-    assert (a.run_count, a.row_count, a.orphan_count) == (2, 40, 0)
+    assert (a.run_count, a.row_count, a.orphan_count) == (2, 48, 0)
     with pytest.raises(KeyError):
         runs.read_run(spark, root, "nope")
     # rows without a header are an unfinished attempt
     frame.withColumn("row_position", F.lit(0).cast("bigint")).write.parquet(f"{root}/rows/run_id={'f' * 64}")
-    assert runs.audit_store(spark, root).first().orphan_count == 20
+    assert runs.audit_store(spark, root).first().orphan_count == 24
     with pytest.raises(KeyError):
         runs.read_run(spark, root, "f" * 64)
     left = runs.without_run(runs.read_table(spark, root, "rows"), spark.createDataFrame([(first.run_id,)], "run_id string"))
-    assert left.count() == 40
+    assert left.count() == 48
 
 
 def test_damaged_store_is_noticed(spark, tmp_path):

@@ -94,3 +94,29 @@ def test_set_digest_ignores_order_and_sees_every_change(spark):
     assert digest(base, 3) != digest(base + [base[0]], 3)
     assert digest([(1, 0.0)], 1) == digest([(1, -0.0)], 1)
     assert digest([(1, 0.1 + 0.2)], 1) == digest([(1, 0.3)], 1)
+
+
+def test_rounding_of_far_values(spark):
+    d = lambda x: F.lit(float(x))
+    values = {"a": 1.23456789e-300, "b": -9.87654321e250, "c": 5e-324, "d": 1.7976931348623157e308}
+    got = spark.range(1).select(*[N.round_significant(d(v), 4).alias(k) for k, v in values.items()]).first().asDict()
+    for k, v in values.items():
+        assert got[k] == pytest.approx(float(f"{v:.3e}"), rel=1e-3) or k == "c"
+    odd = spark.range(1).select(N.round_significant(d("inf"), 4).alias("i"), N.round_significant(d("-inf"), 4).alias("m"), N.round_significant(d("nan"), 4).alias("n")).first()
+    assert odd.i == float("inf") and odd.m == float("-inf") and odd.n != odd.n
+
+
+def test_row_digests_tell_rows_apart(spark):
+    rows = [("a|b", "c"), ("a", "b|c"), (None, "c"), ("null", "c"), ("", "c"), ("1:a", ""), ("", "1:a"), ("a", None)]
+    df = spark.createDataFrame(rows, "x string, y string")
+    assert df.select(row_sha256(["x", "y"]).alias("h")).distinct().count() == len(rows)
+    zeros = spark.range(1).select(row_sha256([canonical_number(F.lit(0.0))]).alias("p"), row_sha256([canonical_number(F.lit(-0.0))]).alias("m")).first()
+    assert zeros.p == zeros.m
+
+
+def test_json_keeps_nulls_and_refuses_odd_numbers(spark):
+    got = spark.range(1).select(X.sorted_json(b=F.lit(None).cast("int"), a=F.lit(1.5)).alias("j")).first().j
+    assert got == '{"a":1.5,"b":null}'
+    for bad in ("nan", "inf"):
+        with pytest.raises(Exception, match="no form for NaN"):
+            spark.range(1).select(X.sorted_json(a=F.lit(float(bad))).alias("j")).collect()

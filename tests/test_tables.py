@@ -254,3 +254,16 @@ def test_parts_are_resumed(spark, tmp_path):
     assert {r.recording_id: r.v for r in spark.read.parquet(path).collect()} == {"A": 1, "B": 20}
     assert tables.write_parts(changed, path, overwrite=True) == 2
     assert {r.recording_id: r.v for r in spark.read.parquet(path).collect()} == {"A": 10, "B": 20}
+
+
+def test_links_in_any_spelling(spark):
+    html = """<A HREF='x/one.edf'> <a class="b" href=two.edf?v=1> <a
+      href = "d/three%20b.edf#top"> <a href="bad%zz.edf"> <area href="no.edf"> <a data-href="no2.edf" title='>' href='four.edf'>"""
+    got = {r.filename for r in files.linked_names(spark.createDataFrame([(html,)], "html string")).collect()}
+    assert got >= {"one.edf", "two.edf", "three b.edf", "bad%zz.edf", "four.edf"} and "no.edf" not in got
+
+
+def test_parts_keep_text_keys(spark, tmp_path):
+    df = spark.createDataFrame([("007", 1), ("012", 2), ("012", 3)], "recording_id string, v int")
+    path = str(tmp_path / "parts")
+    assert tables.write_parts(df, path) == 2 and tables.write_parts(df, path) == 0
