@@ -46,3 +46,16 @@ def change_counts(changes: DataFrame, required: DataFrame | None = None, key: st
     return counts.join(F.broadcast(lost), F.lit(True)).withColumn(
         "status", F.when(F.col("missing_required") > 0, "invalid").otherwise("valid")
     )
+
+
+def reconcile(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(only_left, only_right): rows, repeats counted, that one table has and the other lacks.
+
+    One signed count per distinct row, combined before the shuffle, reads each table once.
+    """
+    signed = left.withColumn("_sign", F.lit(1)).unionByName(right.withColumn("_sign", F.lit(-1)))
+    surplus = signed.groupBy(*left.columns).agg(F.sum("_sign").alias("_more"))
+    return surplus.agg(
+        F.coalesce(F.sum(F.greatest(F.col("_more"), F.lit(0))), F.lit(0)).alias("only_left"),
+        F.coalesce(F.sum(F.greatest(-F.col("_more"), F.lit(0))), F.lit(0)).alias("only_right"),
+    )

@@ -50,9 +50,9 @@ def _(spark, sf):
 
 
 @query("ag05_zero_filled_class_counts", with_views(EP, CLASSES, select="""SELECT cls.sleep_stage, cls.code AS class_position,
-  count(ep.event_id) AS "count" FROM cls LEFT JOIN ep ON ep.sleep_stage = cls.sleep_stage AND ep.v > 50 GROUP BY 1, 2"""))
+  count(ep.event_id) AS "count" FROM cls LEFT JOIN ep ON ep.sleep_stage = cls.sleep_stage GROUP BY 1, 2"""))
 def _(spark, sf):
-    return zero_filled_counts(P.epochs(spark, sf).filter("v > 50"), "sleep_stage", STAGES)
+    return zero_filled_counts(P.epochs(spark, sf), "sleep_stage", STAGES)
 
 
 @query("ag06_class_percentage", with_views(EP, select="""SELECT sleep_stage, sleep_stage_encoded AS class_position, count(*) AS "count",

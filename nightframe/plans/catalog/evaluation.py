@@ -64,13 +64,15 @@ def _(spark, sf):
     return SP.manifest(cohorts(spark, sf), splits(spark, sf))
 
 
-@query("sp05_manifest_agreement", with_views(SPLITS, select="""SELECT 'row_coverage' AS check_name, count(*) AS violations FROM (SELECT split_id, sum(row_count) AS n FROM ps GROUP BY 1) WHERE n <> (SELECT count(*) FROM cep)
+@query("sp05_manifest_agreement", with_views(SPLITS, select="""SELECT 'row_coverage' AS check_name, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM events WHERE user_id % 5 = 4)) AS violations FROM sp
   UNION ALL SELECT 'missing_class', count(*) FROM ps WHERE least(""" + ", ".join(f"{s}_count" for s in STAGES) + """) = 0
   UNION ALL SELECT 'stable_test_subject', count(*) FROM (SELECT outer_fold FROM sp GROUP BY 1 HAVING count(DISTINCT test_subject) <> 1)
   UNION ALL SELECT 'validation_rotation', count(*) FROM (SELECT outer_fold FROM sp GROUP BY 1 HAVING count(DISTINCT validation_subject) <> 3)
   UNION ALL SELECT 'inner_fold_ids', count(*) FROM (SELECT outer_fold FROM sp GROUP BY 1 HAVING min(inner_fold) <> 1 OR max(inner_fold) <> count(*))"""))
 def _(spark, sf):
-    return SP.agreement_checks(cohorts(spark, sf), splits(spark, sf))
+    # a fifth cohort that the splits do not know leaves rows uncovered in each of them
+    wider = cohorts(spark, sf).unionByName(P.epochs(spark, sf).withColumn("subject_id", F.pmod("subject_id", F.lit(5))).filter("subject_id = 4"))
+    return SP.agreement_checks(wider, splits(spark, sf))
 
 
 @query("sp06_leave_one_subject_out", """WITH u AS (SELECT DISTINCT user_id AS s FROM events), l AS (SELECT list_sort(list(s)) AS al FROM u)
@@ -191,23 +193,50 @@ def _(spark, sf):
     return audits.prediction_audit(frame(spark, sf))
 
 
-@query("au12_stored_ranges", with_views(PRV, FRAME, select=" UNION ALL ".join(
-    f"SELECT '{c}' AS check_name, count(*) FILTER (WHERE {c} < 0 OR {c} > {'ln(5)' if c == 'prediction_entropy' else '1'}) AS violations FROM fr" for c in FRAME_DOUBLES)))
+@query("au12_stored_ranges", with_views(PRV, FRAME, "fz AS (SELECT " + ", ".join(f"{c} + CASE WHEN event_id % {7 + i} = 0 THEN 2 WHEN event_id % {7 + i} = 1 THEN -2 ELSE 0 END AS {c}" for i, c in enumerate(FRAME_DOUBLES)) + " FROM fr)", select=" UNION ALL ".join(
+    f"SELECT '{c}' AS check_name, count(*) FILTER (WHERE {c} < 0 OR {c} > {'ln(5)' if c == 'prediction_entropy' else '1'}) AS violations FROM fz" for c in FRAME_DOUBLES)))
 def _(spark, sf):
-    return audits.stored_range_audit(frame(spark, sf))
-
-
-@query("au11_identifier_contract", with_views(EP, select="SELECT unnest(['subject_id_integer','night_integer','epoch_id_integer','recording_present','unique_key']) AS check_name, CAST(count(*) FILTER (WHERE epoch_id < 0) AS BIGINT) AS violations FROM ep"))
+    # faults put in by position, so that every check has something to find
+    moved = {
+        c: F.col(c) + F.when(F.col("event_id") % (7 + i) == 0, 2).when(F.col("event_id") % (7 + i) == 1, -2).otherwise(0)
+        for i, c in enumerate(FRAME_DOUBLES)
+    }
+    return audits.stored_range_audit(frame(spark, sf, positions=True).withColumns(moved))
+
+
+@query("au11_identifier_contract", with_views(EP, """ez AS (SELECT CASE WHEN event_id % 101 = 0 THEN -1 ELSE subject_id END AS subject_id, CASE WHEN event_id % 103 = 0 THEN NULL ELSE night END AS night,
+  CASE WHEN event_id % 107 = 0 THEN epoch_id + 0.5 ELSE epoch_id END AS epoch_id, CASE WHEN event_id % 109 = 0 THEN ' ' WHEN event_id % 113 = 0 THEN NULL ELSE recording_id END AS recording_id FROM ep
+  UNION ALL SELECT subject_id, night, epoch_id, recording_id FROM ep WHERE event_id % 97 = 1)""", select="""SELECT 'subject_id_integer' AS check_name, count(*) FILTER (WHERE subject_id < 0) AS violations FROM ez
+  UNION ALL SELECT 'night_integer', count(*) FILTER (WHERE night IS NULL) FROM ez UNION ALL SELECT 'epoch_id_integer', count(*) FILTER (WHERE epoch_id <> floor(epoch_id)) FROM ez
+  UNION ALL SELECT 'recording_present', count(*) FILTER (WHERE recording_id IS NULL OR trim(recording_id) = '') FROM ez
+  UNION ALL SELECT 'unique_key', (SELECT count(*) FROM (SELECT 1 FROM ez GROUP BY subject_id, night, epoch_id, recording_id HAVING count(*) > 1))"""))
 def _(spark, sf):
-    return audits.identifier_audit(P.epochs(spark, sf, positions=True))
-
-
-@query("au07_au08_dataset_contract", with_views(EP, select="""SELECT 'null_cell' AS check_name, count(*) FILTER (WHERE v IS NULL) AS violations FROM ep UNION ALL SELECT 'finite_features', count(*) FILTER (WHERE isnan(v)) FROM ep
-  UNION ALL SELECT 'integer_codes', count(*) FILTER (WHERE sleep_stage_encoded IS NULL) FROM ep UNION ALL SELECT 'label_mapping', count(*) FILTER (WHERE sleep_stage IS NULL) FROM ep
-  UNION ALL SELECT 'non_empty', (count(*) = 0)::INT FROM ep UNION ALL SELECT 'two_subjects', (count(DISTINCT subject_id) < 2)::INT FROM ep
-  UNION ALL SELECT 'unique_key', (SELECT count(*) FROM (SELECT 1 FROM ep GROUP BY event_id HAVING count(*) > 1))"""))
+    ep = P.epochs(spark, sf, positions=True).select("event_id", "subject_id", "night", F.col("epoch_id").cast("double"), "recording_id")
+    at = lambda n, k=0: F.col("event_id") % n == k
+    seeded = ep.withColumns({
+        "subject_id": F.when(at(101), -1).otherwise(F.col("subject_id")),
+        "night": F.when(~at(103), F.col("night")),
+        "epoch_id": F.col("epoch_id") + F.when(at(107), 0.5).otherwise(0.0),
+        "recording_id": F.when(at(109), " ").when(~at(113), F.col("recording_id")),
+    })
+    return audits.identifier_audit(seeded.unionByName(ep.filter(at(97, 1))))
+
+
+@query("au07_au08_dataset_contract", with_views(EP, """ez AS (SELECT subject_id, event_id, CASE WHEN event_id % 53 = 0 THEN NULL ELSE recording_id END AS recording_id, CASE WHEN event_id % 59 = 0 THEN 'nan'::DOUBLE ELSE v END AS v,
+  CASE WHEN event_id % 61 = 0 THEN -1 ELSE sleep_stage_encoded END AS code, sleep_stage FROM ep UNION ALL SELECT subject_id, event_id, recording_id, v, sleep_stage_encoded, sleep_stage FROM ep WHERE event_id % 97 = 1)""", select="""SELECT 'null_cell' AS check_name, count(*) FILTER (WHERE v IS NULL OR recording_id IS NULL) AS violations FROM ez
+  UNION ALL SELECT 'finite_features', count(*) FILTER (WHERE v IS NULL OR isnan(v)) FROM ez
+  UNION ALL SELECT 'integer_codes', count(*) FILTER (WHERE code < 0) FROM ez UNION ALL SELECT 'label_mapping', count(*) FILTER (WHERE code <> CASE sleep_stage WHEN 'Wake' THEN 0 WHEN 'N1' THEN 1 WHEN 'N2' THEN 2 WHEN 'N3' THEN 3 ELSE 4 END) FROM ez
+  UNION ALL SELECT 'non_empty', (count(*) = 0)::INT FROM ez UNION ALL SELECT 'two_subjects', (count(DISTINCT subject_id) < 2)::INT FROM ez
+  UNION ALL SELECT 'unique_key', (SELECT count(*) FROM (SELECT 1 FROM ez GROUP BY event_id HAVING count(*) > 1))"""))
 def _(spark, sf):
-    return audits.dataset_audit(P.epochs(spark, sf).drop("ts"), ["v"], ["event_id"])
+    ep = P.epochs(spark, sf).drop("ts")
+    at = lambda n, k=0: F.col("event_id") % n == k
+    seeded = ep.withColumns({
+        "recording_id": F.when(~at(53), F.col("recording_id")),
+        "v": F.when(at(59), F.lit(float("nan"))).otherwise(F.col("v")),
+        "sleep_stage_encoded": F.when(at(61), -1).otherwise(F.col("sleep_stage_encoded")),
+    })
+    return audits.dataset_audit(seeded.unionByName(ep.filter(at(97, 1))), ["v"], ["event_id"])
 
 
 @query("wn13_complete_coverage", "SELECT count(*) AS row_count, count(DISTINCT event_id) AS distinct_positions, min(event_id) AS first_position, max(event_id) AS last_position, count(*) = count(DISTINCT event_id) AND min(event_id) = 0 AND max(event_id) = count(*) - 1 AS complete FROM events")

@@ -65,14 +65,28 @@ def _(spark, sf):
     return E.epoch_summary(expanded(spark, sf))
 
 
-@query("au04_epoch_table_audit", with_views(AN, SEG, trimmed_sql(0), select="""SELECT 'duration' AS check_name, count(*) FILTER (WHERE abs(end_time_sec - start_time_sec - 3600) > 1e-6) AS violations FROM nm
-  UNION ALL SELECT 'known_label', count(*) FILTER (WHERE sleep_stage NOT IN ('Wake','N1','N2','N3','REM')) FROM nm
-  UNION ALL SELECT 'sample_order', count(*) FILTER (WHERE stop_sample <= start_sample) FROM nm
-  UNION ALL SELECT 'grid', count(*) FILTER (WHERE abs(start_time_sec - round_even(start_time_sec / 3600, 0) * 3600) > 1e-6) FROM nm
-  UNION ALL SELECT 'unique_key', (SELECT count(*) FROM (SELECT 1 FROM nm GROUP BY recording_id, epoch_id HAVING count(*) > 1))"""))
+# faults put in by position, so that every check has something to find
+SEEDED = """nz AS (SELECT recording_id, epoch_id, start_time_sec + CASE WHEN epoch_id % 17 = 2 THEN 5 ELSE 0 END AS start_time_sec,
+  end_time_sec + CASE WHEN epoch_id % 7 = 3 THEN 1 ELSE 0 END AS end_time_sec, CASE WHEN epoch_id % 11 = 5 THEN 'N9' ELSE sleep_stage END AS sleep_stage, start_sample,
+  CASE WHEN epoch_id % 13 = 0 THEN start_sample ELSE stop_sample END AS stop_sample FROM nm UNION ALL
+  SELECT recording_id, epoch_id, start_time_sec, end_time_sec, sleep_stage, start_sample, stop_sample FROM nm WHERE epoch_id = 1)"""
+
+
+@query("au04_epoch_table_audit", with_views(AN, SEG, trimmed_sql(0), SEEDED, select="""SELECT 'duration' AS check_name, count(*) FILTER (WHERE abs(end_time_sec - start_time_sec - 3600) > 1e-6) AS violations FROM nz
+  UNION ALL SELECT 'known_label', count(*) FILTER (WHERE sleep_stage NOT IN ('Wake','N1','N2','N3','REM')) FROM nz
+  UNION ALL SELECT 'sample_order', count(*) FILTER (WHERE stop_sample <= start_sample) FROM nz
+  UNION ALL SELECT 'grid', count(*) FILTER (WHERE abs(start_time_sec - round_even(start_time_sec / 3600, 0) * 3600) > 1e-6) FROM nz
+  UNION ALL SELECT 'unique_key', (SELECT count(*) FROM (SELECT 1 FROM nz GROUP BY recording_id, epoch_id HAVING count(*) > 1))"""))
 def _(spark, sf):
     kept = E.number_epochs(E.trim_wake(expanded(spark, sf), 0), hours_per_bucket=24.0)
-    return audits.epoch_audit(kept, 3600.0)
+    at = lambda n, k: F.col("epoch_id") % n == k
+    seeded = kept.withColumns({
+        "start_time_sec": F.col("start_time_sec") + F.when(at(17, 2), 5).otherwise(0),
+        "end_time_sec": F.col("end_time_sec") + F.when(at(7, 3), 1).otherwise(0),
+        "sleep_stage": F.when(at(11, 5), "N9").otherwise(F.col("sleep_stage")),
+        "stop_sample": F.when(at(13, 0), F.col("start_sample")).otherwise(F.col("stop_sample")),
+    })
+    return audits.epoch_audit(seeded.unionByName(kept.filter("epoch_id = 1")), 3600.0)
 
 
 @query("wn09_row_positions", with_views(EP, select="SELECT event_id, row_number() OVER (ORDER BY subject_id, recording_id, night, epoch_id) - 1 AS row_position FROM ep"))

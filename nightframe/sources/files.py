@@ -58,6 +58,13 @@ def digest_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def with_checksums(wanted: DataFrame, sums: DataFrame, key: str = "path") -> DataFrame:
+    """Each wanted entry with its checksum; one that the listing lacks stops the job with its name."""
+    found = wanted.join(sums.select(key, "sha256"), key, "left")
+    lost = F.raise_error(F.concat(F.lit("no checksum for "), F.col(key).cast("string"))).cast("string")
+    return found.withColumn("sha256", F.coalesce("sha256", lost))
+
+
 def validate_digests(found: DataFrame, expected: DataFrame, key: str = "name") -> DataFrame:
     """Each expected file: is it there with the right digest, and which digest was seen."""
     seen = found.select(key, F.col("sha256").alias("actual_sha256"))
