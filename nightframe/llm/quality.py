@@ -27,7 +27,7 @@ RULES: dict[str, str] = {
     "repeated_words": "100 * n_repeat_words > 50 * n_words",
     "symbols": "10 * n_symbols > n_words",
     "shouting": "2 * n_shouted > n_words",
-    "duplicate_lines": "10 * n_dup_lines > 3 * n_lines",
+    "duplicate_lines": "2 * n_dup_lines > n_lines",
     "word_length": "word_chars > 20 * n_words or word_chars < 2 * n_words",
 }
 BASE = ("few_words", "repeated_words")
@@ -143,7 +143,7 @@ m AS (
   FROM d LEFT JOIN ln USING (doc_id) LEFT JOIN rep USING (doc_id)),
 b AS (
   SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT
-    + 8 * (2 * n_shouted > n_words)::INT + 16 * (10 * n_dup_lines > 3 * n_lines)::INT
+    + 8 * (2 * n_shouted > n_words)::INT + 16 * (2 * n_dup_lines > n_lines)::INT
     + 32 * (word_chars > 20 * n_words OR word_chars < 2 * n_words)::INT AS BIGINT) AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed FROM b
 """
