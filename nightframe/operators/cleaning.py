@@ -110,7 +110,3 @@ def subject_partition(df: DataFrame, subjects: Sequence[int], classes: Sequence[
         if missing:
             raise ValueError(f"classes without rows: {missing}")
     return part
-
-
-def all_true(tests: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a & b, tests)

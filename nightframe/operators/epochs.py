@@ -135,12 +135,9 @@ def build_epochs(annotations: DataFrame, recording_seconds: Column, epoch_second
 def epoch_summary(expanded: DataFrame, padding_minutes: float = WAKE_PADDING_MINUTES,
                   stages: Sequence[str] = STAGES) -> DataFrame:
     """Per recording: epochs before, after and removed, the kept window, and class counts after trimming."""
-    bounds = trim_bounds(expanded, padding_minutes)
-    kept = trim_wake(expanded, padding_minutes)
-    after = kept.groupBy("recording_id").agg(
+    kept = trim_wake(expanded, padding_minutes, keep_bounds=True)  # no recording loses all its epochs
+    return kept.groupBy("recording_id").agg(
+        *[F.first(c).alias(c) for c in ("epochs_before", "trim_start_seconds", "trim_end_seconds")],
         F.count(F.lit(1)).alias("epochs_after"),
         *[F.count_if(F.col("sleep_stage") == s).alias(f"count_{s.lower()}") for s in stages],
-    )
-    return bounds.join(after, "recording_id").withColumn(
-        "epochs_removed", F.col("epochs_before") - F.col("epochs_after")
-    )
+    ).withColumn("epochs_removed", F.col("epochs_before") - F.col("epochs_after"))

@@ -45,18 +45,17 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: C
 
     ``bucket`` must never decrease along ``order``.  Rows are numbered inside
     (keys, bucket); the rows before a bucket come from running totals over the much
-    smaller table of bucket counts.
+    smaller table of bucket counts.  Keys and bucket are one struct, which is never null and
+    equal where its fields are, nulls included; so the join is a plain one and finds the rows
+    where the window's exchange has put them.
     """
-    tagged = df.withColumn("_bucket", bucket)
-    group = [*keys, "_bucket"]
-    local = tagged.withColumn("_local", F.row_number().over(W.partitionBy(*group).orderBy(*order)))
-    counts = tagged.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
-    ahead = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select(*group, F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_start"))
-    joined = same_group(local, starts, group)
-    return joined.withColumn(out, (F.col("_start") + F.col("_local") - 1).cast("bigint")).drop(
-        "_bucket", "_local", "_start"
-    )
+    tagged = df.withColumn("_group", F.struct(*keys, bucket.alias("_bucket")))
+    local = tagged.withColumn("_local", F.row_number().over(W.partitionBy("_group").orderBy(*order)))
+    counts = tagged.groupBy("_group").agg(F.count(F.lit(1)).alias("_rows"))
+    ahead = W.partitionBy(*[f"_group.{k}" for k in keys]).orderBy("_group._bucket").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("_group", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_start"))
+    joined = local.join(starts, "_group")
+    return joined.withColumn(out, (F.col("_start") + F.col("_local") - 1).cast("bigint")).drop("_group", "_local", "_start")
 
 
 def globally_numbered(df: DataFrame, order: Sequence[str], lead: str, chunk: Column, out: str) -> DataFrame:
@@ -83,16 +82,12 @@ def following_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], bu
 
     The next row is in the same bucket, or it is the smallest value of the next bucket.
     """
-    tagged = df.withColumn("_bucket", bucket)
-    group = [*keys, "_bucket"]
-    local = tagged.withColumn("_next", F.lead(value).over(W.partitionBy(*group).orderBy(*order)))
-    firsts = tagged.groupBy(*group).agg(F.min(value).alias("_first"))
-    nexts = firsts.select(*group, F.lead("_first").over(W.partitionBy(*keys).orderBy("_bucket")).alias("_after"))
-    return (
-        same_group(local, nexts, group)
-        .withColumn(out, F.coalesce("_next", "_after"))
-        .drop("_bucket", "_next", "_after")
-    )
+    tagged = df.withColumn("_group", F.struct(*keys, bucket.alias("_bucket")))
+    local = tagged.withColumn("_next", F.lead(value).over(W.partitionBy("_group").orderBy(*order)))
+    firsts = tagged.groupBy("_group").agg(F.min(value).alias("_first"))
+    by_key = W.partitionBy(*[f"_group.{k}" for k in keys]).orderBy("_group._bucket")
+    nexts = firsts.select("_group", F.lead("_first").over(by_key).alias("_after"))
+    return local.join(nexts, "_group").withColumn(out, F.coalesce("_next", "_after")).drop("_group", "_next", "_after")
 
 
 def zero_filled_counts(df: DataFrame, label: str, classes: Sequence[str], by: Sequence[str] = (),

@@ -39,7 +39,6 @@ RELATION_TOLERANCE = 1e-9
 FLOAT_TOLERANCE = 1e-10
 TIME_TOLERANCE = 1e-6
 PROBABILITY_TOLERANCE = 1e-8
-EXPECTED_RECORDINGS = 153
 EDGE_FRACTION = 0.95
 SIGNAL_FILE_PATTERN = r"^SC\d{4}[A-Z]\d-PSG\.edf$"
 ANNOTATION_FILE_PATTERN = r"^SC\d{4}[A-Z]{2}-Hypnogram\.edf$"
@@ -79,12 +78,6 @@ DROPPED_FEATURES = {
     "delta_theta_ratio": "rank correlation above the limit",
 }
 SELECTED_FEATURES = tuple(f for f in FEATURES if f not in DROPPED_FEATURES)
-KEY_FEATURES = (
-    "std_uv", "rms_uv", "peak_to_peak_uv", "total_band_power_uv2", "zero_crossing_rate",
-    "line_length_uv", "hjorth_mobility", "hjorth_complexity", "relative_delta_power",
-    "relative_theta_power", "relative_alpha_power", "relative_sigma_power", "relative_beta_power",
-    "spectral_entropy", "dominant_frequency_hz", "spectral_centroid_hz", "spectral_edge_frequency_95_hz",
-)
 MODEL_INPUT_COLUMNS = IDENTIFIERS + TARGETS + QUALITY + SELECTED_FEATURES
 
 POWER_COLUMNS = ("delta_power", "theta_power", "alpha_power", "beta_power")
@@ -121,15 +114,3 @@ LEGACY_TABLE = T.StructType(
         T.StructField("sleep_stage_raw", T.StringType()),
     ]
 )
-MANIFEST_TABLE = T.StructType(
-    [
-        T.StructField("subject_id", T.LongType()),
-        T.StructField("subject_code", T.StringType()),
-        T.StructField("night", T.LongType()),
-        T.StructField("recording_id", T.StringType()),
-        T.StructField("psg_filename", T.StringType()),
-        T.StructField("hypnogram_filename", T.StringType()),
-        T.StructField("psg_sha256", T.StringType()),
-        T.StructField("hypnogram_sha256", T.StringType()),
-    ]
-)

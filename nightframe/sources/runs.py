@@ -21,6 +21,7 @@ from nightframe.operators.skew import globally_numbered
 from nightframe.schemas import IDENTIFIERS
 from nightframe.session import ensure_checkpoint_dir
 
+# The metadata fields that identify a run.
 FINGERPRINT_FIELDS = (
     "artifact_type", "model_file_path", "model_file_sha256", "model_name", "candidate_id", "outer_fold",
     "deployment_ready", "non_deployment_override", "input_scope", "feature_names", "class_mapping",
