@@ -10,6 +10,7 @@ from nightframe.functions import probability as PR
 from nightframe.functions.numeric import grid_distance, is_close, is_finite, is_integer_valued, normalized_error, row_sum
 from nightframe.schemas import (
     BANDS, PROBABILITY_COLUMNS, PROBABILITY_TOLERANCE, RELATION_TOLERANCE, STAGE_CODES, STAGES, TIME_TOLERANCE,
+    TRUTH_COLUMNS,
 )
 
 
@@ -135,6 +136,7 @@ def prediction_audit(df: DataFrame, tol: float = PROBABILITY_TOLERANCE) -> DataF
         "probabilities": ~PR.is_valid(p, k),
         "predicted_label": F.col("predicted_label") != name(F.col("predicted_label_encoded")),
         "argmax": F.col("probability_argmax_label_encoded") != PR.argmax(p),
+        "argmax_label": F.col("probability_argmax_label") != name(F.col("probability_argmax_label_encoded")),
         "agreement": F.col("predict_probability_argmax_agree")
         != (F.col("predicted_label_encoded") == F.col("probability_argmax_label_encoded")),
         "confidence": ~is_close("prediction_confidence", PR.confidence(p), tol),
@@ -142,8 +144,14 @@ def prediction_audit(df: DataFrame, tol: float = PROBABILITY_TOLERANCE) -> DataF
         "entropy": ~is_close("prediction_entropy", PR.entropy(p, k), tol),
         "normalized_entropy": ~is_close("prediction_normalized_entropy", PR.normalized_entropy(p, k), tol),
     }
-    if "is_correct" in df.columns:
-        tests["truth"] = F.col("is_correct") != (F.col("true_label_encoded") == F.col("predicted_label_encoded"))
+    known = [c for c in TRUTH_COLUMNS if c in df.columns]
+    if known:
+        # truth is there as a whole or not at all, for the table and for each row
+        given = sum((F.col(c).isNotNull().cast("int") for c in known), F.lit(0))
+        tests["truth_complete"] = F.lit(len(known) < len(TRUTH_COLUMNS)) | ((given > 0) & (given < len(TRUTH_COLUMNS)))
+    if len(known) == len(TRUTH_COLUMNS):
+        tests["truth"] = (given > 0) & (F.col("is_correct") != (F.col("true_label_encoded") == F.col("predicted_label_encoded")))
+        tests["truth_label"] = (given > 0) & (F.col("true_label") != name(F.col("true_label_encoded")))
     return violations(df, tests)
 
 

@@ -188,9 +188,27 @@ def _(spark, sf):
     return r9(frame(spark, sf, positions=True), FRAME_DOUBLES)
 
 
-@query("au09_prediction_audit", with_views(PRV, select="SELECT unnest(['probabilities','predicted_label','argmax','agreement','confidence','margin','entropy','normalized_entropy','truth']) AS check_name, CAST(count(*) FILTER (WHERE abs(list_sum(p) - 1) > 1e-8) AS BIGINT) AS violations FROM pr"))
+# faults put in by position; each check has its own share, the others see the consequences
+_AU09 = {"predicted_label": 11, "confidence": 23, "margin": 29, "entropy": 31, "normalized_entropy": 37, "argmax": 17, "argmax_label": 17, "truth_label": 43, "truth_complete": 47}
+
+
+@query("au09_prediction_audit", with_views(PRV, select="SELECT 'probabilities' AS check_name, count(*) FILTER (WHERE abs(list_sum(p) - 1) > 1e-8) AS violations FROM pr UNION ALL " + " UNION ALL ".join(
+    f"SELECT '{k}', count(*) FILTER (WHERE event_id % {n} = 0) FROM pr" for k, n in _AU09.items()) + """
+  UNION ALL SELECT 'agreement', count(*) FILTER (WHERE ((y_pred = y_arg) <> (event_id % 19 = 0)) <> (y_pred = CASE WHEN event_id % 17 = 0 THEN (y_arg + 1) % 5 ELSE y_arg END)) FROM pr
+  UNION ALL SELECT 'truth', count(*) FILTER (WHERE event_id % 41 = 0 OR event_id % 47 = 0) FROM pr"""))
 def _(spark, sf):
-    return audits.prediction_audit(frame(spark, sf))
+    at = lambda n: F.col("event_id") % n == 0
+    swapped = lambda c, n: F.when(at(n), ~F.col(c)).otherwise(F.col(c))
+    moved = {f"prediction_{c}": F.col(f"prediction_{c}") + F.when(at(_AU09[c]), 1e-3).otherwise(0.0) for c in ("confidence", "margin", "entropy", "normalized_entropy")}
+    code = F.col("probability_argmax_label_encoded")
+    moved |= {
+        "predicted_label": F.when(at(11), "N9").otherwise(F.col("predicted_label")),
+        "probability_argmax_label_encoded": F.when(at(17), (code + 1) % 5).otherwise(code),
+        "predict_probability_argmax_agree": swapped("predict_probability_argmax_agree", 19),
+        "is_correct": F.when(~at(47), swapped("is_correct", 41)),
+        "true_label": F.when(at(43), "N9").otherwise(F.col("true_label")),
+    }
+    return audits.prediction_audit(M.prediction_frame(P.scored(spark, sf), ["subject_id", "recording_id", "night", "event_id"]).withColumns(moved))
 
 
 @query("au12_stored_ranges", with_views(PRV, FRAME, "fz AS (SELECT " + ", ".join(f"{c} + CASE WHEN event_id % {7 + i} = 0 THEN 2 WHEN event_id % {7 + i} = 1 THEN -2 ELSE 0 END AS {c}" for i, c in enumerate(FRAME_DOUBLES)) + " FROM fr)", select=" UNION ALL ".join(

@@ -12,6 +12,8 @@ from nightframe.plans.catalog.evaluation import metric_sql
 from nightframe.plans.oracle import FT, PR as PRV, with_views
 from nightframe.plans.registry import query
 from nightframe.sources.files import name_parts
+from nightframe.session import scratch_path
+from nightframe.sources import tables
 
 
 @query("st01_trim_and_case", "SELECT c_custkey, upper(c_mktsegment) AS up, lower(c_mktsegment) AS low, trim('  ' || c_name || ' ') AS trimmed FROM customer")
@@ -170,6 +172,8 @@ def _(spark, sf):
 def _(spark, sf):
     m = M.classification_metrics(P.scored(spark, sf), ["outer_fold"])
     wrong = F.col("row_count") - F.round(F.col("accuracy") * F.col("row_count")).cast("bigint")
-    return m.select("outer_fold", X.sorted_json(row_count=F.col("row_count"), outer_fold=F.col("outer_fold"), wrong=wrong).alias("json"))
+    path = scratch_path(spark, "report")
+    tables.write_report(m.select("outer_fold", "row_count", wrong.alias("wrong")), path)
+    return spark.read.text(path).select(F.get_json_object("value", "$.outer_fold").cast("int").alias("outer_fold"), F.col("value").alias("json"))
 
 

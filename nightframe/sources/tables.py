@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from nightframe.functions.numeric import canonical_zero, nan_to_null, round_significant
+from nightframe.functions.text import sorted_json
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, required: Sequence[str] | None = None) -> DataFrame:
@@ -76,6 +77,11 @@ def write_parts(df: DataFrame, path: str, key: str = "recording_id", overwrite:
     return count
 
 
+def write_report(df: DataFrame, path: str) -> None:
+    """One JSON object per row, keys in order; a number that is not finite stops the job."""
+    df.select(sorted_json(**{c: F.col(c) for c in df.columns}).alias("value")).write.mode("overwrite").text(path)
+
+
 def table_shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("row_count")).withColumn("column_count", F.lit(len(df.columns)))
 
