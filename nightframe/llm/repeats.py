@@ -12,8 +12,8 @@ with a loser tree that never compares known prefixes again. Equal suffixes trave
 their places. Neighbours' common prefixes give what follows an anchor in common with others, the text
 before it what precedes; where both make up ``least`` bytes, they are covered.
 
-A group of suffixes with more than ``CROWD`` different surroundings does not go to one destination: its
-windows are compared one by one through two 64-bit hashes, which is exact for the rest in the same way
+A group of suffixes with more than ``CROWD`` different surroundings, or ``MEMBERS`` places, does not go to
+one destination: its windows are compared one by one through two 64-bit hashes, which is exact for the rest in the same way
 and spreads over all tasks.
 
 Null or empty texts have no bytes. Texts are UTF-8 bytes and may be cut inside a character. Repeated
@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from nightframe.llm import common
 from nightframe.llm.suffixes import covered, front_code, merge
 
-LEAST, ANCHOR, CROWD = 400, 128, 2000
+LEAST, ANCHOR = 400, 128
+#: Surroundings, and places, of one group that go to one destination (some 40 and 100 MB at most).
+CROWD, MEMBERS = 50_000, 1_000_000
 CHUNK = 1 << 20
 #: Suffixes per destination; some hundred bytes each.
 PER_DESTINATION = 60_000
@@ -55,8 +57,8 @@ def _row_hash(rows: np.ndarray, seed: int) -> np.ndarray:
     return h
 
 
-def _anchors(raw: np.ndarray, least: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, first window start, last window start) of every anchor; long texts in chunks of windows."""
+def _anchors(raw: np.ndarray, least: int, anchor: int, ok: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, first window start, last window start) of every anchor of the windows that are ok; in chunks of windows."""
     reach = least - anchor + 1
     out = []
     for at in range(0, max(0, len(raw) - least + 1), CHUNK):
@@ -71,42 +73,70 @@ def _anchors(raw: np.ndarray, least: int, anchor: int) -> tuple[np.ndarray, np.n
             span *= 2
         low = np.minimum(low[: len(low) - (reach - span)], low[reach - span :]) if span < reach else low
         place = (low[: len(part) - least + 1] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        start = np.arange(len(place)) if ok is None else np.flatnonzero(ok[at : at + len(place)])
+        place = place[start]
         first = np.flatnonzero(np.diff(place, prepend=-1))
-        out.append((place[first] + at, first + at, np.append(first[1:], len(place)) - 1 + at))
+        last = np.append(first[1:], len(place)) - 1 if len(first) else first
+        out.append((place[first] + at, start[first] + at, start[last] + at))
     if not out:
         return (np.zeros(0, np.int64),) * 3
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _packs(sizes: list[int], most: int = 2 << 20) -> list[list[int]]:
+    """Row numbers in packs of some size, so that many short texts are worked on at once."""
+    out, size = [[]], 0
+    for i, n in enumerate(sizes):
+        if size and size + n > most:
+            out.append([])
+            size = 0
+        out[-1].append(i)
+        size += n
+    return out
+
+
 def _places_table(rows: DataFrame, least: int, anchor: int) -> DataFrame:
-    """hash, surroundings (a hash), k_id, k_text, place of every anchor of every row."""
+    """hash, around (a hash of the surroundings), k_id, k_text, place of every anchor of every row."""
     names = ["hash", "around", "k_id", "k_text", "place"]
 
     def run(batches):
         for batch in batches:
-            for k_id, k_text, text in zip(batch.column("k_id"), batch.column("k_text"), batch.column("raw"), strict=True):
-                data = text.as_py() or b""
-                if len(data) < least:
-                    continue
-                raw = np.frombuffer(data, np.uint8)
-                place = np.unique(_anchors(raw, least, anchor)[0])
+            long = [(i, t) for i, t in enumerate(batch.column("raw").to_pylist()) if t is not None and len(t) >= least]
+            k_id, k_text = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k_id", "k_text"))
+            for pack in _packs([len(t) for _, t in long]) if long else []:
+                own = [long[i] for i in pack]
+                raw = np.frombuffer(b"".join(t for _, t in own), np.uint8)
+                ends = np.cumsum([len(t) for _, t in own])
+                starts = np.concatenate(([0], ends[:-1]))
+                ok = np.zeros(len(raw), bool)
+                for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+                    ok[a : b - least + 1] = True
+                place = np.unique(_anchors(raw, least, anchor, ok)[0])
+                doc = np.searchsorted(ends, place, side="right")
+                row = np.array([i for i, _ in own])[doc]
                 h = _row_hash(np.lib.stride_tricks.sliding_window_view(raw, anchor)[place], 1)
-                around = _around(raw, place, least, anchor)
-                n = len(place)
-                cols = [h.view(np.int64), around.view(np.int64), np.full(n, k_id.as_py()), np.full(n, k_text.as_py()), place]
+                around = _around(raw, place, starts[doc], ends[doc], least, anchor)
+                cols = [h.view(np.int64), around.view(np.int64), k_id[row], k_text[row], place - starts[doc]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
     return common.short_batches(rows).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def _around(raw: np.ndarray, place: np.ndarray, least: int, anchor: int) -> np.ndarray:
-    """A hash of the text from ``least - anchor`` before to ``least`` after each place, ends included."""
+def _around(raw: np.ndarray, place: np.ndarray, start: np.ndarray, end: np.ndarray, least: int, anchor: int) -> np.ndarray:
+    """A hash of the text from ``least - anchor`` before to ``least`` after each place, within its document."""
     before, wide = least - anchor, 2 * least - anchor
     wide += -wide % 8
     padded = np.concatenate((np.zeros(before, np.uint8), raw, np.zeros(wide, np.uint8)))
-    h = _row_hash(np.lib.stride_tricks.sliding_window_view(padded, wide)[place], 2)
-    ends = np.minimum(place, before).astype(np.uint64) << np.uint64(32) | np.minimum(len(raw) - place, least).astype(np.uint64)
-    return _mix(h ^ ends)
+    view = np.lib.stride_tricks.sliding_window_view(padded, wide)
+    lead, tail = np.maximum(0, before - (place - start)), before + np.minimum(end - place, least)
+    column = np.arange(wide)
+    out = []
+    for at in range(0, len(place), 4096):
+        part = slice(at, at + 4096)
+        inside = (column >= lead[part, None]) & (column < tail[part, None])
+        out.append(_row_hash(np.where(inside, view[place[part]], 0), 2))
+    ends = lead.astype(np.uint64) << np.uint64(32) | tail.astype(np.uint64)
+    return _mix(np.concatenate(out) ^ ends) if out else np.zeros(0, np.uint64)
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -220,7 +250,7 @@ def stretches(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, crowd:
     anchors = common.staged(_places_table(rows.select("k_id", "k_text", "raw"), least, anchor), "anchors")
     kinds = anchors.groupBy("hash", "around").agg(F.count(F.lit(1)).alias("n"))
     again = kinds.groupBy("hash").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).filter(F.col("n") > 1)
-    places = anchors.join(again.select("hash", (F.col("kinds") > crowd).alias("crowded")), "hash")
+    places = anchors.join(again.select("hash", ((F.col("kinds") > crowd) | (F.col("n") > MEMBERS)).alias("crowded")), "hash")
     places = common.staged(
         places.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("place", "hash", "crowded")).alias("places")), "places"
     )  # a document's own anchors: no more than its text
