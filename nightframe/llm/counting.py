@@ -106,9 +106,11 @@ def trees(docs: DataFrame, tokenizer: str) -> DataFrame:
     out = type(schema)(list(schema.fields)).add("leaf_chars", ArrayType(LongType())).add("leaf_tokens", ArrayType(LongType()))
 
     def run(batches):
-        count = encoder(tokenizer).count
+        coder = encoder(tokenizer)
         for batch in batches:
-            built = [CountTree.build(t.as_py() or "", count).leaves() for t in batch.column("text")]
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            coder.ids_of(texts)  # what is new becomes known in one go
+            built = [CountTree.build(t, coder.count).leaves() for t in texts]
             more = [pa.array([x[i] for x in built], pa.list_(pa.int64())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + more, [*names, "leaf_chars", "leaf_tokens"])
 

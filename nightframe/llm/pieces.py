@@ -9,14 +9,17 @@ their words, nearly every part comes from a dictionary.
 from __future__ import annotations
 
 import re
+from array import array
 
-import numpy as np
 from tokenizers import Tokenizer
 
-#: Distinct parts kept per worker process; beyond that parts are encoded anew.
-KEPT = 400_000
+#: Distinct parts kept per worker process, twice: a full dictionary becomes the old one, and what is
+#: met again moves from there to the new one.
+KEPT = 450_000
 _WIDE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
+#: Letters and numbers end before punctuation and line ends, so these cuts are safe too.
+_FINER = re.compile(r"(?<=[^\W_])(?=[.,;:!?\n])")
 
 
 def parts(text: str) -> list[str]:
@@ -36,16 +39,38 @@ class Encoder(dict):
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
-        ids = np.asarray(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) < KEPT:
-            self[part] = ids
-        return ids
+        self._add({part})
+        return self[part]
+
+    def _add(self, wanted: set[str]) -> None:
+        """Encodes what is new of these parts, cut finer where they aren't one word, in one batch."""
+        finer = {part: own for part in wanted if not part[1:].isalnum() and len(own := _FINER.split(part)) > 1}
+        new = wanted.difference(finer)
+        new.update(p for own in finer.values() for p in own if p not in self)
+        batch = list(new)
+        for part, coded in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False), strict=True):
+            self[part] = array("I", coded.ids).tobytes()
+        for part, own in finer.items():
+            self[part] = b"".join(map(self.__getitem__, own))
 
     def ids(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, parts(text)))
 
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; what is new in any of them is encoded in one go."""
+        if len(self) > KEPT:
+            self.old = dict(self)
+            self.clear()
+        cut = [parts(text) for text in texts]
+        wanted = set().union(*cut).difference(self)
+        known = wanted.intersection(self.old)
+        self.update((part, self.old[part]) for part in known)
+        self._add(wanted - known)
+        return [b"".join(map(self.__getitem__, own)) for own in cut]
+
     def count(self, text: str) -> int:
         return len(self.ids(text)) // 4
 

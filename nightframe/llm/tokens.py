@@ -34,7 +34,7 @@ def shards(docs: DataFrame, tokenizer: str, shard_tokens: int = SHARD_TOKENS) ->
 
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
-        encode = encoder(tokenizer).ids
+        coder = encoder(tokenizer)
         ids, lengths, coded, held = [], [], [], 0
 
         def shard():
@@ -45,8 +45,9 @@ def shards(docs: DataFrame, tokenizer: str, shard_tokens: int = SHARD_TOKENS) ->
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
         names = ["part", "seq", "n_tokens", "docs", "lengths", "matrix"]
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                got = encode(text.as_py() or "") + _END
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for doc, own in zip(batch.column("doc_id").to_pylist(), coder.ids_of(texts), strict=True):
+                got = own + _END
                 ids.append(doc)
                 lengths.append(len(got) // 4)
                 coded.append(got)

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import struct
-import zlib
 
 import numpy as np
+import pyarrow as pa
 
 MAGIC = b"WVM1"
 
@@ -21,24 +21,28 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
-        ids = np.asarray(ids, np.uint32)
-        planes, pad = [], -len(ids) % 64
-        for bit in reversed(range(max(1, int(ids.max(initial=0)).bit_length()))):
-            ones = (ids >> np.uint32(bit)) & np.uint32(1) == 1
-            planes.append(np.packbits(np.pad(ones, (0, pad)), bitorder="little"))
-            ids = np.concatenate((ids[~ones], ids[ones]))
+        levels = max(1, int(ids.max(initial=0)).bit_length())
+        kind = np.uint16 if levels <= 16 else np.uint32
+        ids = np.asarray(ids, kind)
+        planes = []
+        for bit in reversed(range(levels)):
+            ones = (ids & kind(1 << bit)).astype(bool)
+            packed = np.packbits(ones, bitorder="little")
+            planes.append(np.concatenate((packed, np.zeros(-len(packed) % 8, np.uint8))))
+            ids = np.concatenate((np.compress(~ones, ids), np.compress(ones, ids)))
         return cls(len(ids), planes)
 
     def to_bytes(self) -> bytes:
-        return MAGIC + struct.pack("<QI", self.n, len(self.planes)) + zlib.compress(b"".join(p.tobytes() for p in self.planes), 1)
+        return MAGIC + struct.pack("<QI", self.n, len(self.planes)) + pa.Codec("zstd").compress(b"".join(p.tobytes() for p in self.planes), asbytes=True)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> WaveletMatrix:
         if data[:4] != MAGIC:
             raise ValueError("not a wavelet matrix")
         n, levels = struct.unpack_from("<QI", data, 4)
-        raw = np.frombuffer(zlib.decompress(data[16:]), np.uint8)
-        return cls(n, list(raw.reshape(levels, -1)) if n else [raw] * levels)
+        size = -(-n // 64) * 8
+        raw = np.frombuffer(pa.Codec("zstd").decompress(data[16:], levels * size, asbytes=True), np.uint8)
+        return cls(n, [raw[i * size : (i + 1) * size] for i in range(levels)])
 
     def _rank1(self, level: int, i: int) -> int:
         word, rest = divmod(i, 64)
@@ -92,11 +96,12 @@ class WaveletMatrix:
 
     def tokens(self) -> np.ndarray:
         """All ids in order: the planes undone from the last to the first."""
-        out = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        out = np.zeros(self.n, kind)
         for depth, level in enumerate(reversed(range(len(self.planes)))):
             ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
-            back = np.empty(self.n, np.uint32)
-            back[~ones] = out[: self.zeros[level]]
-            back[ones] = out[self.zeros[level] :] | np.uint32(1 << depth)
+            back = np.empty(self.n, kind)
+            back[np.flatnonzero(~ones)] = out[: self.zeros[level]]
+            back[np.flatnonzero(ones)] = out[self.zeros[level] :] | kind(1 << depth)
             out = back
-        return out
+        return out.astype(np.uint32)
