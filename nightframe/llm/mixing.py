@@ -127,7 +127,7 @@ c AS (
     sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
     sum(size) OVER (PARTITION BY d.source, h) AS same
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(ss AS BIGINT) AS source_size, round(target, 3) AS target,
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(ss AS BIGINT) AS source_size, target,
   CAST(size * (whole + CASE WHEN upto <= rest OR (upto - same <= rest AND upto - rest < rest - (upto - same)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM c
 """
