@@ -18,8 +18,12 @@ def class_distribution(df: DataFrame, label: str = "sleep_stage", classes: Seque
     return counts.withColumn("percentage", share)
 
 
-def grouped_summary(df: DataFrame, key: str, columns: Sequence[str], bounded: bool = True) -> DataFrame:
-    """count, mean, population std, quartiles, IQR, min and max per (key, feature)."""
+def grouped_summary(df: DataFrame, key: str, columns: Sequence[str], bounded: bool | None = None) -> DataFrame:
+    """count, mean, population std, quartiles, IQR, min and max per (key, feature).
+
+    Stages are few, so their brackets are broadcast; for any other key they are counted first.
+    """
+    bounded = key.startswith("sleep_stage") if bounded is None else bounded
     moments = {
         "count": F.count(F.lit(1)), "mean": F.avg("value"), "std": F.stddev_pop("value"),
         "minimum": F.min("value"), "maximum": F.max("value"),

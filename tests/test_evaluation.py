@@ -261,6 +261,7 @@ def test_search_refit_save_and_batch_scoring(spark, separable, tmp_path):
     rows = summary.collect()
     assert [r.is_selected for r in rows] == [True, False] and rows[0].fold_count == 3 and rows[0].test_subjects == "1"
     assert S.selection_checks(summary).first().safe
+    assert not S.selection_checks(summary.withColumn("test_accuracy", F.lit(0.9))).first().safe
     spec = {"model_name": "logistic_regression", "params": {"C": 1.0}}
     scored = EV.outer_evaluation(separable, FEATS, {k: spec for k in range(1, 5)}, IDENTIFIERS, max_iter=30)
     assert scored.count() == separable.count() and scored.select(*IDENTIFIERS).distinct().count() == separable.count()
