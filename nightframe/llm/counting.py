@@ -108,9 +108,7 @@ def trees(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         coder = encoder(tokenizer)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            coder.ids_of(texts)  # what is new becomes known in one go
-            built = [CountTree.build(t, coder.count).leaves() for t in texts]
+            built = [CountTree.build(t or "", coder.count).leaves() for t in batch.column("text").to_pylist()]
             more = [pa.array([x[i] for x in built], pa.list_(pa.int64())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + more, [*names, "leaf_chars", "leaf_tokens"])
 

@@ -18,8 +18,9 @@ from tokenizers import Tokenizer
 KEPT = 450_000
 _WIDE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
-#: Letters and numbers end before punctuation and line ends, so these cuts are safe too.
-_FINER = re.compile(r"(?<=[^\W_])(?=[.,;:!?\n])")
+#: Letters and numbers end before punctuation and line ends, punctuation before line ends, and one line
+#: end alone before a letter, so these cuts are safe too.
+_FINER = re.compile(r"(?<=[^\W_])(?=[.,;:!?\n])|(?<=[.,;:!?])(?=\n)|(?<=\S\n)(?=[^\W\d_])")
 
 
 def parts(text: str) -> list[str]:
@@ -33,43 +34,45 @@ def parts(text: str) -> list[str]:
     return [first, *spaced] if first else spaced
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level BPE writes for each byte: printable Latin-1 itself, the rest from 256 on in order."""
+    shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = byte_letters()
+
+
 class Encoder(dict):
     """part -> its ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
-        self._add({part})
-        return self[part]
-
-    def _add(self, wanted: set[str]) -> None:
-        """Encodes what is new of these parts, cut finer where they aren't one word, in one batch."""
-        finer = {part: own for part in wanted if not part[1:].isalnum() and len(own := _FINER.split(part)) > 1}
-        new = wanted.difference(finer)
-        new.update(p for own in finer.values() for p in own if p not in self)
-        batch = list(new)
-        for part, coded in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False), strict=True):
-            self[part] = array("I", coded.ids).tobytes()
-        for part, own in finer.items():
-            self[part] = b"".join(map(self.__getitem__, own))
+        """One run of letters, with or without a space before it, is one pre-token and goes to the
+        tokenizer's merges directly; all else is cut finer, and encoded where that cuts nothing."""
+        ids = self.old.get(part)
+        if ids is None:
+            if (part[1:] if part[0] == " " else part).isalpha():
+                shown = part.replace(" ", _LETTERS[32]) if part.isascii() else part.encode().decode("latin-1").translate(_LETTERS)
+                ids = array("I", [token.id for token in self.merge(shown)]).tobytes()
+            elif len(own := _FINER.split(part)) > 1:
+                ids = b"".join(map(self.__getitem__, own))
+            else:
+                ids = array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+        self[part] = ids
+        return ids
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, parts(text)))
-
-    def ids_of(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; what is new in any of them is encoded in one go."""
         if len(self) > KEPT:
             self.old = dict(self)
             self.clear()
-        cut = [parts(text) for text in texts]
-        wanted = set().union(*cut).difference(self)
-        known = wanted.intersection(self.old)
-        self.update((part, self.old[part]) for part in known)
-        self._add(wanted - known)
-        return [b"".join(map(self.__getitem__, own)) for own in cut]
+        return b"".join(map(self.__getitem__, parts(text)))
 
     def count(self, text: str) -> int:
         return len(self.ids(text)) // 4

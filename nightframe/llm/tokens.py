@@ -45,9 +45,8 @@ def shards(docs: DataFrame, tokenizer: str, shard_tokens: int = SHARD_TOKENS) ->
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
         names = ["part", "seq", "n_tokens", "docs", "lengths", "matrix"]
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc, own in zip(batch.column("doc_id").to_pylist(), coder.ids_of(texts), strict=True):
-                got = own + _END
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                got = coder.ids(text or "") + _END
                 ids.append(doc)
                 lengths.append(len(got) // 4)
                 coded.append(got)
