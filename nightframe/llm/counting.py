@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from nightframe.llm import common
-from nightframe.llm.pieces import encoder, parts
+from nightframe.llm.pieces import Encoder, encoder, parts
 
 LEAF = 64
 
@@ -35,10 +35,16 @@ class CountTree:
         self.chars, self.tokens = sum(chars), sum(tokens)
 
     @classmethod
-    def build(cls, text: str, count) -> CountTree:
+    def build(cls, text: str, coder: Encoder) -> CountTree:
+        return cls(*cls._leaves(text, coder))
+
+    @staticmethod
+    def _leaves(text: str, coder: Encoder) -> tuple[list[int], list[int]]:
+        """Characters and tokens of each run of LEAF parts."""
         own = parts(text)
-        leaves = ["".join(own[i : i + LEAF]) for i in range(0, len(own), LEAF)]
-        return cls([len(x) for x in leaves], [count(x) for x in leaves])
+        chars, tokens = list(map(len, own)), [len(ids) // 4 for ids in map(coder.__getitem__, own)]
+        starts = range(0, len(own), LEAF)
+        return [sum(chars[i : i + LEAF]) for i in starts], [sum(tokens[i : i + LEAF]) for i in starts]
 
     def leaves(self) -> tuple[list[int], list[int]]:
         return [c for b in self.blocks for c in b[0]], [t for b in self.blocks for t in b[1]]
@@ -55,12 +61,12 @@ class CountTree:
             last += 1
         return first, last, before, sum(s[1] for s in self.sums[first : last + 1])
 
-    def replace(self, text: str, start: int, stop: int, new: str, count) -> tuple[str, int]:
+    def replace(self, text: str, start: int, stop: int, new: str, coder: Encoder) -> tuple[str, int]:
         """(the edited text, characters encoded for it)."""
         start = max(0, min(start, len(text)))
         stop = max(start, min(stop, len(text)))
         if not self.blocks:
-            built = CountTree.build(new, count)
+            built = CountTree.build(new, coder)
             self.__dict__.update(built.__dict__)
             return new, len(new)
         # context: back to a cut at or before the edit, on to one behind it
@@ -87,10 +93,7 @@ class CountTree:
                 tokens += self.blocks[last][1]
             region += text[end : end + chars[b]]
             end += chars[b]
-        own = parts(region)
-        leaves = ["".join(own[i : i + LEAF]) for i in range(0, len(own), LEAF)]
-        chars[a : b + 1] = [len(x) for x in leaves]
-        tokens[a : b + 1] = [count(x) for x in leaves]
+        chars[a : b + 1], tokens[a : b + 1] = self._leaves(region, coder)
         blocks = [[chars[i : i + self.FAN], tokens[i : i + self.FAN]] for i in range(0, len(chars), self.FAN)]
         sums = [[sum(c), sum(t)] for c, t in blocks]
         self.chars += sum(s[0] for s in sums) - sum(s[0] for s in self.sums[first : last + 1])
@@ -108,7 +111,8 @@ def trees(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         coder = encoder(tokenizer)
         for batch in batches:
-            built = [CountTree.build(t or "", coder.count).leaves() for t in batch.column("text").to_pylist()]
+            built = [CountTree.build(t or "", coder).leaves() for t in batch.column("text").to_pylist()]
+            coder.tidy()
             more = [pa.array([x[i] for x in built], pa.list_(pa.int64())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + more, [*names, "leaf_chars", "leaf_tokens"])
 
@@ -123,7 +127,7 @@ def edited(rows: DataFrame, tokenizer: str) -> DataFrame:
     names = ["doc_id", "n_chars", "n_tokens", "edited_chars", "edited_tokens", "reencoded_chars", "n_leaves"]
 
     def run(batches):
-        count = encoder(tokenizer).count
+        coder = encoder(tokenizer)
         for batch in batches:
             out = []
             for row in zip(*(batch.column(c) for c in ("doc_id", "text", "leaf_chars", "leaf_tokens", "edits")), strict=True):
@@ -131,9 +135,10 @@ def edited(rows: DataFrame, tokenizer: str) -> DataFrame:
                 text, tree, again = text or "", CountTree(chars, tokens), 0
                 figures = [doc, tree.chars, tree.tokens]
                 for e in edits or []:
-                    text, coded = tree.replace(text, e["start"], e["stop"], e["new"] or "", count)
+                    text, coded = tree.replace(text, e["start"], e["stop"], e["new"] or "", coder)
                     again += coded
                 out.append((*figures, tree.chars, tree.tokens, again, len(chars)))
+            coder.tidy()
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * len(names), names)
 
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "leaf_chars", "leaf_tokens", "edits").mapInArrow(run, ", ".join(f"{c} long" for c in names))

@@ -68,10 +68,14 @@ class Encoder(dict):
         self[part] = ids
         return ids
 
-    def ids(self, text: str) -> bytes:
+    def tidy(self) -> None:
+        """To be called now and then: a full dictionary becomes the old one."""
         if len(self) > KEPT:
             self.old = dict(self)
             self.clear()
+
+    def ids(self, text: str) -> bytes:
+        self.tidy()
         return b"".join(map(self.__getitem__, parts(text)))
 
     def count(self, text: str) -> int:

@@ -372,16 +372,16 @@ def test_edits_equal_encoding_anew():
     import random
 
     rng = random.Random(4)
-    count = pieces.Encoder(TOKENIZER).count
+    coder = pieces.Encoder(TOKENIZER)
     for n in (0, 3, 200, 3000):
         text = prose(n, n)
-        tree = counting.CountTree.build(text, count)
+        tree = counting.CountTree.build(text, coder)
         for _ in range(60):
             a = rng.randrange(len(text) + 1)
             b = a + rng.choice((0, 1, 5, 300))
             new = rng.choice(("", " ", "x", " y", "z ", "\n", prose(a, 3), prose(a, 200), " \n "))
-            text, coded = tree.replace(text, a, b, new, count)
-            assert (tree.chars, tree.tokens) == (len(text), count(text))
+            text, coded = tree.replace(text, a, b, new, coder)
+            assert (tree.chars, tree.tokens) == (len(text), coder.count(text))
             assert sum(tree.leaves()[0]) == len(text) and sum(tree.leaves()[1]) == tree.tokens
 
 
