@@ -106,14 +106,17 @@ def links(nodes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, crow
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, k_id, k_text, fp, component_id (the smallest id of the component) for every row."""
+    """doc_id, k_id, k_text, fp, root, component_id for every row.
+
+    ``root`` (the smallest fingerprint) tells components apart; ``component_id`` (the smallest id)
+    only names them: it is null where no row has an id, and components may share one.
+    """
     rows = common.staged(fingerprints(docs), "fingerprints")
     nodes = common.staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(links(nodes))
-    # the root is the smallest fingerprint of a component; its name is the smallest id there
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(named.select("fp", "root").join(names, "root").select("fp", "component_id"), "fp")
+    return rows.join(named.select("fp", "root").join(names, "root").select("fp", "root", "component_id"), "fp")
 
 
 def components_of(docs: DataFrame) -> DataFrame:
@@ -127,7 +130,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows equal in id and text collapse to one.
     """
     order = F.struct(F.col("doc_id").isNull().alias("none"), "k_id", "k_text")
-    best = groups(docs).groupBy(F.coalesce("component_id", F.lit(common.NO_ID)).alias("c")).agg(F.min(order).alias("first"))
+    best = groups(docs).groupBy("root").agg(F.min(order).alias("first"))
     best = best.select("first.k_id", "first.k_text")
     rows = common.packed(docs).join(best, ["k_id", "k_text"], "left_semi")
     return rows.dropDuplicates(["k_id", "k_text"]).select("row.*")

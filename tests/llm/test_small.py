@@ -315,6 +315,13 @@ def test_simhash_equals_brute_force(docs, empty):
     assert simhash.components_of(empty).count() == 0
 
 
+def test_keep_one_keeps_one_of_each_component(spark):
+    far = [prose(700 + i, 80) for i in range(6)]
+    own = [(None, far[0]), (None, far[1]), (None, far[1]), (None, far[2] + " "), (7, far[2]), (8, far[3]), (8, far[4]), (8, far[4]), (None, far[5]), (9, far[5])]
+    kept = simhash.keep_one(spark.createDataFrame(own, "doc_id long, text string"))
+    assert rows(kept) == sorted([(None, far[0]), (None, far[1]), (7, far[2]), (8, far[3]), (8, far[4]), (9, far[5])], key=str)
+
+
 @pytest.mark.parametrize("crowd", [512, 2])
 def test_links_lose_nothing(spark, crowd):
     import random
