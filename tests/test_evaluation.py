@@ -1,12 +1,16 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from nightframe.operators import audits, metrics as M, models, selection as S, splits as SP
 from nightframe.plans import evaluation as EV
 from nightframe.schemas import IDENTIFIERS, METRICS, PREDICTION_COLUMNS, STAGES
 from nightframe.sources import runs
 
+SF = "/root/testdata/sf0.001"
 META = {
     "artifact_type": "final", "model_file_path": "m", "model_file_sha256": "0" * 64, "model_name": "x", "candidate_id": "x__candidate_001",
     "outer_fold": None, "deployment_ready": False, "non_deployment_override": True, "input_scope": "all", "feature_names": ["f"],
@@ -291,3 +295,20 @@ def test_scoring_input_contract(spark, separable):
     with pytest.raises(ValueError, match="quality_issue_flag"):
         EV.prepare_scoring(ok.withColumn("quality_issue_flag", F.lit(True)), FEATS)
     assert EV.prepare_scoring(ok.withColumn("quality_issue_flag", F.lit(True)), FEATS, allow_flagged=True).count() == ok.count()
+
+
+class Seen(Exception):
+    pass
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="shared test tables are not here")
+@pytest.mark.parametrize(("name", "folds"), [("ml09_ml10_inner_search", 12), ("ml13_ml14_refit_save_verify", 4)])
+def test_search_queries_fit_every_fittable_candidate(spark, monkeypatch, name, folds):
+    def seen(df, given, specs, features, **fit):
+        raise Seen(len(given), sorted(s["candidate_id"] for s in specs), fit)
+
+    monkeypatch.setattr(EV, "fold_metrics", seen)
+    with pytest.raises(Seen) as found:
+        entry.queries()[name](spark, SF)
+    want = sorted(c["candidate_id"] for c in S.candidates() if c["model_name"] != "extra_trees")
+    assert found.value.args == (folds, want, {}) and len(want) == 21
