@@ -312,3 +312,14 @@ def test_search_queries_fit_every_fittable_candidate(spark, monkeypatch, name, f
         entry.queries()[name](spark, SF)
     want = sorted(c["candidate_id"] for c in S.candidates() if c["model_name"] != "extra_trees")
     assert found.value.args == (folds, want, {}) and len(want) == 21
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="shared test tables are not here")
+def test_forest_query_grows_the_trees_of_the_registry(spark, monkeypatch):
+    def seen(name, params, total_weight, trees, max_iter):
+        raise Seen(name, trees)
+
+    monkeypatch.setattr(models, "estimator", seen)
+    with pytest.raises(Seen) as found:
+        entry.queries()["ml04_random_forest"](spark, SF)
+    assert found.value.args == ("random_forest", 300)
