@@ -277,10 +277,34 @@ def with_neighbours(chunks: DataFrame, keys: Sequence[str], chunk: str, signal:
     ).filter(F.size("_own") > 0).withColumn("_length", count(F.col("_own")))
 
 
-def bandpass(chunks: DataFrame, keys: Sequence[str], chunk: str, fs: float, signal: str = "x", reach: int = 2,
+def decay_samples(fs: float, share: float = 1e-13) -> int:
+    """Samples on one side of the filter's response beyond which less than ``share`` of its absolute sum lies."""
+    n = 2 ** int(np.ceil(np.log2(fs * 400 / FILTER_LOW_HZ)))
+    tail = np.cumsum(np.abs(np.fft.irfft(band_gain(n, fs), n=n))[: n // 2][::-1])[::-1]
+    return max(1, int(np.argmax(tail < max(share, 4e-15) * tail[0])) or n // 2)
+
+
+def chunk_reach(chunks: DataFrame, keys: Sequence[str], chunk: str, signal: str, samples: int) -> int:
+    """Chunks that hold at least so many samples, by the smallest chunk that is not its recording's last."""
+    sizes = chunks.select(*keys, F.col(chunk).alias("_from"), F.size(signal).alias("_size"))
+    last = sizes.groupBy(*keys).agg(F.max("_from").alias("_last"))
+    least = sizes.join(last, list(keys)).filter("_from < _last AND _size > 0").agg(F.min("_size").alias("n")).first()["n"]
+    return -(-samples // least) + 1 if least else 1
+
+
+def bandpass(chunks: DataFrame, keys: Sequence[str], chunk: str, fs: float, signal: str = "x", reach: int | None = None,
              block: int = 1, out: str = "filtered") -> DataFrame:
-    """Zero-phase band-pass of a chunked signal, parallel over blocks of chunks."""
+    """Zero-phase band-pass of a chunked signal, parallel over blocks of chunks.
+
+    By default the context is as long as the filter's response and recording ends are extended by
+    odd reflection, so that values do not depend on chunks and blocks.  A ``reach`` in chunks gives
+    the circular filter of just that window, whose values do depend on them.
+    """
     band_gain(2, fs)  # validates the cutoff before any job starts
+    pad = 0
+    if reach is None:
+        pad = decay_samples(fs)
+        reach = chunk_reach(chunks, keys, chunk, signal, pad)
     names = [*keys, "_own"]
     source = with_neighbours(chunks, keys, chunk, signal, reach, block).select(*names, "_context", "_start", "_length")
     schema = T.StructType([*[source.schema[c] for c in names], T.StructField("_filtered", T.ArrayType(T.DoubleType()))])
@@ -292,8 +316,10 @@ def bandpass(chunks: DataFrame, keys: Sequence[str], chunk: str, fs: float, sign
             starts, sizes = (batch.column(len(names) + i).to_numpy() for i in (1, 2))
             made: list = [None] * batch.num_rows
             for rows, matrix in _stacks(batch.column(len(names))):
+                if pad and matrix.shape[1]:
+                    matrix = np.pad(matrix, ((0, 0), (pad, pad)), mode="reflect", reflect_type="odd")
                 n = matrix.shape[1]
-                whole = np.fft.irfft(np.fft.rfft(matrix, axis=1) * band_gain(n, fs), n=n, axis=1)
+                whole = np.fft.irfft(np.fft.rfft(matrix, axis=1) * band_gain(n, fs), n=n, axis=1)[:, pad : n - pad]
                 for at, row in zip(rows, whole):
                     made[at] = row[starts[at] : starts[at] + sizes[at]]
             yield pa.RecordBatch.from_arrays(

@@ -91,7 +91,7 @@ yy AS (SELECT recording_id, target AS chunk, i, sum(v*h) AS y FROM cx, (SELECT u
 
 @query("sg01_zero_phase_bandpass", with_views(SG, SG_LONG, FILTERED, select="SELECT recording_id, chunk, i AS sample, round(y, 6) + 0.0 AS filtered_uv FROM yy"))
 def _(spark, sf):
-    out = bandpass(P.signals(spark, sf), ["recording_id"], "chunk", 100.0)
+    out = bandpass(P.signals(spark, sf), ["recording_id"], "chunk", 100.0, reach=2)  # the five-chunk window of its SQL
     rows = out.select("recording_id", "chunk", F.posexplode("filtered").alias("sample", "y"))
     return rows.select("recording_id", "chunk", F.col("sample").cast("bigint").alias("sample"), (F.round("y", 6) + 0.0).alias("filtered_uv"))
 
@@ -133,4 +133,4 @@ CHAIN = SG_LONG.replace("sl AS", "raw AS"), FILTERED.replace("JOIN sl s", "JOIN
 @query("sg27_recording_features", with_views(SG, *CHAIN, select="SELECT yk.recording_id, yk.chunk, tf.sample_count, true AS is_finite_signal, std_uv < 0.1 AS flatline_flag, rawmax > 500 AS amplitude_artifact_flag, (std_uv < 0.1 OR rawmax > 500) AS quality_issue_flag, "
   + rounded_list([*TIME_FEATURES, *SPECTRAL_FEATURES]) + " FROM tf JOIN sp USING (epoch_id) JOIN (SELECT epoch_id, recording_id, chunk, max(abs(v)) AS rawmax FROM raw GROUP BY 1, 2, 3) yk USING (epoch_id)"))
 def _(spark, sf):
-    return r6(epoch_features(P.signals(spark, sf), ["recording_id"], 100.0, 0.32, block=1), [*TIME_FEATURES, *SPECTRAL_FEATURES])
+    return r6(epoch_features(P.signals(spark, sf), ["recording_id"], 100.0, 0.32, reach=2, block=1), [*TIME_FEATURES, *SPECTRAL_FEATURES])

@@ -32,7 +32,7 @@ def require_samples(df: DataFrame, signal: str, expected: int) -> DataFrame:
 
 
 def epoch_features(chunks: DataFrame, keys: Sequence[str], fs: float, window_seconds: float = WELCH_SECONDS,
-                   reach: int = 2, block: int = 16, filtered: bool = True) -> DataFrame:
+                   reach: int | None = None, block: int = 16, filtered: bool = True) -> DataFrame:
     """Filter, flag, and compute all time and spectral features of each chunk.
 
     One shuffle in all, to bring each block of chunks its neighbours; the measures are narrow.

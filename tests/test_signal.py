@@ -123,6 +123,17 @@ def test_chunked_filter_equals_the_whole_signal(spark, block):
         assert np.abs(got[c] - whole[c * size:(c + 1) * size]).max() < 1e-9
 
 
+@pytest.mark.parametrize("block", [1, 16])
+def test_short_chunks_are_filtered_like_the_whole_recording(spark, block):
+    x = np.cumsum(np.random.default_rng(3).normal(0, 1, 64 * 150 + 20))
+    rows = [("A", c, [float(v) for v in x[c * 64:(c + 1) * 64]]) for c in range(151)]
+    df = spark.createDataFrame(rows, "recording_id string, chunk bigint, x array<double>").repartition(5)
+    got = bandpass(df, ["recording_id"], "chunk", FS, block=block).orderBy("chunk").collect()
+    padded = np.pad(x, 9000, mode="reflect", reflect_type="odd")
+    whole = np.fft.irfft(np.fft.rfft(padded) * band_gain(len(padded), FS), n=len(padded))[9000:-9000]
+    assert np.abs(np.concatenate([r.filtered for r in got]) - whole).max() < 1e-6
+
+
 def test_cutoff_above_nyquist_is_refused(spark):
     with pytest.raises(ValueError, match="Nyquist"):
         bandpass(frame(spark, [1.0]).withColumn("r", F.lit("A")), ["r"], "epoch_id", 60.0)
