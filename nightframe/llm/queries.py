@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightframe.llm import chat, counting, decontaminate, mixing, personal, quality, repeats, sharding, simhash, tokens
+from nightframe.llm import chat, counting, decontaminate, merkle, mixing, packing, personal, quality, repeats, sharding, simhash, spelling, tokens
 from nightframe.llm.common import staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,12 +63,30 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.without_newlines())
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), every=spelling.MISSPELT)
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(table(spark, sf_dir, "documents"), tokenizer())
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_personal_data, op2_chat, op3_suffix_dedup, op4_decontaminate, op5_mixing, op6_simhash, op7_tokens, op8_token_counts, op9_quality, op10_sharding)
-}
+    f.__name__: f
+    for f in (
+        op1_personal_data, op2_chat, op3_suffix_dedup, op4_decontaminate, op5_mixing, op6_simhash, op7_tokens, op8_token_counts, op9_quality, op10_sharding,
+        op11_merkle_manifest, op12_spelling_variants, op13_packing,
+    )
+}
 ORACLES: dict[str, str] = {
     "op2_chat": chat.ORACLE,
     "op4_decontaminate": decontaminate.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op9_quality": quality.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
+    "op12_spelling_variants": spelling.ORACLE,
 }
