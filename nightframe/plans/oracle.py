@@ -45,5 +45,5 @@ pr AS (SELECT subject_id, recording_id, night, epoch_id, event_id, CAST(subject_
   CAST(CASE WHEN event_id % 50 = 0 THEN (top + 1) % 5 ELSE top END AS INTEGER) AS y_pred, p, CAST(top AS INTEGER) AS y_arg FROM pr2)"""
 
 
-def with_views(*views: str, select: str) -> str:
-    return "WITH " + ",\n".join(views) + "\n" + select
+def with_views(*views: str, select: str, recursive: bool = False) -> str:
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(views) + "\n" + select

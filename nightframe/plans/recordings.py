@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from nightframe.operators import audits
-from nightframe.operators.spectral import bandpass, with_all_measures, with_spectral_features
+from nightframe.operators.filtering import SPAN, bandpass
+from nightframe.operators.spectral import with_all_measures, with_spectral_features
 from nightframe.schemas import (
     EPOCH_COLUMNS, IDENTIFIERS, MODEL_INPUT_COLUMNS, SELECTED_FEATURES, SIGNAL_QUALITY_COLUMNS, SPECTRAL_FEATURES, TIME_FEATURES,
     WELCH_SECONDS,
@@ -32,12 +33,12 @@ def require_samples(df: DataFrame, signal: str, expected: int) -> DataFrame:
 
 
 def epoch_features(chunks: DataFrame, keys: Sequence[str], fs: float, window_seconds: float = WELCH_SECONDS,
-                   reach: int | None = None, block: int = 16, filtered: bool = True) -> DataFrame:
+                   span: int = SPAN, filtered: bool = True) -> DataFrame:
     """Filter, flag, and compute all time and spectral features of each chunk.
 
-    One shuffle in all, to bring each block of chunks its neighbours; the measures are narrow.
+    Samples are shuffled once, to blocks of chunks; the measures are narrow.
     """
-    source = bandpass(chunks, keys, "chunk", fs, reach=reach, block=block) if filtered else chunks.withColumn("filtered", F.col("x"))
+    source = bandpass(chunks, keys, "chunk", fs, span=span) if filtered else chunks.withColumn("filtered", F.col("x"))
     ids = [*keys, "chunk"]
     measured = with_spectral_features(with_all_measures(source, ids, "x", "filtered", fs, window_seconds))
     return measured.select(*ids, *SIGNAL_QUALITY_COLUMNS, *TIME_FEATURES, *SPECTRAL_FEATURES)

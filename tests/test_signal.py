@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from nightframe.functions.signal import central_moment, median, quality_flags, zero_crossing_rate
-from nightframe.operators.spectral import band_gain, bandpass, quality, welch, with_psd, with_spectral_features, with_time_features
+from nightframe.operators import filtering
+from nightframe.operators.filtering import bandpass
+from nightframe.operators.spectral import band_gain, quality, welch, with_psd, with_spectral_features, with_time_features
 from nightframe.plans.recordings import chunk_samples, epoch_features, require_samples
 from nightframe.schemas import SPECTRAL_FEATURES, TIME_FEATURES
 
@@ -108,30 +110,52 @@ def test_mixed_lengths_share_a_batch(spark):
     assert {r.epoch_id: len(r.psd) for r in df.collect()} == {0: 201, 1: 201}
 
 
-@pytest.mark.parametrize("block", [1, 4, 16])
-def test_chunked_filter_equals_the_whole_signal(spark, block):
+def recordings(spark, signals, size):
+    rows = [(r, c, [float(v) for v in x[c * size : (c + 1) * size]]) for r, x in signals.items() for c in range(-(-len(x) // size))]
+    return spark.createDataFrame(rows, "recording_id string, chunk bigint, x array<double>").repartition(5)
+
+
+def filtered(df, **more):
+    out = {}
+    for r in bandpass(df, ["recording_id"], "chunk", FS, **more).orderBy("recording_id", "chunk").collect():
+        assert len(r.filtered) == len(r.x)
+        out.setdefault(r.recording_id, []).extend(r.filtered)
+    return {k: np.array(v) for k, v in out.items()}
+
+
+@pytest.mark.parametrize(("size", "span", "fan"), [(64, 64, 1024), (64, 3, 2), (1000, 2, 2), (7, 50, 3)])
+def test_scan_equals_the_filter_over_whole_recordings(spark, size, span, fan):
+    """Every value, recording ends included, at several chunk lengths; short recordings and one without a name."""
+    rng = np.random.default_rng(3)
+    signals = {name: np.cumsum(rng.normal(0, 1, n)) for name, n in (("A", 3220), ("B", 20), ("C", 1), (None, 500))}
+    got = filtered(recordings(spark, signals, size), span=span, fan=fan)
+    for name, x in signals.items():
+        assert np.abs(got[name] - filtering.plain(x, FS)).max() < 1e-9
+
+
+def test_scan_has_the_gain_of_the_band(spark):
     rng = np.random.default_rng(7)
-    size, chunks = 3000, 12
-    x = np.cumsum(rng.normal(0, 1, size * chunks)) + rng.normal(0, 3, size * chunks)
+    x = np.cumsum(rng.normal(0, 1, 36000)) + rng.normal(0, 3, 36000)
     x = x - np.linspace(x[0], x[-1], len(x))
-    rows = [("A", c, [float(v) for v in x[c * size:(c + 1) * size]]) for c in range(chunks)]
-    df = spark.createDataFrame(rows, "recording_id string, chunk bigint, x array<double>").repartition(5)
-    got = {r.chunk: np.array(r.filtered) for r in bandpass(df, ["recording_id"], "chunk", FS, block=block).collect()}
+    got = filtered(recordings(spark, {"A": x}, 3000), span=2)["A"]
     whole = np.fft.irfft(np.fft.rfft(x) * band_gain(len(x), FS), n=len(x))
-    assert sorted(got) == list(range(chunks))
-    for c in range(2, chunks - 2):
-        assert np.abs(got[c] - whole[c * size:(c + 1) * size]).max() < 1e-9
-
-
-@pytest.mark.parametrize("block", [1, 16])
-def test_short_chunks_are_filtered_like_the_whole_recording(spark, block):
-    x = np.cumsum(np.random.default_rng(3).normal(0, 1, 64 * 150 + 20))
-    rows = [("A", c, [float(v) for v in x[c * 64:(c + 1) * 64]]) for c in range(151)]
-    df = spark.createDataFrame(rows, "recording_id string, chunk bigint, x array<double>").repartition(5)
-    got = bandpass(df, ["recording_id"], "chunk", FS, block=block).orderBy("chunk").collect()
-    padded = np.pad(x, 9000, mode="reflect", reflect_type="odd")
-    whole = np.fft.irfft(np.fft.rfft(padded) * band_gain(len(padded), FS), n=len(padded))[9000:-9000]
-    assert np.abs(np.concatenate([r.filtered for r in got]) - whole).max() < 1e-6
+    assert np.abs(got - whole)[6000:-6000].max() < 1e-9
+
+
+def test_filter_keeps_the_band_and_stops_what_is_outside():
+    t = np.arange(6000) / FS
+    for hz, gain in ((0.02, 0.0), (0.3, 0.5), (10.0, 1.0), (35.0, 0.5), (48.0, 0.0)):
+        y = filtering.plain(np.sin(2 * np.pi * hz * t), FS)[2000:4000]
+        assert np.sqrt(2 * (y**2).mean()) == pytest.approx(gain, abs=0.02)
+
+
+def test_missing_signal_and_sample_that_is_not_finite(spark):
+    df = recordings(spark, {"A": np.ones(200)}, 64).unionByName(spark.createDataFrame([("N", 0, None)], "recording_id string, chunk bigint, x array<double>"))
+    got = {r.recording_id: r.filtered for r in bandpass(df, ["recording_id"], "chunk", FS).filter("chunk = 0").collect()}
+    assert got["N"] == [] and np.abs(got["A"]).max() < 1e-9
+    assert bandpass(df.limit(0), ["recording_id"], "chunk", FS).count() == 0
+    with pytest.raises(Exception, match="not finite"):
+        bandpass(recordings(spark, {"A": np.array([1.0, np.nan] * 50)}, 64), ["recording_id"], "chunk", FS).collect()
 
 
 def test_cutoff_above_nyquist_is_refused(spark):
