@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from nightframe.operators.quantiles import exact_quantiles, long_form, wide_quantile
-from nightframe.operators.skew import zero_filled_counts
-from nightframe.schemas import STAGES
+from nightframe.operators.skew import same_group, zero_filled_counts
+from nightframe.schemas import KEY_FEATURES, STAGES
 
 
 def class_distribution(df: DataFrame, label: str = "sleep_stage", classes: Sequence[str] = STAGES) -> DataFrame:
@@ -42,6 +42,33 @@ def grouped_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str])
     return counts.join(medians, list(keys))
 
 
+def key_feature_summary(df: DataFrame, key: str = "sleep_stage", classes: Sequence[str] = STAGES,
+                        columns: Sequence[str] = KEY_FEATURES) -> DataFrame:
+    """count, median, quartiles and IQR per (stage, key feature), every listed stage present; count is that of the stage's rows."""
+    q = exact_quantiles(df.filter(F.col(key).isin(*classes)), [key], columns, (0.25, 0.5, 0.75), bounded_keys=True)
+    counts = zero_filled_counts(df, key, classes)
+    wanted = counts.select(key, "class_position", "count", F.explode(F.array(*[F.lit(c) for c in columns])).alias("feature"))
+    joined = wanted.join(F.broadcast(q), [key, "feature"], "left")  # both sides: classes x features
+    return joined.select(
+        key, "feature", "count", F.col("q1").alias("median"), F.col("q0").alias("q1"), F.col("q2").alias("q3"), (F.col("q2") - F.col("q0")).alias("iqr")
+    )
+
+
+def extraction_summary(df: DataFrame, keys: Sequence[str] = ("recording_id", "subject_id", "night"), label: str = "sleep_stage",
+                       classes: Sequence[str] = STAGES) -> DataFrame:
+    """One row per recording: epochs, flagged epochs by kind, two medians at twelve places, and epochs per class."""
+    flags = {"quality_issue_count": "quality_issue_flag", "flatline_count": "flatline_flag", "amplitude_artifact_count": "amplitude_artifact_flag"}
+    medians = ("std_uv", "total_band_power_uv2")
+    counts = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("epoch_count"),
+        *[F.count_if(F.coalesce(F.col(c), F.lit(False))).alias(n) for n, c in flags.items()],
+        *[F.count_if(F.col(label) == c).alias(f"count_{c.lower()}") for c in classes],
+    )
+    wide = wide_quantile(exact_quantiles(df, keys, medians, (0.5,)), keys, medians)
+    joined = same_group(counts, wide, keys, "left")
+    return joined.withColumns({f"median_{c}": F.bround(f"median_{c}", 12) for c in medians})
+
+
 def outlier_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Tukey bounds per feature and how many rows lie strictly outside; no row is removed.
 

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from nightframe import proxies as P
 from nightframe.functions.signal import quality_flags
 from nightframe.operators import audits
+from nightframe.operators.summaries import extraction_summary, key_feature_summary
 from nightframe.operators.filtering import StateSpace, bandpass, sections
 from nightframe.operators.spectral import with_psd, with_spectral_features, with_time_features
 from nightframe.plans.oracle import SG, SG_LONG, with_views
 from nightframe.plans.recordings import chunk_samples, epoch_features, require_samples
 from nightframe.plans.registry import query
-from nightframe.schemas import SPECTRAL_FEATURES, TIME_FEATURES
+from nightframe.schemas import KEY_FEATURES, SPECTRAL_FEATURES, STAGES, TIME_FEATURES
 
 FS = 64.0
 WINDOW = 0.5  # 32 samples, hop 16
@@ -136,6 +137,33 @@ def features(spark, sf):
     return epoch_features(P.signals(spark, sf), ["recording_id"], FS, WINDOW, filtered=False)
 
 
+def staged_features(spark, sf):
+    """The feature table with stages dealt out by chunk, a subject per recording, and amplitude flags that occur."""
+    df = features(spark, sf).withColumns({"subject_id": F.substring("recording_id", 2, 9).cast("bigint"), "night": F.lit(1)})
+    loud, flat = F.col("peak_to_peak_uv") > 300, F.col("std_uv") < 20
+    return df.withColumns({"sleep_stage": F.element_at(F.array(*[F.lit(c) for c in STAGES]), F.pmod("chunk", F.lit(7)).cast("int") % 5 + 1),
+                           "flatline_flag": flat, "amplitude_artifact_flag": loud, "quality_issue_flag": loud | flat})
+
+
+STAGED = "st AS (SELECT recording_id, CAST(substr(recording_id, 2) AS BIGINT) AS subject_id, ['Wake','N1','N2','N3','REM'][chunk % 7 % 5 + 1] AS sleep_stage, tf.*, sp.* EXCLUDE (epoch_id) FROM sg JOIN tf USING (epoch_id) JOIN sp USING (epoch_id))"
+
+
+@query("ag08_key_feature_summary", with_views(SG, SG_LONG, TF, PSD, STAGED, "kf AS (UNPIVOT st ON " + ", ".join(KEY_FEATURES) + " INTO NAME feature VALUE v)",
+  select="""SELECT sleep_stage, feature, count(*) AS "count", round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.25), 6) AS q1,
+  round(quantile_cont(v, 0.75), 6) AS q3, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) AS iqr FROM kf GROUP BY 1, 2"""))
+def _(spark, sf):
+    return r6(key_feature_summary(staged_features(spark, sf)), ["median", "q1", "q3", "iqr"])
+
+
+@query("ag16_recording_extraction_summary", with_views(SG, SG_LONG, TF, PSD, STAGED, select="""SELECT recording_id, subject_id, 1 AS night, count(*) AS epoch_count,
+  count(*) FILTER (WHERE peak_to_peak_uv > 300 OR std_uv < 20) AS quality_issue_count, count(*) FILTER (WHERE std_uv < 20) AS flatline_count,
+  count(*) FILTER (WHERE peak_to_peak_uv > 300) AS amplitude_artifact_count, round(quantile_cont(std_uv, 0.5), 6) AS median_std_uv,
+  round(quantile_cont(total_band_power_uv2, 0.5), 6) AS median_total_band_power_uv2, """
+  + ", ".join(f"count(*) FILTER (WHERE sleep_stage = '{s}') AS count_{s.lower()}" for s in STAGES) + " FROM st GROUP BY ALL"))
+def _(spark, sf):
+    return r6(extraction_summary(staged_features(spark, sf)), ["median_std_uv", "median_total_band_power_uv2"])
+
+
 @query("au05_feature_table_audit", "SELECT unnest(['finite_flag','finite_features','relative_sum','unique_key']) AS check_name, CAST(count(*) - count(*) AS BIGINT) AS violations FROM embeddings")
 def _(spark, sf):
     return audits.feature_audit(features(spark, sf), [*TIME_FEATURES, *SPECTRAL_FEATURES], ["recording_id", "chunk"])

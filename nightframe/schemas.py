@@ -68,6 +68,13 @@ SPECTRAL_FEATURES = (
     "spectral_centroid_hz", "spectral_edge_frequency_95_hz",
 )
 FEATURES = TIME_FEATURES + SPECTRAL_FEATURES
+# The features of the stage summary.
+KEY_FEATURES = (
+    "std_uv", "rms_uv", "peak_to_peak_uv", "total_band_power_uv2", "zero_crossing_rate", "line_length_uv",
+    "hjorth_mobility", "hjorth_complexity", "relative_delta_power", "relative_theta_power", "relative_alpha_power",
+    "relative_sigma_power", "relative_beta_power", "spectral_entropy", "dominant_frequency_hz",
+    "spectral_centroid_hz", "spectral_edge_frequency_95_hz",
+)
 DROPPED_FEATURES = {
     "rms_uv": "follows from mean and variance",
     "mean_square_uv2": "square of rms_uv",

@@ -41,6 +41,40 @@ def test_quantiles_of_any_list(spark, values):
     assert np.allclose([row.q0, row.q1, row.q2], want, rtol=1e-12, atol=1e-9)
 
 
+@pytest.mark.parametrize("limit", [1, 3, 64])
+def test_quantiles_are_narrowed_to_few_values(spark, limit):
+    """A sketch this coarse misses ranks and leaves wide brackets: regions are opened and cut again and again."""
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"k": np.where(rng.random(9000) < 0.8, None, "b"), "v": np.where(rng.random(9000) < 0.2, 7.0, rng.normal(0, 9, 9000))})
+    df = spark.createDataFrame(pdf, "k string, v double").repartition(4)
+    probs = (0.0, 0.1, 0.5, 0.77, 1.0)
+    got = {r.k: [r[f"q{i}"] for i in range(5)] for r in exact_quantiles(df, ["k"], ["v"], probs, True, accuracy=5, limit=limit).collect()}
+    for key, values in ((None, pdf[pdf["k"].isna()]["v"]), ("b", pdf[pdf["k"] == "b"]["v"])):
+        assert np.allclose(got[key] if key else got[None], np.quantile(values, probs), rtol=0, atol=1e-12)
+
+
+def test_a_missed_rank_opens_its_region(spark):
+    from nightframe.operators.quantiles import narrowed
+
+    values = np.random.default_rng(5).permutation(1000).astype(float).tolist()
+    kept = lambda v: 700 <= v < 800  # the median is not among them
+    rows = {}
+    for v in values:
+        key = (0 if v < 700 else 1 if v < 800 else 2, v if kept(v) else None)
+        rows[key] = rows.get(key, 0) + 1
+    g = F.struct(F.lit("f").alias("feature")).alias("_g")
+    cells = spark.createDataFrame([(r, v, m, 1000) for (r, v), m in rows.items()], "_region bigint, _v double, _m bigint, _n bigint").select(g, "*").checkpoint()
+    opened = []
+
+    def reopen(missed):
+        opened.extend(r["_region"] for r in missed.collect())
+        return spark.createDataFrame([(0, float(v), 1, 1000) for v in values if v < 700], "_region bigint, _v double, _m bigint, _n bigint").select(g, "*")
+
+    left = narrowed(cells, (0.5,), 50, [], reopen).collect()
+    apart = sorted(r["_v"] for r in left if r["_v"] is not None)
+    assert opened == [0] and len(apart) <= 100 and 499.0 in apart and 500.0 in apart and sum(r["_m"] for r in left) == 1000
+
+
 def test_quantiles_skip_null_and_nan(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", None), ("a", float("nan")), ("a", 3.0)], "k string, v double")
     q = exact_quantiles(df, ["k"], ["v"], (0.5,))
