@@ -253,7 +253,7 @@ def test_models_learn_and_repeat(spark, separable, name, params):
 
 
 def test_extra_trees_has_no_spark_estimator(spark, separable):
-    with pytest.raises(ValueError, match="no Spark estimator"):
+    with pytest.raises(ValueError, match="no estimator"):
         models.fit_candidate(separable, FEATS, "extra_trees", {})
     with pytest.raises(ValueError, match="registry"):
         models.fit_candidate(separable, FEATS, "svm", {})
@@ -316,10 +316,106 @@ def test_search_queries_fit_every_fittable_candidate(spark, monkeypatch, name, f
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="shared test tables are not here")
 def test_forest_query_grows_the_trees_of_the_registry(spark, monkeypatch):
-    def seen(name, params, total_weight, trees, max_iter):
-        raise Seen(name, trees)
+    def seen(rows, features, params, weights, classes, trees, seed):
+        raise Seen(params["max_depth"], trees)
 
-    monkeypatch.setattr(models, "estimator", seen)
+    monkeypatch.setattr(models, "fit_forest", seen)
     with pytest.raises(Seen) as found:
         entry.queries()["ml04_random_forest"](spark, SF)
-    assert found.value.args == ("random_forest", 300)
+    assert found.value.args == (12, 300)
+
+
+@pytest.fixture(scope="module")
+def noisy(spark):
+    """Four subjects, classes that overlap, one class missing for one of them, a constant feature."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for s in range(4):
+        for i in range(150 + 40 * s):
+            c = int(rng.integers(0, 4 if s == 1 else 5))
+            rows.append((s, f"R{s}", 1, i, c, float(c + rng.normal(0, 1.5)), float((c % 2) * 30 + rng.normal(100, 20)), 7.0))
+    df = spark.createDataFrame(rows, "subject_id int, recording_id string, night int, epoch_id int, sleep_stage_encoded int, f1 double, f2 double, f3 double").repartition(3).cache()
+    yield df
+    df.unpersist()
+
+
+def test_batched_linear_fits_equal_single_ones(spark, noisy):
+    """All candidates of all folds in common scans: the metrics, and what is selected, are those of one fit after the other."""
+    folds = [r.asDict() for r in SP.nested_splits(SP.subject_list(noisy)).orderBy("split_id").limit(4).collect()]
+    specs = EV.candidate_specs(["dummy_prior", "logistic_regression", "sgd_logistic"])
+    got = {(r.outer_fold, r.inner_fold, r.candidate_id): r for r in EV.fold_metrics(noisy, folds, specs, FEATS).collect()}
+    assert len(got) == 4 * 13
+    single = {}
+    for fold in folds[:1]:
+        train, held = EV.pick(noisy, fold["train_subjects"]), EV.pick(noisy, [fold["validation_subject"]])
+        for spec in [specs[0], specs[1], specs[6], specs[12]]:  # the prior, ridge, and elastic nets
+            one = M.classification_metrics(models.score(models.fit_candidate(train, FEATS, spec["model_name"], spec["params"], max_iter=300), held)).first()
+            many = got[fold["outer_fold"], fold["inner_fold"], spec["candidate_id"]]
+            assert many.row_count == one.row_count
+            assert many.multiclass_log_loss == pytest.approx(one.multiclass_log_loss, rel=2e-4) and many.accuracy == pytest.approx(one.accuracy, abs=0.011)
+            single[spec["candidate_id"]] = (one.multiclass_log_loss, many.multiclass_log_loss)
+    by_one, by_many = (min(single, key=lambda k: single[k][i]) for i in (0, 1))
+    assert single[by_one][0] == pytest.approx(single[by_many][0], rel=2e-4)
+
+
+def test_fold_facts_are_those_of_the_training_rows(spark, noisy):
+    from nightframe.operators import searching
+
+    fold = {"train_subjects": [1, 3], "validation_subject": 0}
+    fact = searching.fold_facts(noisy, FEATS, models.LABEL, [fold])[0]
+    pdf = noisy.filter("subject_id in (1, 3)").toPandas()
+    assert np.allclose(fact.mean, pdf[FEATS].mean()) and np.allclose(fact.scale[:2], pdf[FEATS[:2]].std(ddof=0)) and fact.scale[2] == 1.0
+    counts = pdf["sleep_stage_encoded"].value_counts().sort_index()
+    assert np.allclose(fact.counts, counts) and np.allclose(fact.class_weights, len(pdf) / (5 * counts))
+
+
+def test_descent_finds_the_minimum_of_a_penalised_quadratic():
+    from nightframe.operators.searching import Descent
+
+    rng = np.random.default_rng(1)
+    a = rng.normal(0, 1, (30, 8))
+    h, b, l1 = a.T @ a / 30, rng.normal(0, 1, 8), np.array([0.5] * 6 + [0.0] * 2)
+    run = Descent(8, l1, 500)
+    while not run.done:
+        x = run.trial
+        run.observe(0.5 * x @ h @ x - b @ x, h @ x - b)
+    g = h @ run.x - b
+    zero = run.x == 0
+    assert zero[:6].any() and np.abs(g[zero])[: zero[:6].sum()].max() <= 0.5 + 1e-4 and np.abs((g + np.sign(run.x) * l1)[~zero]).max() < 1e-4
+
+
+def test_forest_trees_respect_their_bounds_and_sampling_is_bounded(spark, noisy):
+    from nightframe.operators import forests, searching
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (400, 3))
+    y = (x[:, 0] > 0).astype(int) + 2 * (x[:, 1] > 0.5)
+    xb = forests.binned(x, forests.thresholds(x))
+    times = rng.poisson(1.0, 400)
+    feature, cut, left, share = tree = forests.grow(xb, y, np.ones(400), times, 5, 3, 10, 2, rng)
+    assert np.allclose(share.sum(axis=1), 1) and (feature >= 0).sum() * 2 + 1 == len(feature) and (left[feature >= 0] > 0).all()
+
+    def walk(node, rows, depth):
+        assert depth <= 3 and times[rows].sum() >= 10
+        if feature[node] >= 0:
+            right = xb[rows, feature[node]] > cut[node]
+            walk(left[node], rows[~right], depth + 1)
+            walk(left[node] + 1, rows[right], depth + 1)
+        else:
+            mass = np.bincount(y[rows], times[rows], 5)
+            assert np.allclose(share[node], mass / mass.sum(), atol=1e-6)
+
+    walk(0, np.arange(400), 0)
+    assert (forests.tree_shares(tree, xb).argmax(axis=1) == y).mean() > 0.6
+    rows = searching.matrix_rows(noisy, FEATS, models.LABEL)
+    one, two = forests.bounded_sample(rows, 50), forests.bounded_sample(rows.repartition(7), 50)
+    assert len(one) == 50 and one["x"].tolist() == two["x"].tolist()
+
+
+def test_search_with_forests_ends_and_saves(spark, noisy, tmp_path):
+    summary = EV.inner_search(noisy, FEATS, models.FITTABLE, outer_folds=[1], trees=20, forest_rows=200).collect()
+    assert len(summary) == 21 and {r.fold_count for r in summary} == {3} and sum(r.is_selected for r in summary) == 1
+    fitted = models.fit_candidate(noisy, FEATS, "random_forest", {"max_depth": None, "min_samples_leaf": 4, "max_features": 0.5}, trees=30)
+    assert models.save_and_verify(fitted, str(tmp_path / "forest"), noisy) == 0
+    with pytest.raises(Exception, match="not finite"):
+        models.score(fitted, noisy.withColumn("f1", F.lit(None).cast("double"))).collect()
