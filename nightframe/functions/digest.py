@@ -8,6 +8,7 @@ of the rows costs one small partial record per task.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -33,10 +34,19 @@ def _slice(sha: Column, start: int) -> Column:
     return F.conv(F.substring(sha, start, 15), 16, 10).cast("decimal(38,0)")
 
 
+def set_sums(sha: Column | str) -> list[Column]:
+    """Aggregate expressions (rows, sum_a, sum_b) that add up over parts of a set; sums as decimals."""
+    s = as_col(sha)
+    sums = [F.coalesce(F.sum(_slice(s, at)), F.lit(0).cast("decimal(38,0)")) for at in (1, 16)]
+    return [F.count(F.lit(1)).alias("rows"), sums[0].alias("sum_a"), sums[1].alias("sum_b")]
+
+
 def set_sha256(sha: Column | str) -> Column:
     """Aggregate expression: order-free digest of a column of row digests."""
-    s = as_col(sha)
-    parts = [F.count(F.lit(1)).cast("string")] + [
-        F.coalesce(F.sum(_slice(s, at)), F.lit(0).cast("decimal(38,0)")).cast("string") for at in (1, 16)
-    ]
-    return F.sha2(F.concat_ws("|", *parts), 256)
+    rows, a, b = set_sums(sha)
+    return F.sha2(F.concat_ws("|", rows.cast("string"), a.cast("string"), b.cast("string")), 256)
+
+
+def sums_sha256(rows: int, sum_a: int, sum_b: int) -> str:
+    """The same digest from added-up sums."""
+    return hashlib.sha256(f"{rows}|{sum_a}|{sum_b}".encode()).hexdigest()
