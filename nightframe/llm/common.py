@@ -33,10 +33,15 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def quoted(name: str) -> Column:
+    """The column of this very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """The row key beside each whole row as one struct, whose column names cannot clash with others."""
     return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k_id"), F.xxhash64("text").alias("k_text"), F.struct(*docs.columns).alias("row")
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k_id"), F.xxhash64("text").alias("k_text"), F.struct(*[quoted(c) for c in docs.columns]).alias("row")
     )
 
 

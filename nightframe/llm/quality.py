@@ -29,15 +29,19 @@ RULES: dict[str, str] = {
     "shouting": "2 * n_shouted > n_words",
     "duplicate_lines": "2 * n_dup_lines > n_lines",
     "word_length": "word_chars > 20 * n_words or word_chars < 2 * n_words",
+    "capitals": "2 * n_capitals > n_words",
+    "duplicate_lines_third": "10 * n_dup_lines > 3 * n_lines",
 }
 BASE = ("few_words", "repeated_words")
 #: Versions of the policy; a later one never changes an earlier one.
 POLICIES: dict[str, tuple[str, ...]] = {
     "base": BASE,
-    "v1": (*BASE, "symbols", "duplicate_lines"),
-    "v2": tuple(RULES),
+    "v1": (*BASE, "symbols", "duplicate_lines_third"),
+    "v2": (*BASE, "symbols", "shouting", "duplicate_lines", "word_length"),
+    "v3": (*BASE, "symbols", "capitals", "duplicate_lines", "word_length"),
 }
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_shouted", "n_lines", "n_dup_lines", "n_repeat_words")
+CURRENT = "v3"
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_shouted", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals")
 SYMBOLS, SPACE = "#*$%&|<>", " \t\n\v\f\r"
 
 
@@ -62,7 +66,9 @@ def measure(data: bytes | None) -> tuple[int, ...]:
                 repeated += at + 3 - max(at, upto)
                 upto = at + 3
     shouted = sum(1 for w in words if w.endswith(b"!!")) if b"!!" in data else 0
-    return len(words), chars, sum(map(text.count, SYMBOLS)), shouted, len(lines), len(lines) - len(set(lines)), repeated
+    # words of more than one byte with capital but no small letters of the ASCII range
+    capitals = sum(1 for w in words if w.isupper() and len(w) > 1)
+    return len(words), chars, sum(map(text.count, SYMBOLS)), shouted, len(lines), len(lines) - len(set(lines)), repeated, capitals
 
 
 def _measured(rows: DataFrame) -> DataFrame:
@@ -108,21 +114,26 @@ def ablations(ledger: DataFrame, policy: str) -> DataFrame:
     )
 
 
-def judged(docs: DataFrame, policy: str = "v2") -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed."""
+def verdicts(ledger: DataFrame, policy: str = CURRENT) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed from a (stored) ledger."""
     failed_base = F.col("failed").bitwiseAND(F.lit(bits(BASE))) != 0
-    return ledger(docs).select(
+    return ledger.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed_base.alias("base_failed"), (~failed_base & passes(policy)).alias("kept"), "failed"
     )
 
 
-def accepted(docs: DataFrame, policy: str = "v2") -> DataFrame:
+def judged(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
+    """The verdicts on documents whose ledger is not stored."""
+    return verdicts(ledger(docs), policy)
+
+
+def accepted(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The documents that pass the policy, with their own columns."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    rows = docs.select(F.struct(*[common.quoted(c) for c in docs.columns]).alias("row"), "text")
     return _measured(rows).filter(passes("base") & passes(policy)).select("row.*")
 
 
-ORACLE = r"""
+_LEDGER = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 ln AS (
@@ -138,12 +149,20 @@ m AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(list_filter(w, lambda x: ends_with(x, '!!'))) AS BIGINT) AS n_shouted,
+    CAST(len(list_filter(w, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]') AND strlen(x) > 1)) AS BIGINT) AS n_capitals,
     CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
   FROM d LEFT JOIN ln USING (doc_id) LEFT JOIN rep USING (doc_id)),
 b AS (
   SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT
     + 8 * (2 * n_shouted > n_words)::INT + 16 * (2 * n_dup_lines > n_lines)::INT
-    + 32 * (word_chars > 20 * n_words OR word_chars < 2 * n_words)::INT AS BIGINT) AS failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed FROM b
+    + 32 * (word_chars > 20 * n_words OR word_chars < 2 * n_words)::INT + 64 * (2 * n_capitals > n_words)::INT
+    + 128 * (10 * n_dup_lines > 3 * n_lines)::INT AS BIGINT) AS failed FROM m)
+"""
+_JUDGED = """SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, (failed & 119) = 0 AS kept, failed FROM b
 """
+ORACLE = _LEDGER + _JUDGED
+#: The bits of v3 are 119, and its rules these.
+ABLATIONS_ORACLE = _LEDGER + """SELECT rule, count(*) FILTER (WHERE (failed & bit) <> 0) AS rejected, count(*) FILTER (WHERE (failed & 119) = bit) AS rejected_alone,
+  count(*) FILTER (WHERE (failed & 119) IN (0, bit)) AS kept_without
+FROM b, (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('duplicate_lines', 16), ('word_length', 32), ('capitals', 64)) r(rule, bit) GROUP BY rule"""

@@ -56,7 +56,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judged(table(spark, sf_dir, "documents"))
+    return quality.verdicts(staged(quality.ledger(table(spark, sf_dir, "documents")), "ledger"))
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy rejects, over the stored ledger."""
+    return quality.ablations(staged(quality.ledger(table(spark, sf_dir, "documents")), "ledger"), quality.CURRENT)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +84,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_personal_data, op2_chat, op3_suffix_dedup, op4_decontaminate, op5_mixing, op6_simhash, op7_tokens, op8_token_counts, op9_quality, op10_sharding,
-        op11_merkle_manifest, op12_spelling_variants, op13_packing,
+        op11_merkle_manifest, op12_spelling_variants, op13_packing, quality_ablations,
     )
 }
 ORACLES: dict[str, str] = {
@@ -87,6 +92,7 @@ ORACLES: dict[str, str] = {
     "op4_decontaminate": decontaminate.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op9_quality": quality.ORACLE,
+    "quality_ablations": quality.ABLATIONS_ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
     "op12_spelling_variants": spelling.ORACLE,
 }

@@ -315,6 +315,39 @@ def test_simhash_equals_brute_force(docs, empty):
     assert simhash.components_of(empty).count() == 0
 
 
+def test_near_copies_of_five_words_and_four_fifths_are_grouped(spark, docs, empty):
+    """Lone copies with words replaced, at a five-word similarity just above 0.8: about four of five share their original's root."""
+    import random
+
+    rng, own, similar = random.Random(5), [], 0
+    for i in range(120):
+        words = prose(1000 + i, 260).split()
+        copy = list(words)
+        for at in rng.sample(range(260), 5):
+            copy[at] = f"changed{i}x{at}"
+        five = [{tuple(w[k : k + 5]) for k in range(256)} for w in (words, copy)]
+        similar += len(five[0] & five[1]) / len(five[0] | five[1]) >= 0.8
+        own += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    df = spark.createDataFrame(own, "doc_id long, text string")
+    root = {r["doc_id"]: r["root"] for r in simhash.near_groups(df).collect()}
+    assert similar > 100 and sum(root[2 * i] == root[2 * i + 1] for i in range(120)) >= 84
+    assert len({root[2 * i] for i in range(120)}) == 120  # originals stay apart
+    kept = simhash.keep_near(docs.withColumn("a.b", F.lit(1)))
+    assert kept.columns == [*docs.columns, "a.b"] and 0 < kept.count() < docs.count()
+    assert simhash.keep_near(empty).count() == 0
+
+
+def test_fingerprints_do_not_depend_on_chunks_and_order():
+    text = prose(4, 3000).encode()
+    words = text.lower().split()
+    hashes = np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + 2]), 42) for i in range(len(words) - 1)], np.uint64))
+    for table, fp in enumerate(simhash.set_fingerprints(text)):
+        own = simhash._remixed(hashes, table)
+        bits = [2 * int(((own >> np.uint64(b)) & np.uint64(1)).sum()) > len(own) for b in range(64)]
+        assert fp % 2**64 == sum(1 << b for b, on in enumerate(bits) if on)
+    assert simhash.set_fingerprints(None) == [0] * 4 == simhash.set_fingerprints(b" \n")
+
+
 def test_keep_one_keeps_one_of_each_component(spark):
     far = [prose(700 + i, 80) for i in range(6)]
     own = [(None, far[0]), (None, far[1]), (None, far[1]), (None, far[2] + " "), (7, far[2]), (8, far[3]), (8, far[4]), (8, far[4]), (None, far[5]), (9, far[5])]
@@ -432,6 +465,12 @@ def test_quality(docs, empty):
     accepted = quality.accepted(docs)
     assert accepted.columns == docs.columns and accepted.count() == quality.judged(docs).filter("kept").count() > 0
     stored = quality.ledger(docs).cache()
+    capitals = spark.createDataFrame([(1, "LOUD WORDS " * 40), (2, "quiet words " * 40), (3, "A b " * 60)], "doc_id long, text string")
+    bit = quality.bits(("capitals",))
+    assert [bool(r["failed"] & bit) for r in quality.ledger(capitals).orderBy("doc_id").collect()] == [True, False, False]
+    assert quality.POLICIES["v1"][-1] == "duplicate_lines_third" and "shouting" not in quality.POLICIES[quality.CURRENT]
+    dotted = docs.withColumn("a.b", F.lit(1))
+    assert quality.accepted(dotted).columns == dotted.columns
     for r in quality.ablations(stored, "v2").collect():
         bit = quality.bits((r["rule"],))
         fails = [x["failed"] for x in stored.collect()]
