@@ -406,8 +406,8 @@ def test_forest_trees_respect_their_bounds_and_sampling_is_bounded(spark, noisy)
     y = (x[:, 0] > 0).astype(int) + 2 * (x[:, 1] > 0.5)
     xb = forests.binned(x, forests.thresholds(x))
     times = rng.poisson(1.0, 400)
-    feature, cut, left, share = tree = forests.grow(xb, y, np.ones(400), times, 5, 3, 10, 2, rng)
-    assert np.allclose(share.sum(axis=1), 1) and (feature >= 0).sum() * 2 + 1 == len(feature) and (left[feature >= 0] > 0).all()
+    feature, cut, left, share = tree = forests.grow(xb, y, np.ones(400), np.array([times, times[::-1]]), 5, 3, 10, 2, rng)
+    assert np.allclose(share.sum(axis=1), 1) and (feature >= 0).sum() * 2 + 2 == len(feature) and (left[feature >= 0] > 0).all()
 
     def walk(node, rows, depth):
         assert depth <= 3 and times[rows].sum() >= 10
