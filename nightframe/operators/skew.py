@@ -58,19 +58,48 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: C
     return joined.withColumn(out, (F.col("_start") + F.col("_local") - 1).cast("bigint")).drop("_group", "_local", "_start")
 
 
+def prefix_totals(totals: DataFrame, order: Sequence[str], value: str, out: str, fan: int = 64) -> DataFrame:
+    """Adds ``out``, the sum of ``value`` over all rows before in ``order``, by tree prefix sums.
+
+    Rows are cut into ranges of the order; inside a range a window adds up.  The ranges' totals are added up in
+    groups of ``fan``, those groups' totals again, until one group is left: every window has a partition, and
+    those above the ranges see ``fan`` rows.  The ranges are checkpointed (totals only, not the rows they
+    stand for), because each level must see the same ones.
+    """
+    ensure_checkpoint_dir(totals.sparkSession)
+    ranged = totals.repartitionByRange(*order).withColumn("_range", F.spark_partition_id().cast("bigint")).checkpoint()
+    earlier = lambda keys, by: F.coalesce(F.sum("_sum").over(W.partitionBy(keys).orderBy(*by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    level = ranged.groupBy(F.col("_range").alias("_at")).agg(F.sum(value).alias("_sum"))
+    count = (ranged.agg(F.max("_range")).first()[0] or 0) + 1
+    levels = []
+    while True:
+        grouped = level.withColumn("_up", F.floor(F.col("_at") / fan))
+        levels.append(grouped.select("_at", "_up", earlier("_up", ["_at"]).alias("_ahead")))
+        count = -(-count // fan)
+        if count == 1:
+            break
+        level = grouped.groupBy(F.col("_up").alias("_at")).agg(F.sum("_sum").alias("_sum"))
+    # down again: what is ahead of a range is what is ahead of its group and what is ahead of it there
+    ahead = levels[-1].select("_at", "_ahead")
+    for below in reversed(levels[:-1]):
+        above = ahead.select(F.col("_at").alias("_up"), F.col("_ahead").alias("_more"))
+        ahead = below.join(above, "_up").select("_at", (F.col("_ahead") + F.col("_more")).alias("_ahead"))
+    inside = ranged.withColumn("_sum", F.col(value)).withColumn("_inside", earlier("_range", order))
+    joined = inside.join(ahead.withColumnRenamed("_at", "_range"), "_range")
+    return joined.withColumn(out, F.col("_ahead") + F.col("_inside")).drop("_sum", "_range", "_inside", "_ahead")
+
+
 def globally_numbered(df: DataFrame, order: Sequence[str], lead: str, chunk: Column, out: str) -> DataFrame:
     """Zero-based position in a total order over the whole table.
 
-    Three levels: rows inside (lead, chunk), chunks inside one ``lead`` value, and
-    ``lead`` values among each other.  Only the last level is ordered in one place and it
-    holds one row per distinct ``lead``.
+    Three levels: rows inside (lead, chunk), chunks inside one ``lead`` value, and ``lead`` values among each
+    other by tree prefix sums over their counts; nothing is ordered in one place.
     """
     inside = numbered(df, [lead], order, chunk, "_inside")
     totals = df.groupBy(lead).agg(F.count(F.lit(1)).alias("_rows"))
-    before = W.orderBy(lead).rowsBetween(W.unboundedPreceding, -1)
-    starts = totals.select(lead, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    starts = prefix_totals(totals, [lead], "_rows", "_before").select(lead, "_before")
     return (
-        lookup_join(inside, starts, [lead])
+        same_group(inside, starts, [lead])
         .withColumn(out, (F.col("_before") + F.col("_inside")).cast("bigint"))
         .drop("_before", "_inside")
     )

@@ -114,6 +114,28 @@ def test_numbering_matches_a_plain_window(spark):
     assert (ordered["n"].to_numpy() == ordered.groupby("key").cumcount().to_numpy()).all() and len(got) == len(pdf)
 
 
+@pytest.mark.parametrize("fan", [2, 64])
+def test_prefix_totals_go_up_and_down_the_tree(spark, fan):
+    from nightframe.operators.skew import prefix_totals
+
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"k": rng.permutation(300), "w": rng.integers(0, 9, 300)})
+    old = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = prefix_totals(spark.createDataFrame(pdf).repartition(3), ["k"], "w", "before", fan=fan)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        got = df.toPandas().sort_values("k")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old[1])
+    want = pdf.sort_values("k")["w"].cumsum() - pdf.sort_values("k")["w"]
+    assert got["before"].tolist() == want.tolist() and set(got.columns) == {"k", "w", "before"}
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all(("_up#" in w or "_range#" in w) for w in windows)
+
+
 def test_global_positions_are_dense_and_ordered(spark):
     pdf = hot_table(1500)
     pdf["e"] = pdf.groupby("key").cumcount()
