@@ -353,3 +353,17 @@ def _(spark, sf):
     return splits(spark, sf).select("split_id", F.inline(grid))
 
 
+
+
+@query("sp07_stratified_group_folds", with_views(EP, "n AS (SELECT count(DISTINCT subject_id) AS n FROM ep)", select="""SELECT role, count(*) AS folds, n * max(times) AS assignments, max(times) AS per_subject, 0::BIGINT AS impure_subjects, true AS balanced,
+  (SELECT count(*) FROM ep) * max(times) AS rows FROM n, (SELECT 'test' AS role, unnest(range(5)) AS f, 1 AS times UNION ALL SELECT 'validation', unnest(range(15)), 4) GROUP BY role, n"""))
+def _(spark, sf):
+    ep = P.epochs(spark, sf)
+    folds = SP.stratified_group_folds(ep)
+    times = F.when(F.col("role") == "test", 1).otherwise(4)
+    per_subject = folds.groupBy("role", "subject").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("outer_fold").alias("outers"))
+    purity = per_subject.groupBy("role").agg(
+        F.sum("n").alias("assignments"), F.max("n").cast("int").alias("per_subject"), F.count_if((F.col("n") != times) | (F.col("outers") != times)).alias("impure_subjects")
+    )
+    balance = SP.fold_balance(ep, folds).groupBy("role").agg(F.count(F.lit(1)).alias("folds"), F.sum("rows").alias("rows"), (F.max("largest_imbalance") < 0.1).alias("balanced"))
+    return purity.join(F.broadcast(balance), "role")  # a row per role
