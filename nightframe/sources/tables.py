@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from nightframe.functions.digest import row_sha256, set_sums
 from nightframe.functions.numeric import canonical_zero, nan_to_null, round_significant
 from nightframe.functions.text import sorted_json
+from nightframe.session import ensure_checkpoint_dir
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, required: Sequence[str] | None = None) -> DataFrame:
@@ -48,32 +50,58 @@ def replace_load(facts: DataFrame, fact_path: str, subject_path: str, source: st
     subjects.write.mode("overwrite").parquet(subject_path)
 
 
+#: Folder of the parts' digests; the underscore hides it from a scan of the parts.
+DIGESTS = "_digests"
+
+
+def _write_parted(df: DataFrame, path: str, key: str) -> None:
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Asked of the store itself, so any path that Spark can read will do."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def part_digests(df: DataFrame, key: str) -> DataFrame:
+    """key, rows, sum_a, sum_b: a digest of each part's rows that does not depend on their order or files."""
+    return df.select(key, row_sha256(sorted(df.columns)).alias("_sha")).groupBy(key).agg(*set_sums("_sha"))
+
+
+def valid_parts(spark: SparkSession, path: str, schema: T.StructType, key: str) -> DataFrame | None:
+    """The keys of the parts whose stored rows are those that were to be written; None where nothing was."""
+    if not path_exists(spark, f"{path}/{DIGESTS}"):
+        return None
+    # with the schema given, the folder names are read as what they were, "007" as text; rows of a file that
+    # cannot be read are missing from the digest, so its part is no longer valid
+    stored = part_digests(spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path), key)
+    noted = spark.read.schema(stored.schema).parquet(f"{path}/{DIGESTS}")
+    # the keys alone are checkpointed: what follows overwrites the folders that they were read from
+    ensure_checkpoint_dir(spark)
+    return stored.join(noted, [key, "rows", "sum_a", "sum_b"], "left_semi").select(key).checkpoint()
+
+
 def write_parts(df: DataFrame, path: str, key: str = "recording_id", overwrite: bool = False,
                 files_per_part: int = 4) -> int:
-    """Write per-recording parts; parts that exist are kept unless told otherwise.
+    """Write per-recording parts; parts that are there and whole are kept unless told otherwise.
 
     Rows are dealt out by (recording, slice of the row hash): a recording gets a few files
-    instead of one per task, and a large one is not written by a single task.
+    instead of one per task, and a large one is not written by a single task.  Beside the parts
+    lies a digest of each.  A later call reads the stored rows once, compares, and writes
+    again what is missing or damaged.
 
-    Returns how many recordings were written.  The finished keys are the partition
-    folders, so finding them reads no data file.
+    Returns how many recordings were written.
     """
     spark = df.sparkSession
-    todo = df
-    if not overwrite:
-        try:
-            # with the schema given, the folder names are read as what they were, "007" as text
-            done = spark.read.schema(df.schema).parquet(path).select(key).distinct()
-            todo = df.join(done, key, "left_anti")
-        except Exception as exc:  # nothing written yet
-            if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
-                raise
+    done = None if overwrite else valid_parts(spark, path, df.schema, key)
+    todo = df if done is None else df.join(done, key, "left_anti")
     count = todo.select(key).distinct().count()
     if count:
         dealt = todo.repartition(F.col(key), F.pmod(F.xxhash64(*todo.columns), F.lit(files_per_part)))
-        (
-            dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
-        )
+        # noted before the rows: a part whose rows did not come through whole will not match
+        _write_parted(part_digests(todo, key), f"{path}/{DIGESTS}", key)
+        _write_parted(dealt, path, key)
     return count
 
 

@@ -256,6 +256,22 @@ def test_parts_are_resumed(spark, tmp_path):
     assert {r.recording_id: r.v for r in spark.read.parquet(path).collect()} == {"A": 10, "B": 20}
 
 
+def test_damaged_parts_are_written_again(spark, tmp_path):
+    rows = [(k, i, float(i) / 3) for k in ("A", "B", "C", "D") for i in range(50)]
+    df = spark.createDataFrame(rows, "recording_id string, v int, w double")
+    path = str(tmp_path / "parts")
+    assert tables.write_parts(df, path) == 4 and tables.write_parts(df, path) == 0
+    files_of = lambda k: sorted((tmp_path / "parts" / f"recording_id={k}").glob("*.parquet"))
+    files_of("B")[0].write_bytes(b"no parquet")  # cannot be read
+    for f in (tmp_path / "parts" / "recording_id=B").glob(".*.crc"):
+        f.unlink()
+    one = df.filter("recording_id = 'C'").withColumn("v", F.when(F.col("v") == 7, 8).otherwise(F.col("v")))  # one value differs
+    one.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("recording_id").parquet(path)
+    assert tables.write_parts(df, path) == 2 and tables.write_parts(df, path) == 0
+    back = spark.read.parquet(path)
+    assert sorted((r.recording_id, r.v, r.w) for r in back.collect()) == sorted(rows)
+
+
 def test_links_in_any_spelling(spark):
     html = """<A HREF='x/one.edf'> <a class="b" href=two.edf?v=1> <a
       href = "d/three%20b.edf#top"> <a href="bad%zz.edf"> <area href="no.edf"> <a data-href="no2.edf" title='>' href='four.edf'>"""
