@@ -5,6 +5,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -29,7 +30,10 @@ def rows(frame):
 
     def fix(v):
         v = v.item() if hasattr(v, "item") else v
-        return None if v is None or (isinstance(v, float) and math.isnan(v)) else v
+        if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
+            return None
+        # pandas holds a nullable integer column as float or as Int64, depending on where it comes from
+        return int(v) if isinstance(v, float) and v.is_integer() else v
 
     return sorted((tuple(fix(v) for v in r) for r in frame.itertuples(index=False, name=None)), key=str)
 
