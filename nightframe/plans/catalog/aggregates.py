@@ -141,14 +141,26 @@ def _(spark, sf):
     return inspect_recordings(P.annotations(spark, sf), F.lit(2592000.0))
 
 
-@query("au06_inspection_audit", with_views(AN, "li AS (SELECT recording_id, count(*) FILTER (WHERE starts_with(label, 'Sleep stage')) AS n FROM an GROUP BY 1)", select="""SELECT unnest(['default_channel','sampling_rate','signal_duration','annotations','non_empty','unique_key']) AS check_name, CAST(count(*) - count(*) AS BIGINT) AS violations FROM an
-  UNION ALL SELECT 'sleep_labels', count(*) FILTER (WHERE n = 0) FROM li"""))
+# faults put in by subject, each check with its own share; 'non_empty' alone has nothing to find in a table with rows
+@query("au06_inspection_audit", with_views(AN, "li AS (SELECT recording_id, subject_id AS s, count(*) FILTER (WHERE starts_with(label, 'Sleep stage')) AS n FROM an GROUP BY 1, 2)", select="""SELECT 'default_channel' AS check_name, count(*) FILTER (WHERE s % 7 = 1) AS violations FROM li
+  UNION ALL SELECT 'sampling_rate', count(*) FILTER (WHERE s % 11 = 1) FROM li UNION ALL SELECT 'signal_duration', count(*) FILTER (WHERE s % 13 = 1) FROM li
+  UNION ALL SELECT 'annotations', count(*) FILTER (WHERE s % 17 = 1) FROM li UNION ALL SELECT 'unique_key', count(*) FILTER (WHERE s % 19 = 1 AND n > 0) FROM li
+  UNION ALL SELECT 'sleep_labels', count(*) FILTER (WHERE n = 0 OR s % 5 = 1) FROM li UNION ALL SELECT 'non_empty', 0"""))
 def _(spark, sf):
     from nightframe.operators.audits import inspection_audit
     from nightframe.operators.epochs import inspect_recordings
 
     report = inspect_recordings(P.annotations(spark, sf), F.lit(2592000.0))
-    return inspection_audit(report.withColumns({"default_channel_present": F.lit(True), "sampling_frequency_hz": F.lit(100.0)}))
+    report = report.withColumns({"default_channel_present": F.lit(True), "sampling_frequency_hz": F.lit(100.0)})
+    at = lambda n: F.substring("recording_id", 2, 9).cast("bigint") % n == 1
+    broken = report.withColumns({
+        "default_channel_present": ~at(7), "sampling_frequency_hz": F.when(at(11), 0.0).otherwise(100.0),
+        "signal_duration_seconds": F.when(at(13), 0.0).otherwise(F.col("signal_duration_seconds")),
+        "annotation_count": F.when(at(17), 0).otherwise(F.col("annotation_count")),
+        "sleep_labels_json": F.when(at(5), "[]").otherwise(F.col("sleep_labels_json")),
+    })
+    again = report.filter(at(19) & F.contains("sleep_labels_json", F.lit("Sleep stage")))
+    return inspection_audit(broken.unionByName(again))
 
 
 @query("ag16_extraction_summary", with_views(FT, select="SELECT recording_id, count(*) AS epoch_count, count(*) FILTER (WHERE signal_energy > 50000) AS quality_issue_count, "
