@@ -80,16 +80,19 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, crowd: int = CROWD) -> DataFrame:
+def links(nodes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, crowd: int = CROWD, label: str | None = None) -> DataFrame:
     """Pairs (a, b), a < b, of distinct fingerprints at most ``distance`` bits apart; nodes: fp.
 
+    With a ``label`` (a column of the nodes) only pairs of different labels count, and the labels are what is returned.
+
     Keys under which more than ``crowd`` fingerprints meet are split by the same rule on their
     free bits, so that pairs agreeing there in too few blocks are never compared.
     """
     choose = blocks - distance
     masks = [sum(m) for m in combinations(_blocks(list(range(BITS)), blocks), choose)]
     keyed = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("which", "key")
-    rows = nodes.select("fp", keyed)
+    own = [label] if label else []
+    rows = nodes.select("fp", *own, keyed)
     crowded = rows.groupBy("which", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("which", "key")
     crowded = common.staged(crowded, "crowded")
     # per key the masks of the next level: the key's bits and enough blocks of the free ones
@@ -98,13 +101,17 @@ def links(nodes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, crow
         for m in masks
     ]
     dense = rows.join(crowded, ["which", "key"], "left_semi")
-    dense = dense.select("fp", F.col("which"), F.posexplode(F.element_at(F.array(*finer), F.col("which") + 1)).alias("sub", "mask"))
-    dense = dense.select("fp", (len(masks) * (F.col("sub") + 1) + F.col("which")).alias("which"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+    dense = dense.select("fp", *own, F.col("which"), F.posexplode(F.element_at(F.array(*finer), F.col("which") + 1)).alias("sub", "mask"))
+    dense = dense.select("fp", *own, (len(masks) * (F.col("sub") + 1) + F.col("which")).alias("which"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
 
     def close(rows: DataFrame) -> DataFrame:
         a, b = rows.withColumnRenamed("fp", "a"), rows.withColumnRenamed("fp", "b")
         near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-        return a.join(b, ["which", "key"]).filter(near).select("a", "b")
+        if not label:
+            return a.join(b, ["which", "key"]).filter(near).select("a", "b")
+        a, b = a.withColumnRenamed(label, "x"), b.withColumnRenamed(label, "y")
+        met = a.join(b, ["which", "key"]).filter(near & (F.col("x") != F.col("y")))
+        return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
     sparse = rows.join(crowded, ["which", "key"], "left_anti")
     return close(sparse).unionByName(close(dense)).distinct()
@@ -189,13 +196,31 @@ def near_groups(docs: DataFrame, shingle: int = NEAR_SHINGLE, distance: int = NE
     first = nodes.groupBy("which", "fp").agg(F.min("node").alias("first"))
     first = common.staged(first, "first")
     edges = nodes.join(first, ["which", "fp"]).select(F.col("first").alias("a"), F.col("node").alias("b")).filter("a < b")
+    # then stars: under every key the smallest and the largest fingerprint, if close enough. A group of many
+    # near copies is mostly joined by these, a few links for each member and not one for each pair.
+    masks = [sum(m) for m in combinations(_blocks(list(range(BITS)), blocks), blocks - distance)]
+    key = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("mask", "key")
+    under, place = ["which", "mask", "key"], F.struct("fp", "first")
+    keyed = first.select("which", "fp", "first", key)
+    ends = keyed.groupBy(*under).agg(F.array(F.min(place), F.max(place)).alias("ends"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    stars = keyed.join(ends.select(*under, F.explode("ends").alias("end")), under)
+    stars = stars.filter((F.col("first") != F.col("end.first")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("end.fp"))) <= distance))
+    stars = stars.select(F.least("first", "end.first").alias("a"), F.greatest("first", "end.first").alias("b")).distinct()
+    joined = common.staged(components(edges.unionByName(stars)), "joined")
+    # no link may be missed: all pairs of fingerprints that meet under a key and are not yet in one component
+    part = first.join(joined.withColumnRenamed("node", "first"), "first", "left").select("which", "fp", F.coalesce("root", "first").alias("part"))
+    part = common.staged(part, "parts")
+    open_keys = part.select("which", "fp", "part", key)
+    several = open_keys.groupBy(*under).agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select(*under)
+    apart = common.staged(open_keys.join(several, under).select("which", "fp", "part").distinct(), "apart")
+    across: DataFrame | None = None
     for which in range(tables):
-        own = first.filter(F.col("which") == which).select("fp", "first")
-        close = links(own.select("fp"), distance, blocks)
-        met = close.join(own.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(own.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
-        edges = edges.unionByName(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b"))
-    roots = components(edges)
-    return rows.join(roots, "node", "left").select("doc_id", "k_id", "k_text", "node", F.coalesce("root", "node").alias("root"))
+        found = links(apart.filter(F.col("which") == which).select("fp", "part"), distance, blocks, label="part")
+        across = found if across is None else across.unionByName(found)
+    last = components(across.distinct())
+    out = rows.join(joined, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
+    out = out.join(last.withColumnRenamed("node", "part"), "part", "left")
+    return out.select("doc_id", "k_id", "k_text", "node", F.coalesce("root", "part").alias("root"))
 
 
 def keep_near(docs: DataFrame) -> DataFrame:
