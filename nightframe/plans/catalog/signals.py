@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nightframe import proxies as P
-from nightframe.functions.signal import quality_flags
 from nightframe.operators import audits
 from nightframe.operators.summaries import extraction_summary, key_feature_summary
 from nightframe.operators.filtering import StateSpace, bandpass, sections
-from nightframe.operators.spectral import with_psd, with_spectral_features, with_time_features
+from nightframe.operators.spectral import QUALITY_FIELDS, map_signals, quality, with_psd, with_spectral_features, with_time_features
 from nightframe.plans.oracle import SG, SG_LONG, with_views
 from nightframe.plans.recordings import chunk_samples, epoch_features, require_samples
 from nightframe.plans.registry import query
@@ -77,8 +76,9 @@ def _(spark, sf):
 @query("flt12_sg26_quality_columns", with_views(SG, SG_LONG, select="""SELECT epoch_id, count(*) AS sample_count, true AS is_finite_signal, stddev_pop(v) < 0.1 AS flatline_flag,
   max(abs(v)) > 500 AS amplitude_artifact_flag, (stddev_pop(v) < 0.1 OR max(abs(v)) > 500) AS quality_issue_flag FROM (SELECT epoch_id, v * 5 AS v FROM sl) GROUP BY 1"""))
 def _(spark, sf):
-    s = P.signals(spark, sf).select("epoch_id", F.transform("x", lambda v: v * 5).alias("x"))
-    return s.select("epoch_id", *[c.alias(n) for n, c in quality_flags("x", "x").items()])
+    loud = F.transform("x", lambda v: v * 5)
+    s = P.signals(spark, sf).select("epoch_id", loud.alias("raw"), loud.alias("filtered"))
+    return map_signals(s, ["epoch_id"], ["raw", "filtered"], QUALITY_FIELDS, quality)
 
 
 def one_pass(name: str, source: str) -> str:
