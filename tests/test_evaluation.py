@@ -134,6 +134,15 @@ def test_subject_counts(spark):
     assert nested.count() == 72 and {r.train_row_count for r in SP.manifest(subjects(spark, *range(9)), nested).collect()} == {35}
 
 
+def test_leave_one_out_lists_are_made_in_many_tasks(spark):
+    many = spark.range(200).select(F.col("id").alias("subject_id"))
+    folds = SP.leave_one_out(SP.subject_list(many)).withColumn("task", F.spark_partition_id())
+    rows = folds.select("fold", "validation_subject", F.size("train_subjects").alias("n"), F.array_contains("train_subjects", F.col("validation_subject")).alias("own"), "task").collect()
+    assert sorted((r.fold, r.validation_subject) for r in rows) == [(i + 1, i) for i in range(200)]
+    assert {(r.n, r.own) for r in rows} == {(199, False)}
+    assert max(sum(r.task == t for r in rows) for t in {r.task for r in rows}) < 100
+
+
 def test_agreement_finds_uncovered_rows(spark):
     df = subjects(spark, 1, 2, 3, 4)
     table = SP.nested_splits(SP.subject_list(df))
