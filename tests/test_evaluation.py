@@ -467,3 +467,49 @@ def test_search_with_forests_ends_and_saves(spark, noisy, tmp_path):
     assert models.save_and_verify(fitted, str(tmp_path / "forest"), noisy) == 0
     with pytest.raises(Exception, match="not finite"):
         models.score(fitted, noisy.withColumn("f1", F.lit(None).cast("double"))).collect()
+
+
+def test_forests_walk_distinct_bins_once(monkeypatch):
+    from nightframe.operators import forests
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (300, 2))
+    y = (x[:, 0] > 0).astype(int)
+    xb = forests.binned(x, forests.thresholds(x))
+    blocks = [(2, forests.grow(xb, y, np.ones(300), rng.poisson(1.0, (2, 300)), 5, 4, 5, 2, rng))]
+    want, walked, plain = forests.forest_shares(blocks, xb, 5), [], forests.forest_shares
+    monkeypatch.setattr(forests, "forest_shares", lambda b, rows, k: (walked.append(len(rows)), plain(b, rows, k))[1])
+    known = forests.KnownShares(blocks, 2, 5)
+    for part in (xb[:100], xb[50:], np.zeros((3, 2), np.uint8), xb[::-1]):
+        assert np.array_equal(known.of(part), plain(blocks, part, 5))
+    assert sum(walked) == len(np.unique(np.vstack([xb, np.zeros((1, 2), np.uint8)]), axis=0))
+    few = forests.KnownShares(blocks, 2, 5, most=10)  # starts anew, same shares
+    assert all(np.array_equal(few.of(xb[i : i + 30]), want[i : i + 30]) for i in range(0, 300, 30))
+
+
+def test_folds_with_the_same_training_subjects_share_forests(spark, noisy, monkeypatch):
+    from nightframe.operators import forests, searching
+
+    folds = [r.asDict() for r in SP.nested_splits(SP.subject_list(noisy)).orderBy("split_id").collect()]
+    specs = [{"model_name": "random_forest", "params": {"max_depth": 4, "min_samples_leaf": 4, "max_features": "sqrt"}}]
+    rows = searching.matrix_rows(noisy, FEATS, models.LABEL)
+    sample = forests.bounded_sample(rows, 200)
+    facts = searching.fold_facts(noisy, FEATS, models.LABEL, folds, 5)
+    learned, held, grown = [(f.train, f.class_weights) for f in facts], [f["validation_subject"] for f in folds], []
+    plain = forests.grow_forests
+    monkeypatch.setattr(forests, "grow_forests", lambda *a: (grown.append(1), plain(*a))[1])
+    got = {}
+    for cells in forests.forest_cells(rows, sample, learned, held, specs, [7], 5, 25, 1):
+        got.update({(r.fold, r.y_true, r.y_pred): r for r in cells.groupBy("fold", "candidate", "y_true", "y_pred").agg(F.sum("n").alias("n"), F.sum("nll").alias("nll")).collect()})
+    assert len(folds) == 12 and len(grown) == 6 and {r.candidate for r in got.values()} == {7}
+    x = np.array(sample["x"].tolist(), float)
+    cuts = forests.thresholds(x)
+    every = rows.collect()
+    for i in (0, 5, 11):  # row by row, forest by forest
+        forest = plain(spark, sample, forests.binned(x, cuts), [(specs[0]["params"], *learned[i])], 5, 25, 1)[0]
+        own = [r for r in every if r.subject == held[i]]
+        want = np.zeros((5, 5, 6))
+        searching.cell_sums(forests.forest_shares(forest, forests.binned(np.array([r.x for r in own]), cuts), 5), np.array([r.label for r in own]), 5, want)
+        mine = {k[1:]: (r.n, r.nll) for k, r in got.items() if k[0] == i}
+        assert set(mine) == {tuple(at) for at in np.argwhere(want[..., 0] > 0)}
+        assert all(v[0] == want[k][0] and v[1] == pytest.approx(want[k][1]) for k, v in mine.items())
