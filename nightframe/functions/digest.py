@@ -11,9 +11,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from nightframe.functions.numeric import as_col, canonical_zero, round_significant
+from nightframe.functions.numeric import as_col, canonical_zero, round_significant, rounded_values
 
 
 def canonical_number(c: Column | str, digits: int = 12) -> Column:
@@ -30,6 +30,23 @@ def row_sha256(columns: Sequence[Column | str]) -> Column:
     return F.sha2(F.concat(*[field(c) for c in columns]), 256)
 
 
+def row_digests(df: DataFrame, digits: int = 12, keep: Sequence[str] = ()) -> DataFrame:
+    """``keep`` and ``_sha``: ``row_sha256`` over all other columns in name order, doubles at so many significant digits.
+
+    Rounding, text and digest are steps over arrays: each value is rounded and put into text once, and the generated code
+    stays small however many columns there are (methods beyond 8,000 bytes of code are not compiled by the JVM).
+    """
+    types = dict(df.dtypes)
+    names = sorted(c for c in df.columns if c not in keep)
+    doubles, others = [c for c in names if types[c] == "double"], [c for c in names if types[c] != "double"]
+    texts = [F.transform(rounded_values(F.array(*[F.col(f"`{c}`") for c in doubles]), digits), lambda v: v.cast("string"))] if doubles else []
+    texts += [F.array(*[F.col(f"`{c}`").cast("string") for c in others])] if others else []
+    place = [([*doubles, *others]).index(c) for c in names]
+    fields = F.transform(F.concat(*texts), lambda t: F.coalesce(F.concat(F.char_length(t).cast("string"), F.lit(":"), t), F.lit("null")))
+    listed = df.select(*keep, fields.alias("_fields"))
+    return listed.select(*keep, F.sha2(F.concat(*[F.col("_fields")[i] for i in place]), 256).alias("_sha"))
+
+
 def _slice(sha: Column, start: int) -> Column:
     return F.conv(F.substring(sha, start, 15), 16, 10).cast("decimal(38,0)")
 

@@ -21,7 +21,7 @@ from typing import Any
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
-from nightframe.functions.digest import canonical_number, row_sha256, set_sums, sums_sha256
+from nightframe.functions.digest import row_digests, set_sums, sums_sha256
 from nightframe.schemas import IDENTIFIERS
 
 # The metadata fields that identify a run.
@@ -43,14 +43,9 @@ FILES = "array<struct<name:string,rows:bigint,sum_a:decimal(38,0),sum_b:decimal(
 HEADER = f"attempt string, created_at_utc string, input_row_count bigint, prediction_sha256 string, feature_count int, run_metadata_json string, files {FILES}"
 
 
-def _row_digest(df: DataFrame, digits: int = 12):
-    types = dict(df.dtypes)
-    return row_sha256([canonical_number(c, digits) if types[c] == "double" else F.col(c) for c in sorted(df.columns)])
-
-
 def prediction_sums(df: DataFrame, digits: int = 12) -> DataFrame:
     """One row: rows, sum_a, sum_b over all columns in name order, doubles at 12 significant digits."""
-    return df.select(_row_digest(df, digits).alias("_sha")).agg(*set_sums("_sha"))
+    return row_digests(df, digits).agg(*set_sums("_sha"))
 
 
 def prediction_digest(df: DataFrame, digits: int = 12) -> DataFrame:
@@ -79,8 +74,7 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame | None:
 
 def _file_sums(spark: SparkSession, path: str) -> list[Row]:
     """name, rows, sum_a, sum_b of every file of an attempt, by name; as many as tasks wrote."""
-    rows = spark.read.parquet(path)
-    digests = rows.select(_row_digest(rows).alias("_sha"), F.col("_metadata.file_name").alias("name"))
+    digests = row_digests(spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_name")), keep=["_name"]).withColumnRenamed("_name", "name")
     return sorted(digests.groupBy("name").agg(*set_sums("_sha")).collect(), key=lambda r: r["name"])
 
 

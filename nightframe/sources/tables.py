@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from nightframe.functions.digest import row_sha256, set_sums
-from nightframe.functions.numeric import canonical_zero, nan_to_null, round_significant
+from nightframe.functions.numeric import nan_to_null, with_rounded
 from nightframe.functions.text import sorted_json
 from nightframe.session import ensure_checkpoint_dir
 
@@ -36,7 +36,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 def canonical_frame(df: DataFrame, digits: int = 12) -> DataFrame:
     """Doubles at a fixed number of significant digits, without a minus zero."""
     doubles = [n for n, t in df.dtypes if t == "double"]
-    return df.withColumns({c: canonical_zero(round_significant(c, digits)) for c in doubles}) if doubles else df
+    return with_rounded(df, doubles, digits)
 
 
 def replace_load(facts: DataFrame, fact_path: str, subject_path: str, source: str) -> None:

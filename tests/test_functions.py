@@ -120,3 +120,15 @@ def test_json_keeps_nulls_and_refuses_odd_numbers(spark):
     for bad in ("nan", "inf"):
         with pytest.raises(Exception, match="no form for NaN"):
             spark.range(1).select(X.sorted_json(a=F.lit(float(bad))).alias("j")).collect()
+
+
+def test_row_digests_round_step_by_step_as_in_one_expression(spark):
+    from nightframe.functions.digest import row_digests
+
+    values = [0.0, -0.0, 1.0, -1 / 3, 1e-7, 123456.7891234567, 9.9999999999995, 1e300, -1e-300, 5e-324, float("inf"), float("-inf"), float("nan"), None]
+    df = spark.createDataFrame([(i, v, None if v is None else -v, str(i)) for i, v in enumerate(values)], "n int, `v.w` double, z double, s string").repartition(2)
+    one = df.select("n", row_sha256(["n", "s", canonical_number(F.col("`v.w`")), canonical_number("z")]).alias("h"))
+    split = row_digests(df.withColumn("k", F.col("n")), keep=["k"])
+    assert {r.n: r.h for r in one.collect()} == {r.k: r["_sha"] for r in split.collect()}
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.upper().count("LOG10") == 1  # not once for each use
