@@ -54,8 +54,14 @@ def replace_load(facts: DataFrame, fact_path: str, subject_path: str, source: st
 DIGESTS = "_digests"
 
 
-def _write_parted(df: DataFrame, path: str, key: str) -> None:
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+def _write_parted(df: DataFrame, path: str, key: str, fresh: bool) -> None:
+    """Replaces the parts in ``df``.  Where nothing lies yet, tasks put their files in place themselves, as the driver
+    would otherwise rename part by part; a write that broke off shows in the digests."""
+    writer = df.write.partitionBy(key)
+    if fresh:
+        writer.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(path)
+    else:
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -69,6 +75,11 @@ def part_digests(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, row_sha256(sorted(df.columns)).alias("_sha")).groupBy(key).agg(*set_sums("_sha"))
 
 
+def _noted(spark: SparkSession, path: str) -> DataFrame:
+    """All digests ever noted, a later one with a higher generation."""
+    return spark.read.parquet(f"{path}/{DIGESTS}")
+
+
 def valid_parts(spark: SparkSession, path: str, schema: T.StructType, key: str) -> DataFrame | None:
     """The keys of the parts whose stored rows are those that were to be written; None where nothing was."""
     if not path_exists(spark, f"{path}/{DIGESTS}"):
@@ -76,20 +87,24 @@ def valid_parts(spark: SparkSession, path: str, schema: T.StructType, key: str)
     # with the schema given, the folder names are read as what they were, "007" as text; rows of a file that
     # cannot be read are missing from the digest, so its part is no longer valid
     stored = part_digests(spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path), key)
-    noted = spark.read.schema(stored.schema).parquet(f"{path}/{DIGESTS}")
+    sums = ["rows", "sum_a", "sum_b"]
+    noted = _noted(spark, path).groupBy(key).agg(F.max_by(F.struct(*sums), "generation").alias("_last")).select(key, "_last.*")
     # the keys alone are checkpointed: what follows overwrites the folders that they were read from
     ensure_checkpoint_dir(spark)
-    return stored.join(noted, [key, "rows", "sum_a", "sum_b"], "left_semi").select(key).checkpoint()
+    return stored.join(noted, [key, *sums], "left_semi").select(key).checkpoint()
+
+
+#: Rows beyond which a part gets more than one file.
+FILE_ROWS = 500_000
 
 
 def write_parts(df: DataFrame, path: str, key: str = "recording_id", overwrite: bool = False,
-                files_per_part: int = 4) -> int:
+                files_per_part: int = 4, file_rows: int = FILE_ROWS) -> int:
     """Write per-recording parts; parts that are there and whole are kept unless told otherwise.
 
-    Rows are dealt out by (recording, slice of the row hash): a recording gets a few files
-    instead of one per task, and a large one is not written by a single task.  Beside the parts
-    lies a digest of each.  A later call reads the stored rows once, compares, and writes
-    again what is missing or damaged.
+    A recording is one file; one of more than ``file_rows`` rows is dealt out by its row hash to ``files_per_part`` files,
+    so that it is not written by a single task.  Beside the parts lies a table of their digests, to which each call
+    adds a generation.  A later call reads the stored rows once, compares, and writes again what is missing or damaged.
 
     Returns how many recordings were written.
     """
@@ -98,10 +113,17 @@ def write_parts(df: DataFrame, path: str, key: str = "recording_id", overwrite:
     todo = df if done is None else df.join(done, key, "left_anti")
     count = todo.select(key).distinct().count()
     if count:
-        dealt = todo.repartition(F.col(key), F.pmod(F.xxhash64(*todo.columns), F.lit(files_per_part)))
+        noted, fresh = path_exists(spark, f"{path}/{DIGESTS}"), not path_exists(spark, path)
+        generation = _noted(spark, path).agg(F.max("generation")).first()[0] + 1 if noted else 0
         # noted before the rows: a part whose rows did not come through whole will not match
-        _write_parted(part_digests(todo, key), f"{path}/{DIGESTS}", key)
-        _write_parted(dealt, path, key)
+        digests = part_digests(todo, key).withColumn("generation", F.lit(generation).cast("bigint"))
+        digests.write.mode("append").parquet(f"{path}/{DIGESTS}")
+        # at most one large part for each file_rows rows of the table
+        large = todo.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > file_rows).select(key, F.lit(files_per_part).alias("_files"))
+        hashed = todo.withColumn("_hash", F.xxhash64(*todo.columns)).join(F.broadcast(large), key, "left")
+        slot = F.pmod("_hash", F.coalesce("_files", F.lit(1)))
+        tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        _write_parted(hashed.repartition(tasks, F.col(key), slot).select(*todo.columns), path, key, fresh)
     return count
 
 

@@ -272,6 +272,21 @@ def test_damaged_parts_are_written_again(spark, tmp_path):
     assert sorted((r.recording_id, r.v, r.w) for r in back.collect()) == sorted(rows)
 
 
+def test_parts_take_one_file_unless_they_are_large(spark, tmp_path):
+    rows = [(k, i) for k, n in (("A", 10), ("B", 200), ("C", 10)) for i in range(n)]
+    df = spark.createDataFrame(rows, "recording_id string, v int").repartition(4)
+    path = str(tmp_path / "parts")
+    assert tables.write_parts(df, path, file_rows=100) == 3 and tables.write_parts(df, path, file_rows=100) == 0
+    files_of = lambda k: len(list((tmp_path / "parts" / f"recording_id={k}").glob("*.parquet")))
+    assert (files_of("A"), files_of("C")) == (1, 1) and files_of("B") > 1
+    assert not list((tmp_path / "parts" / tables.DIGESTS).glob("recording_id=*"))  # one table, not a folder for each part
+    once = df.filter("recording_id <> 'B' or v > 0")
+    assert tables.write_parts(once, path, overwrite=True, file_rows=100) == 3 and tables.write_parts(once, path) == 0
+    df.filter("recording_id = 'B'").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("recording_id").parquet(path)
+    assert tables.write_parts(once, path) == 1  # what an earlier generation noted is no longer valid
+    assert sorted(map(tuple, spark.read.parquet(path).select("recording_id", "v").collect())) == sorted(r for r in rows if r != ("B", 0))
+
+
 def test_links_in_any_spelling(spark):
     html = """<A HREF='x/one.edf'> <a class="b" href=two.edf?v=1> <a
       href = "d/three%20b.edf#top"> <a href="bad%zz.edf"> <area href="no.edf"> <a data-href="no2.edf" title='>' href='four.edf'>"""
