@@ -177,3 +177,16 @@ def test_average_ranks_and_spearman_match_pandas(spark):
     corr = pdf.rank().corr()
     for r in pairs.itertuples():
         assert r.spearman_correlation == pytest.approx(corr.loc[r.feature_left, r.feature_right], abs=1e-12)
+
+
+def test_rank_tasks_follow_the_rows(spark, monkeypatch):
+    pdf = hot_table(3000)[["value", "other"]]
+    df = spark.createDataFrame(pdf.reset_index(names="row"))
+    assert ranks.row_parts(spark, 10) == 4 and ranks.row_parts(spark, 100 * ranks.TASK_ROWS) == 100
+    monkeypatch.setattr(ranks, "TASK_ROWS", 300)
+    long = df.select(F.lit("value").alias("feature"), "value")
+    got = ranks.value_ranks(long, ["feature"])
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+    assert np.allclose(got.toPandas().set_index("value")["average_rank"].loc[pdf["value"]].to_numpy(), pdf["value"].rank().to_numpy())
+    pair = ranks.spearman_pairs(df, ["value", "other"], ["row"]).first()
+    assert pair.spearman_correlation == pytest.approx(pdf.rank().corr().iloc[0, 1], abs=1e-12)
