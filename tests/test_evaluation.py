@@ -432,6 +432,37 @@ def test_descent_finds_the_minimum_of_a_penalised_quadratic():
     assert (z == 0).any() and np.abs(run.x - z).max() < 1e-4
 
 
+def test_descent_with_kinks_comes_to_the_minimum_in_few_scans():
+    """An elastic net over classes, where adding the same to all classes changes the penalty only."""
+    from nightframe.operators.searching import Descent, _softmax
+
+    rng = np.random.default_rng(1)
+    n, k, width, l1, l2 = 800, 5, 3, 5e-4, 5e-4
+    y = rng.integers(0, k, n)
+    x = np.column_stack([y + rng.normal(0, 1.5, n), (y % 2) * 30 + rng.normal(100, 20, n), rng.normal(0, 1, n)])
+    z = np.column_stack([(x - x.mean(axis=0)) / x.std(axis=0), np.ones(n)])
+    free = np.tile(np.append(np.ones(width), 0.0), k)
+
+    def smooth(w):
+        p = _softmax(z @ w.reshape(k, -1).T)
+        loss = -np.log(p[np.arange(n), y]).mean()
+        p[np.arange(n), y] -= 1.0
+        return loss + l2 / 2 * (w * free) @ (w * free), (p.T @ z).ravel() / n + l2 * w * free
+
+    run, scans = Descent(len(free), l1 * free, 3000), 0
+    while not run.done:
+        run.observe(*smooth(run.trial))
+        scans += 1
+    w = ahead = np.zeros(len(free))
+    t, most = 1.0, np.linalg.eigvalsh(z.T @ z / n)[-1] / 2 + l2
+    for _ in range(8000):  # accelerated proximal gradient
+        moved = ahead - smooth(ahead)[1] / most
+        moved = np.sign(moved) * np.maximum(np.abs(moved) - l1 * free / most, 0)
+        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        ahead, w, t = moved + (t - 1) / after * (moved - w), moved, after
+    assert run.value - (smooth(w)[0] + l1 * np.abs(w * free).sum()) < 1e-7 and scans < 80
+
+
 def test_forest_trees_respect_their_bounds_and_sampling_is_bounded(spark, noisy):
     from nightframe.operators import forests, searching
 
