@@ -479,6 +479,26 @@ def test_quality(docs, empty):
     assert quality.judged(empty).count() == 0 == quality.ablations(quality.ledger(empty), "v2").count()
 
 
+def test_quality_capitals_policies_and_ablations(spark, docs, empty):
+    """What ``test_quality`` does not come to, as it takes no ``spark``."""
+    stored = quality.ledger(docs).cache()
+    capitals = spark.createDataFrame([(1, "LOUD WORDS " * 40), (2, "quiet words " * 40), (3, "A b " * 60)], "doc_id long, text string")
+    bit = quality.bits(("capitals",))
+    assert [bool(r["failed"] & bit) for r in quality.ledger(capitals).orderBy("doc_id").collect()] == [True, False, False]
+    assert quality.POLICIES["v1"][-1] == "duplicate_lines_third" and "shouting" not in quality.POLICIES[quality.CURRENT]
+    dotted = docs.withColumn("a.b", F.lit(1))
+    assert quality.accepted(dotted).columns == dotted.columns
+    fails = [r["failed"] for r in stored.collect()]
+    for policy in quality.POLICIES:
+        for r in quality.ablations(stored, policy).collect():
+            bit, every = quality.bits((r["rule"],)), quality.bits(quality.POLICIES[policy])
+            own = [f & every for f in fails]
+            assert r["rejected"] == sum(f & bit != 0 for f in own) and r["rejected_alone"] == sum(f == bit for f in own)
+            assert r["kept_without"] == sum(f & ~bit == 0 for f in own)
+    assert quality.judged(empty).count() == 0 == quality.ablations(quality.ledger(empty), "v2").count()
+    stored.unpersist()
+
+
 # 10 -- shards
 
 
