@@ -184,6 +184,33 @@ def test_repeats_in_patched_texts(spark):
         assert rows(repeats.deduplicated(df, 96, anchor, crowd)) == want
 
 
+@pytest.mark.parametrize("crowd", [10**6, 3])
+def test_repeats_are_judged_by_bytes_in_groups_of_any_size(spark, crowd):
+    """Hashes of three bits put nearly everything into a few groups; one passage has more places in a run than travel with it."""
+    import random
+
+    rng = random.Random(7)
+    common = prose(200, 60)
+    given = [prose(300 + i, 10 + rng.randrange(30)) + common + prose(400 + i, 30) for i in range(60)] + [common[20:]] * 40 + [prose(500 + i, 60) for i in range(20)]
+    given += [prose(600, 80), prose(601, 80) + prose(600, 80)[100:300], None, "x"]
+    df = spark.createDataFrame([(i if i % 7 else None, t) for i, t in enumerate(given)], "doc_id long, text string").repartition(3)
+    own = texts(df)
+    want = plain_repeats([(t or "").encode() for _, t in own], 100)
+    assert sum(w[1] > 0 for w in want) > 100 and sum(w[1] == 0 for w in want) > 20
+    assert rows(repeats.deduplicated(df, 100, 40, crowd, bits=3)) == sorted([(d, *w) for (d, _), w in zip(own, want, strict=True)], key=str)
+
+
+def test_a_hot_anchor_is_joined_where_its_rows_lie(spark):
+    """Half of all anchors have one hash; rows of one key and text count, but are listed once."""
+    given = spark.range(4000, numPartitions=8).selectExpr("IF(id % 2 = 0, -1, id % 999) AS hash", "id % 5 AS around", "id % 400 AS k_id", "0L AS k_text", "id % 3 AS place")
+    marked = repeats._marked(given, 10**6, 10**6)
+    hot = marked.filter("hash = -1").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in hot) == 2000 and max(r["count"] for r in hot) <= 250
+    assert marked.count() == 4000 and {(r["crowded"], r["n"]) for r in repeats._marked(given, 10**6, 1999).groupBy("crowded").agg(F.count("*").alias("n")).collect()} == {(True, 2000), (False, 2000)}
+    for r in repeats._by_text(marked).collect():
+        assert r["crowd"] == [] and len({tuple(x) for x in r["places"]}) == len(r["places"])
+
+
 def test_repeats_empty(empty):
     assert repeats.deduplicated(empty).count() == 0
 
