@@ -13,7 +13,9 @@ folder and the search ends when no state is left. Nodes are named by a 64-bit ha
 arrives is compared as text before it counts; a collision costs work, not correctness.
 
 A word's form is its neighbour of largest count if that is at least ``ratio`` times its own; roots follow
-forms by pointer jumping. Counts are combined before the shuffle, so a frequent word is no hot key.
+forms by pointer jumping. Counts are combined before the shuffle, so a frequent word is no hot key. Every
+join is between two tables that grow with the words, and Spark takes them for smaller than they are (ways of
+a word as one row, rows of a compressed file at the file's size), so none is left to a broadcast.
 
 Null texts have no words, a null id is written as nothing in the misspelling rule, and repeated rows count
 each. Texts of any length are cut inside their own row; levels are as many as the longest stretch behind an
@@ -49,6 +51,11 @@ def counts(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count: int =
     return rows.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_count)
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """The table for a join that shuffles and merges: it grows with the words, whatever size Spark takes it for."""
+    return df.hint("merge")
+
+
 def _side(words: DataFrame, back: bool) -> DataFrame:
     """wid, w (reversed on the way back), size, start: where this side's edits may begin."""
     w = F.reverse("word") if back else F.col("word")
@@ -86,7 +93,7 @@ def first_edits(steps: DataFrame, edges: DataFrame) -> DataFrame:
     """States with one edit, taken where the word leaves its own way."""
     own = steps.filter(F.col("at") >= F.col("start"))
     other = edges.withColumnRenamed("ch", "by").withColumnRenamed("child", "to")
-    met = own.drop("child").join(other, "node").filter(F.col("by") != F.col("ch"))
+    met = own.drop("child").join(growing(other), "node").filter(F.col("by") != F.col("ch"))
     more, ends = F.col("by") != "", F.col("ch") == ""
 
     def state(holds: Column, at: Column, want: Column) -> Column:
@@ -106,9 +113,9 @@ def first_edits(steps: DataFrame, edges: DataFrame) -> DataFrame:
 
 def advanced(states: DataFrame, side: DataFrame, edges: DataFrame) -> DataFrame:
     """The states one level on: without further edits the next character decides."""
-    placed = states.select("wid", "at", "node", "want").join(side.select("wid", "w"), "wid")
+    placed = states.select("wid", "at", "node", "want").join(growing(side.select("wid", "w")), "wid")
     placed = placed.select("wid", "at", "node", "want", F.substring("w", F.col("at") + 1, F.lit(1)).alias("ch"))
-    met = placed.join(edges, ["node", "ch"]).filter((F.col("want") >= F.col("low")) & (F.col("want") <= F.col("high")))
+    met = placed.join(growing(edges), ["node", "ch"]).filter((F.col("want") >= F.col("low")) & (F.col("want") <= F.col("high")))
     return met.select("wid", (F.col("at") + 1).alias("at"), F.col("child").alias("node"), "want", "n", "only")
 
 
@@ -134,7 +141,8 @@ def near_pairs(words: DataFrame, least_length: int = LEAST_LENGTH) -> DataFrame:
         for part in candidates(words, back, least_length // 2):
             pairs = part if pairs is None else pairs.unionByName(part)
     ids = words.select(F.xxhash64("word").alias("wid"), "word", "n")
-    met = pairs.distinct().join(ids, "wid").join(ids.select(F.col("wid").alias("only"), F.col("word").alias("near"), F.col("n").alias("near_n")), "only")
+    others = ids.select(F.col("wid").alias("only"), F.col("word").alias("near"), F.col("n").alias("near_n"))
+    met = pairs.distinct().join(growing(ids), "wid").join(growing(others), "only")
     return met.filter(F.levenshtein("word", "near", 1) == 1).select("word", "n", "near", "near_n").distinct()
 
 
@@ -143,7 +151,7 @@ def roots(forms: DataFrame) -> DataFrame:
     links = common.staged(forms.select("word", F.col("form").alias("root"), F.lit(True).alias("moved")), "forms")
     while not links.filter("moved").isEmpty():
         on = links.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        links = links.join(on, "root", "left")
+        links = links.join(growing(on), "root", "left")
         links = common.staged(links.select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "forms")
     return links.select("word", "root")
 
@@ -154,11 +162,11 @@ def variants(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count: int
     near = near_pairs(words, least_length)
     best = near.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("form"))).alias("best"))
     best = common.staged(best.select("word", "n_near", F.col("best.form").alias("form"), (-F.col("best.less")).alias("form_n")), "near")
-    judged = words.join(best, "word", "left").withColumn("strong", F.coalesce(F.col("form_n") >= ratio * F.col("n"), F.lit(False)))
+    judged = words.join(growing(best), "word", "left").withColumn("strong", F.coalesce(F.col("form_n") >= ratio * F.col("n"), F.lit(False)))
     judged = judged.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), *[F.when(F.col("strong"), F.col(c)).alias(c) for c in ("form", "form_n")])
     judged = common.staged(judged, "judged")
     ends = roots(judged.filter(F.col("form").isNotNull()))
-    return judged.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return judged.join(growing(ends), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 ORACLE = r"""

@@ -72,3 +72,19 @@ def test_awkward_rows_and_empty_table(spark):
     got = of(docs, 97)
     assert got == plain_variants(rows, 97) and got[long.lower()][3] == 1
     assert spelling.variants(docs.limit(0), every=97).count() == 0
+
+
+def test_no_table_of_words_is_broadcast(spark, monkeypatch):
+    """Tables as small as these would all be broadcast; on large ones Spark's estimate is too low by far."""
+    plans, plain = [], spelling.common.staged
+
+    def staged(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, label)
+
+    monkeypatch.setattr(spelling.common, "staged", staged)
+    docs = spark.createDataFrame([(i, "colour " * 6 + "color colours colors colouring coloring colourings harbour harbours") for i in range(5)], "doc_id long, text string")
+    out = spelling.variants(docs)
+    assert out.count() == 9
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 10 and not any("Broadcast" in p for p in plans)
