@@ -544,3 +544,81 @@ def test_folds_with_the_same_training_subjects_share_forests(spark, noisy, monke
         mine = {k[1:]: (r.n, r.nll) for k, r in got.items() if k[0] == i}
         assert set(mine) == {tuple(at) for at in np.argwhere(want[..., 0] > 0)}
         assert all(v[0] == want[k][0] and v[1] == pytest.approx(want[k][1]) for k, v in mine.items())
+
+
+@pytest.fixture(scope="module")
+def rare(spark):
+    """Three subjects whose classes follow f1, and one row each of a class and value of its own among 20,001."""
+    rows = [(s, f"R{s}", 1, i, i % 4, float(i % 4), float(i % 7)) for s in range(3) for i in range(20_000)]
+    rows += [(s, f"R{s}", 1, 20_000, 4, 9.0, 3.0) for s in range(3)]
+    df = spark.createDataFrame(rows, "subject_id int, recording_id string, night int, epoch_id int, sleep_stage_encoded int, f1 double, f2 double").repartition(3).cache()
+    yield df
+    df.unpersist()
+
+
+FOREST = {"max_depth": 12, "min_samples_leaf": 1, "max_features": 1.0}
+
+
+@pytest.mark.parametrize("most", [300_000, 3])
+def test_forests_learn_from_every_row(spark, rare, monkeypatch, most):
+    from nightframe.operators import forests
+
+    monkeypatch.setattr(forests, "CELLS", most)  # 3: more distinct bins than a task may hold
+    fitted = models.fit_candidate(rare, ["f1", "f2"], "random_forest", FOREST, trees=20)
+    scored = models.score(fitted, rare).groupBy("f1", "y_true", "y_pred").count().collect()
+    assert {(r.f1, r.y_true, r.y_pred, r["count"]) for r in scored} == {*[(float(c), c, c, 15_000) for c in range(4)], (9.0, 4, 4, 3)}
+
+
+def test_stored_forest_scores_more_bins_than_a_task_may_hold(spark, noisy, monkeypatch):
+    from nightframe.operators import forests
+
+    fitted = models.fit_candidate(noisy, FEATS, "random_forest", {"max_depth": 6, "min_samples_leaf": 4, "max_features": 0.5}, trees=30)
+    want = {(r.subject_id, r.epoch_id): (r.p, r.y_pred) for r in models.score(fitted, noisy).collect()}
+    monkeypatch.setattr(forests, "CELLS", 50)
+    monkeypatch.setattr(forests, "CHUNK", 20)
+    got = {(r.subject_id, r.epoch_id): (r.p, r.y_pred) for r in models.score(fitted, noisy).collect()}
+    assert got == want and len(got) == noisy.count()
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_thresholds_are_the_quantiles_of_all_rows(spark, seed):
+    from nightframe.operators import forests, searching
+
+    rng = np.random.default_rng(seed)
+    x = np.column_stack([rng.normal(0, 1, 3001 + seed), rng.integers(0, 5, 3001 + seed), np.full(3001 + seed, 7.0)])
+    rows = spark.createDataFrame([(0, 0, r) for r in x.tolist()], "subject bigint, label int, x array<double>").repartition(5)
+    got = forests.exact_thresholds(searching.distinct_rows(rows), 3)
+    assert all(np.allclose(g, w, rtol=1e-14, atol=0) for g, w in zip(got, forests.thresholds(x), strict=True))
+
+
+def test_trees_over_counted_bins_take_the_best_cuts():
+    from nightframe.operators import forests
+
+    rng = np.random.default_rng(3)
+    xb = np.unique(rng.integers(0, 6, (300, 3)).astype(np.uint8), axis=0)
+    draws = rng.poisson(2.0, (2, len(xb), 5))
+    weights = np.array([1.0, 2.0, 0.5, 1.0, 3.0])
+    feature, cut, left, share = tree = forests.grow_cells(xb, draws, weights, 4, 10, 3, rng)
+    drop = lambda m: (m**2).sum() / max(m.sum(), 1e-300)
+
+    def walk(node, rows, times, depth):
+        mass = times[rows].sum(axis=0) * weights
+        assert depth <= 4 and times[rows].sum() >= 10 and np.allclose(share[node], mass / mass.sum(), atol=1e-6)
+        gains = {}
+        for f in range(3):
+            for c in range(5):
+                low = times[rows[xb[rows, f] <= c]].sum(axis=0)
+                if low.sum() >= 10 and times[rows].sum() - low.sum() >= 10:
+                    gains[f, c] = drop(low * weights) + drop(mass - low * weights) - drop(mass)
+        if feature[node] < 0:
+            assert depth == 4 or max(gains.values(), default=0) < 1e-6 or times[rows].sum() < 20
+            return
+        assert gains[feature[node], cut[node]] == pytest.approx(max(gains.values()))
+        right = xb[rows, feature[node]] > cut[node]
+        walk(left[node], rows[~right], times, depth + 1)
+        walk(left[node] + 1, rows[right], times, depth + 1)
+
+    walk(0, np.arange(len(xb)), draws[0], 0)
+    walk(1, np.arange(len(xb)), draws[1], 0)
+    top, deep = forests.shares_by_depth(tree, xb, 0, [2, 30])
+    assert np.array_equal(deep, forests.tree_shares(tree, xb, 0)) and not np.array_equal(top, deep)
