@@ -622,3 +622,34 @@ def test_trees_over_counted_bins_take_the_best_cuts():
     walk(1, np.arange(len(xb)), draws[1], 0)
     top, deep = forests.shares_by_depth(tree, xb, 0, [2, 30])
     assert np.array_equal(deep, forests.tree_shares(tree, xb, 0)) and not np.array_equal(top, deep)
+
+
+@pytest.mark.parametrize("most", [300_000, 3])
+def test_searches_learn_from_every_row(spark, rare, monkeypatch, most):
+    """A validation row of a class that each training side holds two rows of."""
+    from nightframe.operators import forests
+
+    monkeypatch.setattr(forests, "CELLS", most)
+    folds = [{"outer_fold": 0, "inner_fold": s, "train_subjects": [t for t in range(3) if t != s], "validation_subject": s} for s in range(3 if most > 3 else 1)]
+    specs = [{"model_name": "random_forest", "candidate_id": f"d{d}", "params": {**FOREST, "max_depth": d}} for d in (None, 8, 1)]
+    got = {(r.inner_fold, r.candidate_id): r for r in EV.fold_metrics(rare, folds, specs, ["f1", "f2"], trees=10).collect()}
+    assert len(got) == 3 * len(folds) and {r.row_count for r in got.values()} == {20_001}
+    assert all(r.accuracy == 1.0 and r.balanced_accuracy == 1.0 for (_, c), r in got.items() if c != "d1")
+    assert all(got[i, "d1"].multiclass_log_loss > 10 * got[i, "dNone"].multiclass_log_loss for i, _ in got)
+
+
+def test_searched_forests_equal_fitted_ones(spark, noisy):
+    """The trees of a search, less deep ones from deeper ones, are those of a fit on the same rows; equal rows scan as one."""
+    twice = noisy.unionByName(noisy.filter("epoch_id % 3 = 0"))
+    fold = {"outer_fold": 1, "inner_fold": 1, "train_subjects": [0, 2, 3], "validation_subject": 1}
+    specs = [{"model_name": "random_forest", "candidate_id": f"d{d}", "params": {"max_depth": d, "min_samples_leaf": 4, "max_features": 1.0}} for d in (None, 3)]
+    specs += EV.candidate_specs(["logistic_regression"], 1)
+    got = {r.candidate_id: r for r in EV.fold_metrics(twice, [fold], specs, FEATS, trees=40).collect()}
+    train, held = EV.pick(twice, fold["train_subjects"]), EV.pick(twice, [1])
+    for spec in specs:
+        one = M.classification_metrics(models.score(models.fit_candidate(train, FEATS, spec["model_name"], spec["params"], trees=40), held)).first()
+        many = got[spec["candidate_id"]]
+        assert many.row_count == one.row_count == held.count()
+        # thresholds of a search come from all its subjects, those of a fit from the training ones
+        assert many.multiclass_log_loss == pytest.approx(one.multiclass_log_loss, rel=0.05) and many.accuracy == pytest.approx(one.accuracy, abs=0.05)
+    assert got["d3"].multiclass_log_loss != got["dNone"].multiclass_log_loss
