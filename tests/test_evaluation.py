@@ -653,3 +653,11 @@ def test_searched_forests_equal_fitted_ones(spark, noisy):
         # thresholds of a search come from all its subjects, those of a fit from the training ones
         assert many.multiclass_log_loss == pytest.approx(one.multiclass_log_loss, rel=0.05) and many.accuracy == pytest.approx(one.accuracy, abs=0.05)
     assert got["d3"].multiclass_log_loss != got["dNone"].multiclass_log_loss
+
+
+def test_final_refit_selects_and_fits_forests_on_every_row(spark, rare, tmp_path):
+    fitted, summary = EV.final_refit(rare, ["f1", "f2"], ["random_forest"], 1, trees=5)
+    assert summary.filter("is_selected").first().mean_accuracy == 1.0
+    last = rare.filter("f1 = 9")
+    assert [r.y_pred for r in models.score(fitted, last).collect()] == [4, 4, 4]
+    assert models.save_and_verify(fitted, str(tmp_path / "refit"), last) == 0
