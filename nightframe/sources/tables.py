@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from nightframe.functions.digest import row_sha256, set_sums
 from nightframe.functions.numeric import nan_to_null, with_rounded
 from nightframe.functions.text import sorted_json
-from nightframe.session import ensure_checkpoint_dir
+from nightframe.session import ensure_checkpoint_dir, scratch_path
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, required: Sequence[str] | None = None) -> DataFrame:
@@ -98,17 +98,40 @@ def valid_parts(spark: SparkSession, path: str, schema: T.StructType, key: str)
 FILE_ROWS = 500_000
 
 
+#: Column of the folder that a recording lies in, where recordings share folders.
+FOLDER = "part_folder"
+
+
+def in_folders(df: DataFrame, key: str, folders: int) -> DataFrame:
+    """Rows with the folder of their recording."""
+    return df.withColumn(FOLDER, F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(folders)).cast("int"))
+
+
+def replace_folders(rows: DataFrame, path: str) -> None:
+    """Replaces the folders that ``rows`` (with ``FOLDER``) lie in.  They may be made of what the folders hold, so they are written aside first."""
+    spark, aside = rows.sparkSession, scratch_path(rows.sparkSession, "folders")
+    rows.write.parquet(aside)
+    _write_parted(spark.read.schema(rows.schema).parquet(aside).hint("rebalance", FOLDER), path, FOLDER, fresh=False)
+
+
 def write_parts(df: DataFrame, path: str, key: str = "recording_id", overwrite: bool = False,
-                files_per_part: int = 4, file_rows: int = FILE_ROWS) -> int:
+                files_per_part: int = 4, file_rows: int = FILE_ROWS, folders: int | None = None) -> int:
     """Write per-recording parts; parts that are there and whole are kept unless told otherwise.
 
     A recording is one file; one of more than ``file_rows`` rows is dealt out by its row hash to ``files_per_part`` files,
     so that it is not written by a single task.  Beside the parts lies a table of their digests, to which each call
     adds a generation.  A later call reads the stored rows once, compares, and writes again what is missing or damaged.
 
+    With ``folders``, recordings share so many folders, by a hash of their name, so that files follow the rows and not the
+    recordings; a folder with a missing or damaged recording is written again, its other recordings as they were stored.
+    A path keeps the number it was first written with.
+
     Returns how many recordings were written.
     """
     spark = df.sparkSession
+    by = FOLDER if folders else key
+    if folders:
+        df = in_folders(df, key, folders)
     done = None if overwrite else valid_parts(spark, path, df.schema, key)
     todo = df if done is None else df.join(done, key, "left_anti")
     count = todo.select(key).distinct().count()
@@ -123,7 +146,15 @@ def write_parts(df: DataFrame, path: str, key: str = "recording_id", overwrite:
         hashed = todo.withColumn("_hash", F.xxhash64(*todo.columns)).join(F.broadcast(large), key, "left")
         slot = F.pmod("_hash", F.coalesce("_files", F.lit(1)))
         tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        _write_parted(hashed.repartition(tasks, F.col(key), slot).select(*todo.columns), path, key, fresh)
+        rows = hashed.repartition(tasks, F.col(by), slot).select(*todo.columns)
+        if folders and not fresh:
+            # what the touched folders hold of other recordings, as far as it is whole
+            stored = spark.read.schema(df.schema).option("ignoreCorruptFiles", "true").parquet(path)
+            kept = stored.join(done, key, "left_semi") if done is not None else stored.join(todo.select(key).distinct(), key, "left_anti")
+            touched = todo.select(FOLDER).distinct()  # as many rows as folders at most
+            replace_folders(rows.unionByName(kept.join(F.broadcast(touched), FOLDER, "left_semi").select(*todo.columns)), path)
+        else:
+            _write_parted(rows, path, by, fresh)
     return count
 
 

@@ -298,3 +298,28 @@ def test_parts_keep_text_keys(spark, tmp_path):
     df = spark.createDataFrame([("007", 1), ("012", 2), ("012", 3)], "recording_id string, v int")
     path = str(tmp_path / "parts")
     assert tables.write_parts(df, path) == 2 and tables.write_parts(df, path) == 0
+
+
+def test_recordings_share_folders(spark, tmp_path):
+    """Files follow the folders, not the recordings; a damaged recording is written again and the others of its folder stay."""
+    rows = [(f"R{k}", i) for k in range(40) for i in range(5)]
+    df = spark.createDataFrame(rows, "recording_id string, v int").repartition(3)
+    path = str(tmp_path / "parts")
+    kept = df.filter("recording_id <> 'R7'")
+    assert tables.write_parts(kept, path, folders=4) == 39 and tables.write_parts(kept, path, folders=4) == 0
+    found = sorted((tmp_path / "parts").glob("part_folder=*/*.parquet"))
+    assert len(found) == 4
+    changed = df.withColumn("v", F.col("v") * 10)
+    assert tables.write_parts(changed, path, folders=4) == 1  # R7 is new; what is there and whole is kept
+    back = lambda: sorted((r.recording_id, r.v) for r in spark.read.parquet(path).collect())
+    assert back() == sorted((k, v * 10 if k == "R7" else v) for k, v in rows)
+    tables.replace_folders(tables.in_folders(spark.read.parquet(path).drop(tables.FOLDER).filter("recording_id <> 'R3' or v > 2"), "recording_id", 4), path)
+    hit = sorted((tmp_path / "parts").glob("part_folder=*/*.parquet"))[0]
+    lost = {r.recording_id for r in spark.read.parquet(str(hit)).collect()} | {"R3"}
+    hit.write_bytes(b"no parquet")
+    for f in hit.parent.glob(".*.crc"):
+        f.unlink()
+    assert tables.write_parts(df, path, folders=4) == len(lost) and tables.write_parts(df, path, folders=4) == 0
+    assert back() == sorted((k, v * 10 if k == "R7" and k not in lost else v) for k, v in rows)
+    assert tables.write_parts(df.filter("recording_id = 'R5'").withColumn("v", F.lit(1)), path, overwrite=True, folders=4) == 1
+    assert [v for k, v in back() if k == "R5"] == [1] * 5 and len(back()) == 200
