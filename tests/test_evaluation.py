@@ -661,3 +661,18 @@ def test_final_refit_selects_and_fits_forests_on_every_row(spark, rare, tmp_path
     last = rare.filter("f1 = 9")
     assert [r.y_pred for r in models.score(fitted, last).collect()] == [4, 4, 4]
     assert models.save_and_verify(fitted, str(tmp_path / "refit"), last) == 0
+
+
+def test_leave_one_out_lists_take_little_disk(spark, tmp_path):
+    """Rows of 114 kB that differ by one subject: on disk they are hardly more than the first of them."""
+    before = spark.conf.get("spark.sql.parquet.compression.codec")
+    users = spark.range(6000).select((F.col("id") + 10**18).alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.col("id").alias("event_id"), F.current_timestamp().alias("ts"))
+    users.write.parquet(str(tmp_path / "events.parquet"))
+    try:
+        out = entry.queries()["sp06_leave_one_subject_out"](spark, str(tmp_path)).filter("fold <= 40").coalesce(1)
+        out.write.parquet(str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.parquet.compression.codec", before)
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 500_000
+    back = spark.read.parquet(str(tmp_path / "out")).select("fold", F.size(F.split("train_subjects", ",")).alias("n")).collect()
+    assert sorted((r.fold, r.n) for r in back) == [(i, 5999) for i in range(1, 41)]
